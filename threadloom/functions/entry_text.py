@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
-from threadloom.functions.tools import searchable_input, telling_input
+from threadloom.functions.tools import searchable_inputs, telling_input
 
 TALK = ["human", "meta", "tool_result", "assistant"]
 
@@ -35,11 +35,8 @@ def output_text(blocks: Column) -> Column:
     return F.array_join(F.transform(_of("tool_result", blocks), lambda b: b["text"]), "\n")
 
 
-def tool_text(blocks: Column) -> Column:
-    parts = F.transform(
-        _of("tool_use", blocks), lambda b: searchable_input(b["tool_name"], b["input_json"])
-    )
-    return F.array_join(F.flatten(parts), "\n")
+def tool_text(blocks: str) -> Column:
+    return F.array_join(searchable_inputs(f"filter({blocks}, b -> b.type = 'tool_use')"), "\n")
 
 
 def has_failure(blocks: Column) -> Column:
@@ -82,7 +79,7 @@ def with_texts(df: DataFrame) -> DataFrame:
         "body_text": F.when(kind.isin("human", "meta", "assistant"), body_text(b)),
         "marker_text": F.when(kind.isin("human", "meta", "tool_result"), marker_text(b)),
         "thinking_text": F.when(kind == "assistant", thinking_text(b)),
-        "tool_text": F.when(kind == "assistant", tool_text(b)),
+        "tool_text": F.when(kind == "assistant", tool_text("blocks")),
         "output_text": F.when(kind == "tool_result", output_text(b)),
     })
     df = df.withColumn("teammate", F.when(kind == "human", X.parse_teammate(F.col("marker_text"))))

@@ -68,8 +68,8 @@ def parse_teammate(text: Column) -> Column:
     )
 
     def attribute(name: str) -> Column:
-        named = F.filter(pairs, lambda p: p["0"] == name)
-        return F.try_element_at(named, F.lit(-1))["1"]
+        named = F.filter(pairs, lambda p: p["k"] == name)
+        return F.try_element_at(named, F.lit(-1))["v"]
 
     rest = F.regexp_replace(lead, opening, "")
     body = strip(F.regexp_replace(rest, "(?iU)" + V.TEAMMATE_CLOSE, ""))

@@ -65,15 +65,20 @@ def parse_hide(value: str | None) -> frozenset[str]:
 
 def telling_input(name: Column, input_json: Column) -> Column:
     """The one input that tells what a call does, uncut; the JSON text when none does."""
-    picked = input_json
-    pattern, path = (F.get_json_object(input_json, p) for p in ("$.pattern", "$.path"))
+    field = lambda key: F.get_json_object(input_json, f"$.{key}")
+    by_key: dict[str, list[str]] = {}
     for tool, key in V.TELLING_INPUT.items():
-        value = F.get_json_object(input_json, f"$.{key}")
-        picked = F.when((name == tool) & value.isNotNull(), value).otherwise(picked)
-    grep = F.concat(F.lit("/"), pattern, F.lit("/"), F.coalesce(F.concat(F.lit(" "), path), F.lit("")))
-    glob = F.concat(pattern, F.coalesce(F.concat(F.lit(" in "), path), F.lit("")))
-    picked = F.when((name == "Grep") & pattern.isNotNull(), grep).otherwise(picked)
-    return F.when((name == "Glob") & pattern.isNotNull(), glob).otherwise(picked)
+        by_key.setdefault(key, []).append(tool)
+    picked = F.when(
+        name == "Grep",
+        F.concat(F.lit("/"), field("pattern"), F.lit("/"), F.coalesce(F.concat(F.lit(" "), field("path")), F.lit(""))),
+    ).when(
+        name == "Glob",
+        F.concat(field("pattern"), F.coalesce(F.concat(F.lit(" in "), field("path")), F.lit(""))),
+    )
+    for key, tools in by_key.items():
+        picked = picked.when(name.isin(tools), field(key))
+    return F.coalesce(picked, input_json)
 
 
 def tool_input_summary(name: Column, input_json: Column, truncate: int) -> Column:
@@ -90,21 +95,21 @@ def input_one_line(input_json: Column, truncate: int) -> Column:
     )
 
 
-def searchable_input(name: Column, input_json: Column) -> Column:
-    """Array of the tool name and the input strings worth searching."""
-    as_text = F.map_entries(F.from_json(input_json, "map<string,string>"))
-    typed = F.try_variant_get(F.try_parse_json(input_json), "$", "map<string,variant>")
-    strings = F.filter(
-        as_text, lambda e: F.schema_of_variant(F.try_element_at(typed, e["key"])) == "STRING"
+def searchable_inputs(uses: str) -> Column:
+    """Names and searchable input strings of the tool_use blocks in array expression `uses`.
+
+    Each `transform` is one step: parse the input, keep its string values in their order, then
+    take the keys that matter for the tool (all of them for a tool that is not listed).
+    """
+    wanted = " ".join(
+        f"WHEN '{tool}' THEN array({', '.join(repr(k) for k in keys)})" for tool, keys in V.SEARCHABLE_INPUTS.items()
     )
-    values = F.coalesce(F.transform(strings, lambda e: e["value"]), F.array().cast("array<string>"))
-    is_string = F.transform(strings, lambda e: e["key"])
-    for tool, keys in V.SEARCHABLE_INPUTS.items():
-        wanted = F.array_compact(
-            F.array(*[
-                F.when(F.array_contains(is_string, key), F.get_json_object(input_json, f"$.{key}"))
-                for key in keys
-            ])
-        )
-        values = F.when(name == tool, wanted).otherwise(values)
-    return F.concat(F.array(name), values)
+    parsed = f"""transform({uses}, u -> named_struct('name', u.tool_name,
+        'all', map_entries(from_json(u.input_json, 'map<string,string>')),
+        'typed', try_variant_get(try_parse_json(u.input_json), '$', 'map<string,variant>')))"""
+    strings = f"""transform({parsed}, u -> named_struct('name', u.name, 'keys', CASE u.name {wanted} END,
+        'strings', filter(u.all, e -> schema_of_variant(try_element_at(u.typed, e.key)) = 'STRING')))"""
+    values = f"""transform({strings}, u -> concat(array(u.name), coalesce(if(u.keys IS NULL,
+        transform(u.strings, e -> e.value),
+        flatten(transform(u.keys, k -> transform(filter(u.strings, e -> e.key = k), e -> e.value)))), array())))"""
+    return F.expr(f"flatten({values})")

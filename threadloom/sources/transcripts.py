@@ -105,109 +105,70 @@ def project_dir(path: Column) -> Column:
 # --- A2 to A4: typed entries ------------------------------------------------------------------------
 
 
-def _normalise(raw: Column) -> Column:
-    """One raw content element to a block struct without its position."""
-    b = F.from_json(raw, _BLOCK, _JSON)
-    nested = F.from_json(raw, "content ARRAY<STRING>", _JSON)["content"]
-    inner = F.transform(nested, lambda x: F.from_json(x, "type STRING, text STRING", _JSON))
-    parts = F.when(
-        nested.isNotNull(),
-        F.transform(
-            inner,
-            lambda x: F.struct(x["type"].alias("kind"), F.coalesce(x["text"], F.lit("")).alias("text")),
-        ),
-    ).otherwise(F.array(F.struct(F.lit("text").alias("kind"), b["content"].alias("text"))))
-    parts = F.filter(parts, lambda p: p["kind"].isin("text", "image"))
-    flat = F.array_join(
-        F.transform(F.filter(parts, lambda p: p["kind"] == "text"), lambda p: p["text"]), "\n"
-    )
-    valid_nested = nested.isNull() | ~F.exists(
-        nested, lambda x: ~F.coalesce(F.startswith(x, F.lit("{")), F.lit(False))
-    )
-    none = F.lit(None).cast("string")
-
-    def block(kind, text=none, use=none, name=none, data=none, err=F.lit(None).cast("boolean"), parts=None):
-        return F.struct(
-            kind.alias("type"),
-            text.alias("text"),
-            use.alias("tool_use_id"),
-            name.alias("tool_name"),
-            data.alias("input_json"),
-            err.alias("is_error"),
-            (parts if parts is not None else F.lit(None)).cast(PARTS_TYPE).alias("parts"),
-        )
+def _sql(text: str) -> str:
+    return "'" + " ".join(text.split()) + "'"
 
-    t = b["type"]
-    fallback = block(F.lit("text"), text=F.coalesce(raw, F.lit("null")))
-    return (
-        F.when((t == "text") & b["text"].isNotNull(), block(t, text=b["text"]))
-        .when((t == "thinking") & b["thinking"].isNotNull(), block(t, text=b["thinking"]))
-        .when(
-            (t == "tool_use") & b["id"].isNotNull() & b["name"].isNotNull()
-            & F.startswith(b["input"], F.lit("{")),
-            block(t, use=b["id"], name=b["name"], data=b["input"]),
-        )
-        .when(
-            (t == "tool_result") & b["tool_use_id"].isNotNull() & b["content"].isNotNull() & valid_nested,
-            block(t, text=flat, use=b["tool_use_id"], err=b["is_error"], parts=parts),
-        )
-        .when(
-            (t == "image") & (b["source"]["type"] == "base64") & b["source"]["media_type"].isNotNull(),
-            block(t, text=b["source"]["media_type"]),
-        )
-        .otherwise(fallback)
-    )
 
+def _names(values: list[str]) -> str:
+    return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
-def normalise_content(content: Column, elements: Column, side: Column) -> Column:
-    """Message content of either shape to an array of blocks.
 
-    `elements` holds the raw elements when the content is a list and is null otherwise.
-    A block that the side does not allow becomes a text block with the JSON text.
-    """
+_OPTIONS = "map('maxStringLen', '2147483647', 'allowSingleQuotes', 'false')"
+_NO_PARTS = f"cast(null AS {PARTS_TYPE})"
 
-    def allowed(kind: Column) -> Column:
-        return F.when(side == "user", kind.isin(V.USER_BLOCK_TYPES)).otherwise(
-            kind.isin(V.ASSISTANT_BLOCK_TYPES)
-        )
 
-    def one(raw: Column, pos: Column) -> Column:
-        b = _normalise(raw)
-        ok = allowed(b["type"])
-        none = F.lit(None)
-        return F.struct(
-            pos.cast("int").alias("pos"),
-            F.when(ok, b["type"]).otherwise(F.lit("text")).alias("type"),
-            F.when(ok, b["text"]).otherwise(raw).alias("text"),
-            F.when(ok, b["tool_use_id"]).alias("tool_use_id"),
-            F.when(ok, b["tool_name"]).alias("tool_name"),
-            F.when(ok, b["input_json"]).alias("input_json"),
-            F.when(ok, b["is_error"]).alias("is_error"),
-            F.when(ok, b["parts"]).otherwise(none.cast(PARTS_TYPE)).alias("parts"),
-        )
+def normalise_content(elements: str, bare: str, assistant: str) -> Column:
+    """Message content of either shape to an array of blocks.
 
-    bare = F.array(
-        F.struct(
-            F.lit(0).alias("pos"),
-            F.lit("text").alias("type"),
-            F.coalesce(content, F.lit("null")).alias("text"),
-            F.lit(None).cast("string").alias("tool_use_id"),
-            F.lit(None).cast("string").alias("tool_name"),
-            F.lit(None).cast("string").alias("input_json"),
-            F.lit(None).cast("boolean").alias("is_error"),
-            F.lit(None).cast(PARTS_TYPE).alias("parts"),
-        )
-    )
-    return F.when(elements.isNotNull(), F.transform(elements, one)).otherwise(bare)
+    `elements` names the raw elements of a list (null when the content is no list), `bare` the
+    content as text, `assistant` the flag of the side. Each `transform` is one step whose result
+    the next one reads, so every element is parsed once. A block that is malformed, or that its
+    side does not allow, becomes a text block with the JSON text.
+    """
+    parsed = f"""transform({elements}, x -> named_struct('raw', x, 'b', from_json(x, {_sql(_BLOCK)}, {_OPTIONS})))"""
+    listed = f"""transform({parsed}, p -> named_struct('raw', p.raw, 'b', p.b, 'list',
+        if(p.b.type = 'tool_result', from_json(p.raw, 'content ARRAY<STRING>', {_OPTIONS}).content, null)))"""
+    parted = f"""transform({listed}, p -> named_struct('raw', p.raw, 'b', p.b,
+        'list_ok', p.list IS NULL OR forall(p.list, y -> coalesce(startswith(y, '{{'), false)),
+        'parts', CASE WHEN p.b.type <> 'tool_result' THEN {_NO_PARTS}
+          WHEN p.list IS NULL THEN array(named_struct('kind', 'text', 'text', p.b.content))
+          ELSE filter(transform(
+            transform(p.list, y -> from_json(y, 'type STRING, text STRING', {_OPTIONS})),
+            q -> named_struct('kind', q.type, 'text', coalesce(q.text, ''))), q -> q.kind IN ('text', 'image')) END))"""
+    kinded = f"""transform({parted}, p -> named_struct('raw', p.raw, 'b', p.b, 'parts', p.parts, 'kind', CASE
+        WHEN NOT array_contains(if({assistant}, {_names(V.ASSISTANT_BLOCK_TYPES)}, {_names(V.USER_BLOCK_TYPES)}), p.b.type) THEN null
+        WHEN p.b.type = 'text' AND p.b.text IS NOT NULL THEN 'text'
+        WHEN p.b.type = 'thinking' AND p.b.thinking IS NOT NULL THEN 'thinking'
+        WHEN p.b.type = 'tool_use' AND p.b.id IS NOT NULL AND p.b.name IS NOT NULL AND startswith(p.b.input, '{{') THEN 'tool_use'
+        WHEN p.b.type = 'tool_result' AND p.b.tool_use_id IS NOT NULL AND p.b.content IS NOT NULL AND p.list_ok THEN 'tool_result'
+        WHEN p.b.type = 'image' AND p.b.source.type = 'base64' AND p.b.source.media_type IS NOT NULL THEN 'image' END))"""
+    blocks = f"""transform({kinded}, (p, i) -> named_struct(
+        'pos', i, 'type', coalesce(p.kind, 'text'),
+        'text', CASE p.kind WHEN 'text' THEN p.b.text WHEN 'thinking' THEN p.b.thinking WHEN 'tool_use' THEN null
+          WHEN 'image' THEN p.b.source.media_type
+          WHEN 'tool_result' THEN array_join(transform(filter(p.parts, q -> q.kind = 'text'), q -> q.text), '\n')
+          ELSE coalesce(p.raw, 'null') END,
+        'tool_use_id', CASE p.kind WHEN 'tool_use' THEN p.b.id WHEN 'tool_result' THEN p.b.tool_use_id END,
+        'tool_name', if(p.kind = 'tool_use', p.b.name, null),
+        'input_json', if(p.kind = 'tool_use', p.b.input, null),
+        'is_error', if(p.kind = 'tool_result', p.b.is_error, null),
+        'parts', if(p.kind = 'tool_result', p.parts, {_NO_PARTS})))"""
+    single = f"""array(named_struct('pos', 0, 'type', 'text', 'text', coalesce({bare}, 'null'),
+        'tool_use_id', cast(null AS string), 'tool_name', cast(null AS string), 'input_json', cast(null AS string),
+        'is_error', cast(null AS boolean), 'parts', {_NO_PARTS}))"""
+    return F.expr(f"if({elements} IS NOT NULL, {blocks}, {single})")
 
 
 def _typed(lines: DataFrame) -> DataFrame:
     """Every non-blank, non-structural line with its class, or the reason it has none."""
     keep = [c for c in lines.columns if c != "value"]
     text = F.btrim("value", F.lit(V.WHITESPACE))
-    parsed = lines.where(text != "").select(*keep, "value", F.from_json("value", _ENVELOPE, {
+    envelope = F.from_json("value", _ENVELOPE, {
         **_JSON, "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "false",
-    }).alias("e"))
+    })
+    # One-element explode: conditions on the parsed fields stay above it, so the optimizer cannot
+    # copy the parse into every filter, and a line is parsed once.
+    parsed = lines.where(text != "").select(*keep, "value", F.explode(F.array(envelope)).alias("e"))
     e = F.col("e")
     # from_json forgives text after the object; the variant parser does not.
     broken = F.when(
@@ -271,23 +232,22 @@ def entries(lines: DataFrame) -> DataFrame:
     typed = _typed(lines).where(F.col("reason").isNull())
     keep = [c for c in lines.columns if c not in ("value",)]
     e, m = F.col("e"), F.col("e")["message"]
+    queued = F.col("entry_type") == "queue_operation"
     talk = F.col("entry_type").isin("human", "meta", "tool_result", "assistant")
-    side = F.when(F.col("entry_type") == "assistant", "assistant").otherwise("user")
-    # A list of raw elements is read a second time, and only for conversation lines.
-    elements = F.when(
-        talk, F.from_json("value", "message STRUCT<content: ARRAY<STRING>>", _JSON)["message"]["content"]
-    )
-    queue_elements = F.from_json("value", "content ARRAY<STRING>", _JSON)["content"]
+    # A list of raw elements is read a second time, and only for lines that carry content.
+    elements = F.from_json("value", "message STRUCT<content: ARRAY<STRING>>", _JSON)["message"]["content"]
     usage = m["usage"]
     zero = lambda c: F.coalesce(c, F.lit(0))
     from_path = {k: v for k, v in path_columns(F.col("file_path")).items() if k not in keep}
-    typed = typed.withColumn(
-        "_elements",
-        F.when(F.col("entry_type") == "queue_operation", queue_elements).otherwise(elements),
-    )
-    content = F.when(F.col("entry_type") == "queue_operation", e["content"]).otherwise(m["content"])
-    has_blocks = talk | ((F.col("entry_type") == "queue_operation") & e["content"].isNotNull())
-    blocks = F.when(has_blocks, normalise_content(content, F.col("_elements"), side))
+    typed = typed.withColumns({
+        "_elements": F.when(talk, elements).when(
+            queued, F.from_json("value", "content ARRAY<STRING>", _JSON)["content"]
+        ),
+        "_bare": F.when(queued, e["content"]).otherwise(m["content"]),
+        "_assistant": F.col("entry_type") == "assistant",
+    })
+    has_blocks = talk | (queued & e["content"].isNotNull())
+    blocks = F.when(has_blocks, normalise_content("_elements", "_bare", "_assistant"))
     return typed.select(
         *keep,
         *[v.alias(k) for k, v in from_path.items()],
