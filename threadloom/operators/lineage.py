@@ -28,7 +28,8 @@ _TURN = """type STRING, uuid STRING, parentUuid STRING, isSidechain BOOLEAN, tim
 def turns(lines: DataFrame) -> DataFrame:
     """User and assistant lines that carry a message object, with what the views need."""
     keep = [c for c in lines.columns if c != "value"]
-    rows = lines.select(*keep, F.from_json("value", _TURN).alias("t")).where(
+    # One-element explode: the filter stays above the parse, so a line is parsed once.
+    rows = lines.select(*keep, F.explode(F.array(F.from_json("value", _TURN))).alias("t")).where(
         F.col("t.type").isin(V.CONVERSATION_TYPES) & F.startswith("t.message", F.lit("{"))
     )
     rows = rows.withColumn("_m", F.from_json("t.message", "model STRING, content STRING"))
@@ -94,7 +95,7 @@ def tail_state(rows: DataFrame, order: str = "line_no", group: list[str] | None
 
 def _segments(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Turns with (segment, turn number), and one link row per segment."""
-    slim = rows.select("file_path", "line_no", "uuid", "parent_uuid")
+    slim = cut_lineage(rows.select("file_path", "line_no", "uuid", "parent_uuid"))
     by_uuid = slim.where(F.col("uuid").isNotNull()).groupBy("file_path", F.col("uuid").alias("parent_uuid")).agg(
         F.max("line_no").alias("parent_line")
     )

@@ -17,6 +17,7 @@ from threadloom.operators import resolve as R
 from threadloom.operators.agents import trace_lines
 from threadloom.operators.calls import uses
 from threadloom.plans import sql
+from threadloom.session import cut_lineage
 from threadloom.sources import projects, tables
 from threadloom.sources.transcripts import entries as typed_entries
 from threadloom.sources.transcripts import transcripts
@@ -30,6 +31,19 @@ def _entries(spark: SparkSession, d: str) -> DataFrame:
     return typed_entries(tables.conversation_lines(spark, d))
 
 
+def _entry_table(spark: SparkSession, d: str) -> DataFrame:
+    """The entries written once, for queries that read them more than once."""
+    return cut_lineage(_entries(spark, d))
+
+
+def _text_table(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(with_texts(_entries(spark, d)))
+
+
+def _turn_table(spark: SparkSession, d: str) -> DataFrame:
+    return cut_lineage(lineage.turns(tables.conversation_lines(spark, d)))
+
+
 def pattern_triage(spark, d):
     return search.pattern_rollup(search.count_hits(_entries(spark, d), PATTERNS, "all"))
 
@@ -44,17 +58,17 @@ def pattern_examples(spark, d):
 
 
 def grep_context(spark, d):
-    lines = search.grep(_entries(spark, d), PATTERNS, "user", context=2, cap=2)
+    lines = search.grep(_text_table(spark, d), PATTERNS, "user", context=2, cap=2)
     return lines.select("pattern", "session_id", "hit_no", "offset", "hits", "line")
 
 
 def overflow_sample(spark, d):
-    found = search.overflow_sample(_entries(spark, d), PATTERN, "all", cap=30)
+    found = search.overflow_sample(_entry_table(spark, d), PATTERN, "all", cap=30)
     return found.select("session_id", "line_no", "rank_in_session", "total_matches", "overflow")
 
 
 def read_turn(spark, d):
-    e = _entries(spark, d)
+    e = _entry_table(spark, d)
     anchors = e.where((F.col("entry_type") == "system")).select("file_path", "line_no", F.col("uuid").alias("anchor"))
     return search.read_turn(e, anchors, 2).select("anchor", "offset", "uuid")
 
@@ -68,7 +82,7 @@ def _browse(position):
 
 def _anchored(position):
     def run(spark, d):
-        e = _entries(spark, d)
+        e = _entry_table(spark, d)
         talk = e.where(F.col("entry_type").isin("human", "assistant"))
         # The third turn of each transcript, found by an aggregate.
         at = talk.where(F.col("line_no") >= 2).groupBy("file_path").agg(F.min("line_no").alias("line_no"))
@@ -151,12 +165,12 @@ def tail_state(spark, d):
 
 
 def active_thread(spark, d):
-    rows = lineage.turns(tables.conversation_lines(spark, d))
+    rows = _turn_table(spark, d)
     return lineage.active_thread(rows).select("uuid", "chain_no", "dropped", "is_thread")
 
 
 def ancestor_chain(spark, d):
-    rows = lineage.turns(tables.conversation_lines(spark, d))
+    rows = _turn_table(spark, d)
     targets = rows.where(F.col("type") == "user").groupBy("file_path").agg(F.max("line_no").alias("line_no"))
     chain = lineage.ancestor_chain(rows, targets.withColumn("key", F.col("file_path")))
     return chain.join(rows.select("file_path", "line_no", "uuid"), ["file_path", "line_no"]).select("uuid", "chain_no")
@@ -164,7 +178,7 @@ def ancestor_chain(spark, d):
 
 def rewind_report(spark, d):
     """Every transcript is rewound to before its last user turn."""
-    rows = lineage.turns(tables.conversation_lines(spark, d))
+    rows = _turn_table(spark, d)
     at = rows.where(F.col("type") == "user").groupBy("file_path").agg(F.max_by("uuid", "line_no").alias("turn"))
     requests = at.select(F.col("file_path").alias("request_id"), "file_path", "turn", F.lit("before").alias("cut"))
     _, report = lineage.rewind_view(rows, requests)
@@ -172,7 +186,7 @@ def rewind_report(spark, d):
 
 
 def thread_copy(spark, d):
-    rows = lineage.turns(tables.conversation_lines(spark, d))
+    rows = _turn_table(spark, d)
     requests = rows.select("file_path").distinct().select(
         "file_path", F.regexp_extract("file_path", "([^/]+)\\.jsonl$", 1).alias("source_id"), F.lit("p").alias("source_project"),
         F.concat(F.lit("a"), F.md5("file_path")).alias("new_id"), F.lit("parent").alias("parent_session"),
@@ -202,7 +216,7 @@ def project_list(spark, d):
 
 def resolve_ids(spark, d):
     """Every session is asked for by a prefix of its id; short prefixes collide."""
-    s = sessions.session_summary(_entries(spark, d)).select("session_id", "project", "message_count")
+    s = cut_lineage(sessions.session_summary(_entries(spark, d)).select("session_id", "project", "message_count"))
     wanted = s.select(F.substring("session_id", 1, 7).alias("raw_id")).distinct()
     return R.resolve_sessions(wanted, s).select("raw_id", "candidates", "status")
 

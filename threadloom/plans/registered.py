@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import conversations
+from threadloom.plans import conversations, events
 
-_MODULES = [conversations]
+_MODULES = [conversations, events]
 
 
 def _in_utc(run: Callable) -> Callable[[SparkSession, str], DataFrame]:

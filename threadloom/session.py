@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,14 +26,13 @@ def build_session(app: str = "threadloom", master: str | None = None, **extra: s
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the cluster's shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables of this run, below the checkpoint folder all executors share.
 
-    The folder is the one the session already names. Only a local session without one gets a
-    folder of its own; a cluster session without one is an error, because a folder of one
-    machine would be lost with that machine.
+    The session names that folder. Only a local session without one gets a folder of its own; a
+    cluster session without one is an error, because a folder of one machine would be lost with
+    that machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -41,4 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="threadloom-")
         context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` as a table in the shared folder and read it back.
+
+    Computed once, durable when executors are lost, and still pruned and filtered by column when
+    it is read, which a checkpoint of rows is not.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
