@@ -285,8 +285,8 @@ sums AS (SELECT session_id, min(bucket) AS b0, max(bucket) AS b1, CAST(sum(human
 main AS (SELECT session_id, min(project) AS project, user_id % 7 = 0 AS headless, CASE WHEN user_id % 11 = 0 THEN 'team' END AS team,
   CASE WHEN user_id % 11 = 0 THEN 'worker' END AS team_role, arg_min('signed up with ' || k, event_id) FILTER (WHERE kind_of = 'human') AS title
   FROM ev WHERE agent_id IS NULL GROUP BY session_id, user_id),
-br AS (SELECT session_id, string_agg(b, ',' ORDER BY at) AS branches FROM (SELECT session_id, 'b' || (event_id % 3) AS b, min(event_id) AS at FROM ev WHERE agent_id IS NULL GROUP BY 1, 2) GROUP BY 1),
-mods AS (SELECT session_id, first(m ORDER BY n DESC, at) AS model FROM (SELECT session_id, 'model-' || (event_id % 3) AS m, count(*) AS n, min(event_id) AS at
+br AS (SELECT session_id, string_agg(b, ',' ORDER BY at_line) AS branches FROM (SELECT session_id, 'b' || (event_id % 3) AS b, min(event_id) AS at_line FROM ev WHERE agent_id IS NULL GROUP BY 1, 2) GROUP BY 1),
+mods AS (SELECT session_id, first(m ORDER BY n DESC, at_line) AS model FROM (SELECT session_id, 'model-' || (event_id % 3) AS m, count(*) AS n, min(event_id) AS at_line
   FROM marks WHERE agent_id IS NULL AND kind_of IN ('call', 'talk') GROUP BY 1, 2) GROUP BY 1),
 said AS (SELECT session_id, count(*) FILTER (WHERE kind_of = 'interrupt') AS interrupts, count(DISTINCT agent_id) FILTER (WHERE marker IS NOT NULL) AS n_sub,
   arg_min('signed up with ' || k, event_id) FILTER (WHERE kind_of = 'human') AS opening, arg_max('signed up with ' || k, event_id) FILTER (WHERE kind_of = 'human') AS closing
