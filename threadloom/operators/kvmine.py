@@ -35,7 +35,7 @@ def daily_stats(kv: DataFrame) -> DataFrame:
         composerSuggestedLines BIGINT, composerAcceptedLines BIGINT""")
     rows = named(kv, V.DAILY_STATS_KEY, prefix=True).select(s.alias("s")).where(F.col("s").isNotNull())
     zero = lambda c: F.sum(F.coalesce(c, F.lit(0)))
-    sums = rows.rollup(F.coalesce("s.date", F.lit("?")).alias("date")).agg(
+    sums = rows.withColumn("date", F.coalesce("s.date", F.lit("?"))).rollup("date").agg(
         zero("s.tabSuggestedLines").alias("tab_suggested"), zero("s.tabAcceptedLines").alias("tab_accepted"),
         zero("s.composerSuggestedLines").alias("composer_suggested"),
         zero("s.composerAcceptedLines").alias("composer_accepted"),

@@ -28,20 +28,20 @@ def running_count(
 ) -> DataFrame:
     """Number of rows up to and including this one for which `counted` holds (all by default)."""
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    rows = _blocked(df, order, block).withColumn("_one", one.cast("bigint"))
+    rows = _blocked(df, order, block).withColumn("_ord_one", one.cast("bigint"))
     inside = Window.partitionBy(*group, _B).orderBy(order)
     across = Window.partitionBy(*group).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     blocks = (
-        rows.groupBy(*group, _B).agg(F.sum("_one").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
+        rows.groupBy(*group, _B).agg(F.sum("_ord_one").alias("_ord_n"))
+        .withColumn("_ord_before", F.coalesce(F.sum("_ord_n").over(across), F.lit(0))).drop("_ord_n")
     )
     numbered = rows.withColumn(
-        out, F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+        out, F.sum("_ord_one").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     )
     return (
         numbered.join(blocks, [*group, _B])
-        .withColumn(out, F.col(out) + F.col("_before"))
-        .drop(_B, "_one", "_before")
+        .withColumn(out, F.col(out) + F.col("_ord_before"))
+        .drop(_B, "_ord_one", "_ord_before")
     )
 
 
@@ -49,19 +49,19 @@ def previous_value(
     df: DataFrame, group: list[str], order: str, value: Column, out: str, block: int = BLOCK,
 ) -> DataFrame:
     """Last non-null `value` of an earlier row of the group."""
-    rows = _blocked(df, order, block).withColumn("_value", value)
+    rows = _blocked(df, order, block).withColumn("_ord_value", value)
     inside = Window.partitionBy(*group, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*group).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    tail = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order)))
+    tail = F.max_by("_ord_value", F.when(F.col("_ord_value").isNotNull(), F.col(order)))
     blocks = (
-        rows.groupBy(*group, _B).agg(tail.alias("_tail"))
-        .withColumn("_carried", F.last("_tail", ignorenulls=True).over(across)).drop("_tail")
+        rows.groupBy(*group, _B).agg(tail.alias("_ord_tail"))
+        .withColumn("_ord_carried", F.last("_ord_tail", ignorenulls=True).over(across)).drop("_ord_tail")
     )
     return (
-        rows.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+        rows.withColumn("_ord_inside", F.last("_ord_value", ignorenulls=True).over(inside))
         .join(blocks, [*group, _B])
-        .withColumn(out, F.coalesce("_inside", "_carried"))
-        .drop(_B, "_value", "_inside", "_carried")
+        .withColumn(out, F.coalesce("_ord_inside", "_ord_carried"))
+        .drop(_B, "_ord_value", "_ord_inside", "_ord_carried")
     )
 
 
@@ -81,8 +81,8 @@ def lookup(
     row is repeated as often; all other keys join as usual.
     """
     hot = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= hot_rows).select(*keys, F.lit(True).alias("_hot"))
+        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ord_n"))
+        .where(F.col("_ord_n") >= hot_rows).select(*keys, F.lit(True).alias("_hot"))
     )
     hot = F.broadcast(hot)
     spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c not in keys and _plain(left, c)]), F.lit(salts))

@@ -131,7 +131,7 @@ m AS (SELECT review_id, file_key, title_key, island, title, line, {_value('sr0',
  {_value('ar1', V.ACTIONS)} AS action, rv, reports,
  CASE WHEN sr0 <> sr1 OR rr0 <> rr1 OR or0 <> or1 THEN array_to_string(said, ', ') || ' -- kept ' || {_value('sr0', V.SEVERITIES)} END AS disagreement FROM g)"""
 _S = f"""{_M}, s AS (SELECT *, CASE WHEN pre_existing THEN 'pre_existing'
- WHEN severity IN ('P2','P3') AND autofix_class = 'advisory' AND len(list_filter(rv, x -> x NOT IN {_in(V.WEAK_REVIEWERS)})) = 0 THEN 'weak'
+ WHEN severity IN ('P2','P3') AND autofix_class = 'advisory' AND len(list_filter(rv, lambda x: x NOT IN {_in(V.WEAK_REVIEWERS)})) = 0 THEN 'weak'
  WHEN NOT (confidence >= 75 OR (severity = 'P0' AND confidence >= 50)) THEN 'suppressed' ELSE 'primary' END AS stage FROM m),
 q AS (SELECT *, CASE WHEN stage = 'primary' THEN CASE WHEN autofix_class = 'safe_auto' AND owner = 'review-fixer' THEN 'fixer'
  WHEN autofix_class IN ('gated_auto','manual') AND owner = 'downstream-resolver' THEN 'residual' ELSE 'report' END END AS queue,

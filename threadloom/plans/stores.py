@@ -143,7 +143,7 @@ def _matches(text: str, patterns: list[str]) -> str:
 
 _CATS = "list_filter(list_value(" + ", ".join(
     f"CASE WHEN {_matches('text', ps)} THEN '{name}' END" for name, ps in V.PROMPT_CATEGORIES.items() if ps
-) + "), x -> x IS NOT NULL)"
+) + "), lambda x: x IS NOT NULL)"
 _PROMPTS = "WITH p AS (SELECT 'store-' || (conv_id % 20) AS source, turn, text FROM conversations WHERE role = 'user')"
 _DAILY = """WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id % 50 AS a, event_id % 20 AS b,
  CASE WHEN event_id % 3 = 0 THEN event_id % 30 ELSE 0 END AS c, CASE WHEN event_id % 3 = 0 THEN event_id % 10 ELSE 0 END AS d FROM events),
@@ -163,7 +163,7 @@ ORACLES = {
     "category_examples": f"""WITH c AS (SELECT unnest({_CATS}) AS category, source, doc_id AS pos, text FROM documents WHERE length(text) >= 10),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY source, pos) AS INTEGER) AS example_no FROM c)
 SELECT category, example_no, source, pos, CAST(length(text) AS INTEGER) AS full_length, left(text, 400) AS text FROM r WHERE example_no <= 15""",
-    "prompt_search": f"""{_PROMPTS} SELECT source, md5(text) AS text, array_to_string(list_filter(list_value({', '.join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TERMS)}), x -> x IS NOT NULL), ',') AS matched,
+    "prompt_search": f"""{_PROMPTS} SELECT source, md5(text) AS text, array_to_string(list_filter(list_value({', '.join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TERMS)}), lambda x: x IS NOT NULL), ',') AS matched,
  CASE WHEN turn % 2 = 0 THEN 'composer' ELSE 'cmd-k' END AS typed_in FROM p WHERE length(text) >= 10 AND ({' OR '.join(f"contains(lower(text), '{t}')" for t in TERMS)})""",
     "prompt_snippets": f"""{_PROMPTS}, h AS (SELECT *, strpos(lower(text), '{TERM}') - 1 AS i FROM p WHERE contains(lower(text), '{TERM}')),
 b AS (SELECT *, greatest(0, i - 80) AS lo, least(length(text), i + {len(TERM)} + 80) AS hi FROM h)
