@@ -259,6 +259,7 @@ _SCAN = f"""{_PAIRS},
 ef AS (SELECT DISTINCT session_id, agent_id FROM ev WHERE event_type = 'error'),
 scan AS (SELECT t.* FROM tc t WHERE EXISTS (SELECT 1 FROM ef WHERE ef.session_id = t.session_id AND ef.agent_id IS NOT DISTINCT FROM t.agent_id))"""
 _FAILED = f"""{_SCAN}, failed AS (SELECT *, (project, session_id, coalesce(agent_id, ''), event_id) AS ord FROM scan WHERE is_error AND kind <> 'cascade')"""
+_DOC = f"""WITH d AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN {_list(tables.FAILURE_TEXTS)}[1 + (doc_id // 2) % {len(tables.FAILURE_TEXTS)}] || ' ' ELSE '' END || text AS text FROM documents)"""
 _ERR = "has_result AND (is_error OR regexp_matches(lower(left(result_text, 300)), '" + "|".join(V.NO_MATCH_MARKERS) + "'))"
 
 _LO, _HI, _B = WINDOW.lo_micros, WINDOW.hi_micros, WINDOW.bucket_micros
@@ -326,9 +327,9 @@ k AS (SELECT session_id, kind, count(*) AS n, min(ord) AS o, min(ts) AS t, min(p
 SELECT session_id, min(p) AS project, CAST(sum(n) AS BIGINT) AS errors, first(kind ORDER BY n DESC, o) AS top_kind, strftime(min(t), '%Y-%m-%d') AS date FROM k GROUP BY 1""",
     "failure_section": f"""{_FAILED}, s AS (SELECT session_id, count(*) AS errors FROM failed GROUP BY 1)
 SELECT *, (SELECT count(*) FROM s) AS section_total FROM s ORDER BY errors DESC, session_id LIMIT 10""",
-    "failure_shapes": f"""WITH x AS (SELECT source, {_kind(sql.collapse_ws('text', V.FAILURE_WINDOW))} AS kind, {sql.collapse_ws('text', V.FAILURE_SHAPE_CHARS)} AS shape FROM documents)
+    "failure_shapes": f"""{_DOC}, x AS (SELECT source, {_kind(sql.collapse_ws('text', V.FAILURE_WINDOW))} AS kind, {sql.collapse_ws('text', V.FAILURE_SHAPE_CHARS)} AS shape FROM d)
 SELECT shape, count(*) AS count, count(DISTINCT source) AS sessions FROM x WHERE kind = 'unclassified' GROUP BY 1""",
-    "document_kinds": f"""WITH x AS (SELECT source, {_kind(sql.collapse_ws('text', V.FAILURE_WINDOW))} AS kind FROM documents)
+    "document_kinds": f"""{_DOC}, x AS (SELECT source, {_kind(sql.collapse_ws('text', V.FAILURE_WINDOW))} AS kind FROM d)
 SELECT kind, {_category('kind')} AS category, count(*) AS count, count(DISTINCT source) AS sessions FROM x GROUP BY 1, 2""",
     "errors_only": f"""{_EV} SELECT p AS pattern, project, session_id, count(*) AS hits FROM ev, (VALUES ('not'), ('exit|odd')) v(p)
 WHERE event_type = 'error' AND regexp_matches(result_text, p, 'i') GROUP BY ALL""",

@@ -30,14 +30,11 @@ def prompt_categories(spark, d):
 
 
 def document_categories(spark, d):
-    """Every document as a prompt."""
-    rows = tables.table(spark, d, "documents").select(F.col("source"), F.col("doc_id").alias("pos"), "text")
-    return kvmine.category_counts(rows)
+    return kvmine.category_counts(tables.document_prompts(spark, d))
 
 
 def category_examples(spark, d):
-    rows = tables.table(spark, d, "documents").select(F.col("source"), F.col("doc_id").alias("pos"), "text")
-    found = kvmine.category_examples(rows)
+    found = kvmine.category_examples(tables.document_prompts(spark, d))
     return found.select("category", "example_no", "source", "pos", "full_length", "text")
 
 
@@ -144,7 +141,10 @@ def _matches(text: str, patterns: list[str]) -> str:
 _CATS = "list_filter(list_value(" + ", ".join(
     f"CASE WHEN {_matches('text', ps)} THEN '{name}' END" for name, ps in V.PROMPT_CATEGORIES.items() if ps
 ) + "), lambda x: x IS NOT NULL)"
-_PROMPTS = "WITH p AS (SELECT 'store-' || (conv_id % 20) AS source, turn, text FROM conversations WHERE role = 'user')"
+_OPEN = "list_value(" + ", ".join(sql.quote(o) for o in tables.OPENINGS) + ")"
+_PROMPTS = f"""WITH p AS (SELECT 'store-' || (conv_id % 20) AS source, turn, {_OPEN}[1 + (conv_id + turn) % {len(tables.OPENINGS)}] || ' ' || text AS text
+ FROM conversations WHERE role = 'user')"""
+_DOCS = f"WITH p AS (SELECT source, doc_id AS pos, {_OPEN}[1 + doc_id % {len(tables.OPENINGS)}] || ' ' || text AS text FROM documents)"
 _DAILY = """WITH s AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_id % 50 AS a, event_id % 20 AS b,
  CASE WHEN event_id % 3 = 0 THEN event_id % 30 ELSE 0 END AS c, CASE WHEN event_id % 3 = 0 THEN event_id % 10 ELSE 0 END AS d FROM events),
 g AS (SELECT CASE WHEN grouping(date) = 1 THEN 'TOTAL' ELSE date END AS date, CAST(sum(a) AS BIGINT) AS tab_suggested, CAST(sum(b) AS BIGINT) AS tab_accepted,
@@ -159,8 +159,8 @@ ORACLES = {
  CAST(sum(tab_suggested + composer_suggested) AS BIGINT) AS suggested, CAST(sum(tab_accepted + composer_accepted) AS BIGINT) AS accepted FROM g
  WHERE date <> 'TOTAL' AND tab_suggested + tab_accepted + composer_suggested + composer_accepted > 0""",
     "prompt_categories": f"{_PROMPTS} SELECT category, count(*) AS prompts FROM (SELECT unnest({_CATS}) AS category FROM p WHERE length(text) >= 10) GROUP BY 1",
-    "document_categories": f"SELECT category, count(*) AS prompts FROM (SELECT unnest({_CATS}) AS category FROM documents WHERE length(text) >= 10) GROUP BY 1",
-    "category_examples": f"""WITH c AS (SELECT unnest({_CATS}) AS category, source, doc_id AS pos, text FROM documents WHERE length(text) >= 10),
+    "document_categories": f"{_DOCS} SELECT category, count(*) AS prompts FROM (SELECT unnest({_CATS}) AS category FROM p WHERE length(text) >= 10) GROUP BY 1",
+    "category_examples": f"""{_DOCS}, c AS (SELECT unnest({_CATS}) AS category, source, pos, text FROM p WHERE length(text) >= 10),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY source, pos) AS INTEGER) AS example_no FROM c)
 SELECT category, example_no, source, pos, CAST(length(text) AS INTEGER) AS full_length, left(text, 400) AS text FROM r WHERE example_no <= 15""",
     "prompt_search": f"""{_PROMPTS} SELECT source, md5(text) AS text, array_to_string(list_filter(list_value({', '.join(f"CASE WHEN contains(lower(text), '{t}') THEN '{t}' END" for t in TERMS)}), lambda x: x IS NOT NULL), ',') AS matched,

@@ -36,6 +36,11 @@ FAILURE_TEXTS = [
 ]
 # FIXED VALUES. Tool names of calls, by event number.
 CALL_NAMES = ["Bash", "Read", "mcp__data-hub__query", "mcp__data_hub__query", "query", "Agent", "mcp__web__fetch", "mcp__files__fetch"]
+# FIXED VALUES. Openings of prompts, by number, so that every behaviour category occurs.
+OPENINGS = [
+    "No, that's wrong.", "Let's try something else.", "For context, we use one service.",
+    "Keep it simple, step by step.", "The opus model is better.", "Why does this fail? Ugh.", "Hello.",
+]
 SESSION_TAIL = "-0000-4000-8000-000000000000"
 TURN_TAIL = "-0000-4000-9000-000000000000"
 
@@ -189,13 +194,22 @@ def document_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the result of a failed call: source is the session, lang the project."""
     d = F.col("doc_id")
     name = F.concat(F.lit("mcp__"), F.col("lang"), F.lit("__fetch"))
+    lead = F.when(d % 2 == 0, F.concat(_pick(FAILURE_TEXTS, F.floor(d / 2)), F.lit(" "))).otherwise("")
     return table(spark, sf_dir, "documents").select(
         F.col("lang").alias("project"), F.concat(F.lit("/logs/"), F.col("source")).alias("file_path"),
         F.col("source").alias("session_id"), F.lit(None).cast("string").alias("agent_id"),
         d.alias("line_no"), F.lit(0).alias("pos"), name.alias("tool_name"),
         F.col("lang").alias("server"), F.lit("fetch").alias("short_name"),
         F.timestamp_seconds(F.lit(EPOCH) + d).alias("ts"), F.lit(True).alias("has_result"),
-        F.lit(True).alias("is_error"), F.col("text").alias("result_text"),
+        F.lit(True).alias("is_error"), F.concat(lead, F.col("text")).alias("result_text"),
+    )
+
+
+def document_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a prompt of its source."""
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "source", d.alias("pos"), F.concat(_pick(OPENINGS, d), F.lit(" "), F.col("text")).alias("text")
     )
 
 
@@ -218,7 +232,8 @@ def kv(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
         ))
     elif part == "prompts":
         rows, key = talk.where(F.col("role") == "user"), F.lit("aiService.prompts")
-        value = F.to_json(F.array(_some(text=text, commandType=F.when(t % 2 == 0, 4).otherwise(1))))
+        opened = F.concat(_pick(OPENINGS, c + t), F.lit(" "), text)
+        value = F.to_json(F.array(_some(text=opened, commandType=F.when(t % 2 == 0, 4).otherwise(1))))
     elif part == "generations":
         rows, key = talk.where(F.col("role") == "assistant"), F.lit("aiService.generations")
         value = F.to_json(F.array(_some(
