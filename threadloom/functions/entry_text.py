@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
+from threadloom.functions.fence import fenced
 from threadloom.functions.tools import searchable_inputs, telling_input
 
 TALK = ["human", "meta", "tool_result", "assistant"]
@@ -72,27 +73,17 @@ def origin(entry_type: Column, is_meta: Column, marker: Column, teammate: Column
     )
 
 
-def _fenced(df: DataFrame, *fields: Column) -> DataFrame:
-    """Adds computed columns through a one-element explode.
-
-    A condition on such a column stays above it. Without the fence the optimizer copies the whole
-    chain of regular expressions into every filter and evaluates it again there.
-    """
-    out = df.withColumn("_f", F.explode(F.array(F.struct(*fields))))
-    return out.select(*df.columns, "_f.*")
-
-
 def with_texts(df: DataFrame) -> DataFrame:
     """Adds every text of an entry and, for user-role entries, its origin."""
     b, kind = F.col("blocks"), F.col("entry_type")
-    df = _fenced(
+    df = fenced(
         df,
         F.when(kind.isin("human", "meta", "assistant"), body_text(b)).alias("body_text"),
         F.when(kind.isin("human", "meta", "tool_result"), marker_text(b)).alias("marker_text"),
     )
-    df = _fenced(df, F.when(kind == "human", X.parse_teammate(F.col("marker_text"))).alias("teammate"))
+    df = fenced(df, F.when(kind == "human", X.parse_teammate(F.col("marker_text"))).alias("teammate"))
     said = substantive_text(F.col("body_text"), F.col("marker_text"), F.col("teammate"))
-    df = _fenced(df, F.when(kind == "human", said).alias("substantive_text"))
+    df = fenced(df, F.when(kind == "human", said).alias("substantive_text"))
     # These are read by few queries and stay plain, so that they are pruned when they are not.
     return df.withColumns({
         "thinking_text": F.when(kind == "assistant", thinking_text(b)),

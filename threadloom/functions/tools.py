@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
+from threadloom.functions.fence import let
 from threadloom.functions.text import collapse_ws, cut_ellipsis, smart_truncate
 
 _QUALIFIED = "^mcp__((?:(?!__)[\\s\\S])+)__([\\s\\S]+)$"
@@ -32,7 +33,7 @@ def failure_kind_of_window(window: Column) -> Column:
 
 def failure_kind(text: Column) -> Column:
     """Kind of an already-failed result, read from its first 1000 collapsed characters."""
-    return failure_kind_of_window(collapse_ws(F.coalesce(text, F.lit("")), V.FAILURE_WINDOW))
+    return let(collapse_ws(F.coalesce(text, F.lit("")), V.FAILURE_WINDOW), failure_kind_of_window)
 
 
 def failure_category(kind: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions import text as X
+from threadloom.functions.fence import fenced
 from threadloom.functions.tools import (
     failure_kind, input_one_line, tool_server, tool_short_name,
 )
@@ -50,13 +51,15 @@ def results(entries: DataFrame) -> DataFrame:
 def pair_tool_calls(entries: DataFrame) -> DataFrame:
     """Every call with its result or none; the table `tool_calls`."""
     paired = lookup(uses(entries), results(entries), ["file_path", "tool_use_id"])
-    return paired.withColumns({
+    named = paired.withColumns({
         "has_result": F.coalesce("has_result", F.lit(False)),
         "is_error": F.coalesce("is_error", F.lit(False)),
         "call_no": call_number(F.col("line_no"), F.col("pos")),
         "server": tool_server(F.col("tool_name")),
         "short_name": tool_short_name(F.col("tool_name")),
-    }).withColumn("kind", F.when(F.col("is_error"), failure_kind(F.col("result_text"))))
+    })
+    # The gate comes first: only flagged results are classified.
+    return fenced(named, F.when(F.col("is_error"), failure_kind(F.col("result_text"))).alias("kind"))
 
 
 def tool_counts(calls: DataFrame, by: list[str], name: str = "short_name") -> DataFrame:

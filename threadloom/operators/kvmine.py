@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
-from threadloom.functions.text import snippet, user_regex
+from threadloom.functions.fence import fenced, let
+from threadloom.functions.text import snippet
 from threadloom.operators.ordered import first_rows, lookup
 
 _TOTAL = "TOTAL"
@@ -74,17 +75,18 @@ def prompts(kv: DataFrame) -> DataFrame:
 
 def prompt_categories(text: Column) -> Column:
     """All behaviour categories of a prompt; patterns are tried on the lower-cased text."""
-    lowered = F.lower(text)
-    found = [
-        F.when(F.rlike(lowered, F.lit("(?Ud)" + "|".join(f"(?:{p})" for p in patterns))), F.lit(name))
-        for name, patterns in V.PROMPT_CATEGORIES.items() if patterns
-    ]
-    return F.array_compact(F.array(*found))
+    def found(lowered: Column) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(F.rlike(lowered, F.lit("(?Ud)" + "|".join(f"(?:{p})" for p in patterns))), F.lit(name))
+            for name, patterns in V.PROMPT_CATEGORIES.items() if patterns
+        ]))
+
+    return let(F.lower(text), found)
 
 
 def classified(rows: DataFrame, min_length: int = V.PROMPT_MIN_CHARS) -> DataFrame:
     long = rows.where(F.length("text") >= min_length)
-    return long.withColumn("categories", prompt_categories(F.col("text"))).withColumn(
+    return fenced(long, prompt_categories(F.col("text")).alias("categories")).withColumn(
         "category", F.explode("categories")
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions.entry_text import with_texts
+from threadloom.functions.fence import fenced
 from threadloom.functions.tools import failure_kind
 from threadloom.operators import activity as ACT
 from threadloom.operators import agents, calls, failures, search, sessions
@@ -80,12 +81,12 @@ def failure_section(spark, d):
 
 
 def failure_shapes(spark, d):
-    rows = tables.document_calls(spark, d).withColumn("kind", failure_kind(F.col("result_text")))
+    rows = fenced(tables.document_calls(spark, d), failure_kind(F.col("result_text")).alias("kind"))
     return failures.unclassified_shapes(rows).select("shape", "count", "sessions")
 
 
 def document_kinds(spark, d):
-    rows = tables.document_calls(spark, d).withColumn("kind", failure_kind(F.col("result_text")))
+    rows = fenced(tables.document_calls(spark, d), failure_kind(F.col("result_text")).alias("kind"))
     return failures.by_kind(rows).select("kind", "category", "count", "sessions")
 
 
@@ -264,7 +265,6 @@ _ERR = "has_result AND (is_error OR regexp_matches(lower(left(result_text, 300))
 
 _LO, _HI, _B = WINDOW.lo_micros, WINDOW.hi_micros, WINDOW.bucket_micros
 _M = WINDOW.bucket_minutes
-_LOCAL = f"timezone('{WINDOW.tz}', to_timestamp(({_LO} + BUCKET * {_B}) / 1000000.0))"
 
 
 def _local(bucket: str) -> str:

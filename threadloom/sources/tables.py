@@ -46,7 +46,11 @@ TURN_TAIL = "-0000-4000-9000-000000000000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that comes in fewer splits than there are cores (a single small file) is
+    spread first; a large one already has its splits and is not shuffled."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _pick(values: list[str], index: Column) -> Column:

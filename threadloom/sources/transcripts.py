@@ -23,7 +23,7 @@ _PATH_RUN = "/subagents/(?:.*/)?workflows/([^/]+)/"
 _PATH_STEM = "([^/]+)\\.jsonl$"
 
 # Longest line the strict JSON check can hold; longer ones are checked by from_json alone.
-_STRICT_CHARS = 3_500_000
+_STRICT_CHARS = 20_000_000
 _JSON = {"maxStringLen": "2147483647", "allowSingleQuotes": "false"}
 
 _ENVELOPE = """
@@ -170,10 +170,11 @@ def _typed(lines: DataFrame) -> DataFrame:
     # copy the parse into every filter, and a line is parsed once.
     parsed = lines.where(text != "").select(*keep, "value", F.explode(F.array(envelope)).alias("e"))
     e = F.col("e")
-    # from_json forgives text after the object; the variant parser does not.
-    broken = F.when(
-        F.length("value") <= _STRICT_CHARS, F.try_parse_json("value").isNull()
-    ).otherwise(F.lit(False))
+    # from_json forgives text after the object; as the only element of a list it must stand alone.
+    alone = F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit("]")))
+    broken = F.when(F.length("value") <= _STRICT_CHARS, F.coalesce(alone, F.lit(0)) != 1).otherwise(
+        e["_corrupt"].isNotNull() & e["type"].isNull()
+    )
     no_object = ~F.startswith(F.ltrim("value", F.lit(V.WHITESPACE)), F.lit("{"))
     enveloped = e["uuid"].isNotNull() & e["sessionId"].isNotNull() & F.col("ts").isNotNull()
     said = e["message"]["content"].isNotNull()
@@ -240,7 +241,7 @@ def entries(lines: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0))
     from_path = {k: v for k, v in path_columns(F.col("file_path")).items() if k not in keep}
     typed = typed.withColumns({
-        "_elements": F.when(talk, elements).when(
+        "_elements": F.when(talk & F.startswith(m["content"], F.lit("[")), elements).when(
             queued, F.from_json("value", "content ARRAY<STRING>", _JSON)["content"]
         ),
         "_bare": F.when(queued, e["content"]).otherwise(m["content"]),
