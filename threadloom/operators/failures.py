@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as V
 from threadloom.functions.entry_text import has_failure
 from threadloom.functions.text import collapse_ws
+from threadloom.operators.ordered import matching
 from threadloom.functions.tools import canonical_server, failure_category, parse_kinds
 
 ORDER = ["project", "session_id", "agent_id", "line_no", "pos"]
@@ -34,7 +35,7 @@ def error_files(entries: DataFrame) -> DataFrame:
 def in_error_files(calls: DataFrame, files: DataFrame | None = None) -> DataFrame:
     if files is None:
         files = calls.where(F.col("is_error")).select("file_path").distinct()
-    return calls.join(files, "file_path", "left_semi")
+    return matching(calls, files, ["file_path"])
 
 
 def _order() -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions.text import collapse
-from threadloom.operators.ordered import first_rows, previous_value, running_count
+from threadloom.operators.ordered import first_rows, previous_value, rank_by_sort, running_count
 
 _SPOT = ["review_id", "file_key", "title_key"]
 
@@ -182,24 +182,12 @@ def staged(merged: DataFrame, mode: str = "report-only") -> DataFrame:
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Stable numbers over the primary findings of each review.
-
-    Merged findings of one review are what a person reads; should one review still hold most of
-    them, its rows are ranked in two levels, by file and then within it.
-    """
-    primary = rows.where(F.col("stage") == "primary")
-    order = [_rank(F.col("severity"), V.SEVERITIES), F.desc("confidence"), "file", "line", "title_key", "island"]
-    # Level 1: how many findings of the review stand in stronger (severity, confidence, file) cells.
-    cell = ["review_id", "severity", "confidence", "file"]
-    cells = primary.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy("review_id").orderBy(
-        _rank(F.col("severity"), V.SEVERITIES), F.desc("confidence"), "file"
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*cell).orderBy(*order[3:])
-    return primary.withColumn("_in", F.row_number().over(inside)).join(cells, cell).withColumn(
-        "number", F.col("_in") + F.col("_before")
-    ).drop("_in", "_before")
+    """Stable numbers over the primary findings of each review, however many one review has."""
+    order = [
+        _rank(F.col("severity"), V.SEVERITIES).asc(), F.col("confidence").desc(), F.col("file").asc(),
+        F.col("line").asc(), F.col("title_key").asc(), F.col("island").asc(),
+    ]
+    return rank_by_sort(rows.where(F.col("stage") == "primary"), ["review_id"], order, "number")
 
 
 def suppressed_counts(rows: DataFrame) -> DataFrame:
@@ -266,9 +254,15 @@ def detail_join(rows: DataFrame, details: DataFrame) -> DataFrame:
         F.floor(F.col("line") / strip).alias("_strip"), F.col("line").alias("_line"),
         normalise_title(F.col("title")).alias("_title"), "detail",
     )
-    # A reviewer's repeats on one line collapse first, so a hot line meets the join once per title.
-    have = have.groupBy("review_id", "reviewer", "file_key", "_strip", "_line", "_title").agg(F.min("detail").alias("detail"))
-    near = looks.join(have, ["review_id", "reviewer", "file_key", "_strip"]).where(
+    spot = ["review_id", "reviewer", "file_key", "_strip"]
+    # One detail per line and title, and one per line for any title: a strip never meets more than
+    # its seven lines, so no pairs of many findings with many details arise.
+    titled = have.groupBy(*spot, "_line", "_title").agg(F.min("detail").alias("detail"))
+    any_title = titled.groupBy(*spot, "_line").agg(F.min(F.struct("_title", "detail")).alias("d")).select(
+        *spot, "_line", "d._title", "d.detail"
+    )
+    same = looks.withColumn("_title", F.col("title_key")).join(titled, [*spot, "_title"])
+    near = same.unionByName(looks.join(any_title, spot)).where(
         F.abs(F.col("line") - F.col("_line")) <= V.LINE_GAP
     )
     best = near.groupBy("review_id", "number").agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions.ids import id_matches
-from threadloom.operators.ordered import lookup, previous_value, running_count
+from threadloom.operators.ordered import lookup, matching, previous_value, running_count
 from threadloom.session import cut_lineage
 
 _TURN = """type STRING, uuid STRING, parentUuid STRING, isSidechain BOOLEAN, timestamp STRING,
@@ -80,7 +80,7 @@ def trim_tail(rows: DataFrame, order: str = "line_no", group: list[str] | None =
     if resumable:
         noise = noise | ((F.col("type") == "assistant") & F.col("has_call"))
     last = rows.groupBy(*keys).agg(F.max(F.when(~noise, F.col(order))).alias("_last"))
-    return rows.join(last, keys).where(F.col(order) <= F.col("_last")).drop("_last")
+    return lookup(rows, last, keys).where(F.col(order) <= F.col("_last")).drop("_last")
 
 
 def tail_state(rows: DataFrame, order: str = "line_no", group: list[str] | None = None) -> DataFrame:
@@ -167,11 +167,12 @@ def _reached(targets: DataFrame, links: DataFrame) -> DataFrame:
 
 def _chain(numbered: DataFrame, reached: DataFrame) -> DataFrame:
     """Turns on the way, numbered from the root (1) to the target."""
-    on = numbered.join(reached, ["file_path", "segment"]).where(F.col("turn_no") <= F.col("entry_turn"))
+    # An unbroken transcript is one segment, so this key may be hot on the left.
+    on = lookup(numbered, reached, ["file_path", "segment"]).where(F.col("turn_no") <= F.col("entry_turn"))
     away = F.col("distance") + F.col("entry_turn") - F.col("turn_no")
-    on = on.select("key", "file_path", "line_no", away.alias("_away"))
+    on = cut_lineage(on.select("key", "file_path", "line_no", away.alias("_away")))
     far = on.groupBy("key").agg(F.max("_away").alias("_far"))
-    return on.join(far, "key").select("key", "file_path", "line_no", (F.col("_far") - F.col("_away") + 1).alias("chain_no"))
+    return lookup(on, far, ["key"]).select("key", "file_path", "line_no", (F.col("_far") - F.col("_away") + 1).alias("chain_no"))
 
 
 def ancestor_chain(rows: DataFrame, targets: DataFrame) -> DataFrame:
@@ -205,15 +206,15 @@ def active_thread(rows: DataFrame, drop_sidechain: bool = False) -> DataFrame:
         (F.col("state") == "root")
         & (F.col("head_uuid").isNull() | F.coalesce(F.col("head_uuid") == F.col("first_uuid"), F.lit(False)))
     )
-    whole = root.select("file_path").distinct()
-    chain = _chain(numbered, reached).join(whole, "file_path", "left_semi").drop("key")
+    whole = cut_lineage(root.select("file_path").distinct())
+    chain = matching(_chain(numbered, reached).drop("key"), whole, ["file_path"])
     threaded = rows.join(chain, ["file_path", "line_no"]).withColumn("is_thread", F.lit(True))
-    rest = running_count(rows.join(whole, "file_path", "left_anti"), ["file_path"], "line_no", "chain_no")
-    kept = threaded.unionByName(rest.withColumn("is_thread", F.lit(False)))
+    rest = running_count(matching(rows, whole, ["file_path"], anti=True), ["file_path"], "line_no", "chain_no")
+    kept = cut_lineage(threaded.unionByName(rest.withColumn("is_thread", F.lit(False))))
     sizes = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("_all"))
     kept_sizes = kept.groupBy("file_path").agg(F.count(F.lit(1)).alias("_kept"))
     dropped = sizes.join(kept_sizes, "file_path").select("file_path", (F.col("_all") - F.col("_kept")).alias("dropped"))
-    return kept.join(dropped, "file_path")
+    return lookup(kept, dropped, ["file_path"])
 
 
 # --- views of a copy and of a rewind -----------------------------------------------------------------------
@@ -231,15 +232,15 @@ def thread_copy(rows: DataFrame, requests: DataFrame, to_agent: bool) -> DataFra
 
     `requests` has file_path, source_id, source_project, new_id and parent_session.
     """
-    wanted = rows.join(requests.select("file_path"), "file_path", "left_semi")
+    wanted = cut_lineage(matching(rows, requests, ["file_path"]))
     prior = prior_lineage(wanted)
     thread = active_thread(wanted, drop_sidechain=to_agent)
-    linear = relinearize(thread, "chain_no")
+    linear = cut_lineage(relinearize(thread, "chain_no"))
     kept = trim_tail(linear, "chain_no")
     hop = lambda kind, i: F.struct(F.lit(kind).alias("as"), F.col(i).alias("id"))
     source, target = ("session", "subagent") if to_agent else ("subagent", "session")
     empty = F.array().cast("array<struct<as:string,id:string>>")
-    return kept.join(requests, "file_path").join(prior, "file_path", "left").select(
+    return lookup(lookup(kept, requests, ["file_path"]), prior, ["file_path"]).select(
         "file_path", "chain_no", "type", "uuid", "parent_uuid", "message_json", "model", "dropped", "is_thread",
         F.lit(to_agent).alias("is_sidechain"),
         (F.col("parent_session") if to_agent else F.col("new_id")).alias("session_id"),
@@ -265,9 +266,9 @@ def rewind_view(rows: DataFrame, requests: DataFrame, copies: DataFrame | None =
     chain = chain.withColumnRenamed("key", "request_id")
     cut = good.select("request_id", "cut", F.col("line_no").alias("_target"))
     kept = chain.join(cut, "request_id").where((F.col("cut") == "after") | (F.col("line_no") != F.col("_target"))).drop("cut", "_target")
-    kept = kept.join(rows, ["file_path", "line_no"])
+    kept = cut_lineage(kept.join(rows, ["file_path", "line_no"]))
     keys = ["request_id"]
-    tail = trim_tail(kept, "chain_no", keys, resumable=True)
+    tail = cut_lineage(trim_tail(kept, "chain_no", keys, resumable=True))
     sized = lambda df, name: df.groupBy("request_id").agg(F.count(F.lit(1)).alias(name))
     before = rows.groupBy("file_path").agg(F.count(F.lit(1)).alias("turns_before"))
     last = tail.groupBy("request_id").agg(F.max("chain_no").alias("_end"))

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import cut_lineage
+
 BLOCK = 1 << 16
 _B = "_block"
 
@@ -76,18 +78,21 @@ def lookup(
 ) -> DataFrame:
     """Left join to a side with one row per key, where a key may be hot on the left.
 
-    Keys with at least `hot_rows` left rows are at most |left| / hot_rows many, a bound that makes
-    broadcasting them safe. Their left rows spread over `salts` partitions and their single right
-    row is repeated as often; all other keys join as usual.
+    Keys with at least `hot_rows` left rows are counted first, on the key columns alone. They are at
+    most |left| / hot_rows many, a bound that makes listing and broadcasting them safe. Usually
+    there are none and the join is an ordinary one. Otherwise the hot keys' left rows (and rows
+    without a key) spread over `salts` partitions and the matching right rows are repeated as often.
     """
-    hot = (
-        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ord_n"))
-        .where(F.col("_ord_n") >= hot_rows).select(*keys, F.lit(True).alias("_hot"))
-    )
-    hot = F.broadcast(hot)
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns if c not in keys and _plain(left, c)]), F.lit(salts))
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ord_n")).where(F.col("_ord_n") >= hot_rows)
+    found = counts.select(*keys).collect()
+    if not found:
+        return left.join(right, keys, "left")
+    hot = F.broadcast(left.sparkSession.createDataFrame(found, counts.select(*keys).schema).withColumn("_hot", F.lit(True)))
+    own = [F.col(f"`{c}`") for c in left.columns if c not in keys and _plain(left, c)]
+    spread = F.pmod(F.xxhash64(*own), F.lit(salts)) if own else F.pmod(F.monotonically_increasing_id(), F.lit(salts))
+    keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     salted = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), spread).otherwise(F.lit(0)).cast("int")
+        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(F.lit(0)).cast("int")
     ).drop("_hot")
     repeated = right.join(hot, keys, "left").withColumn(
         "_salt",
@@ -96,6 +101,32 @@ def lookup(
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
+def matching(left: DataFrame, right: DataFrame, keys: list[str], anti: bool = False) -> DataFrame:
+    """Rows of `left` whose key occurs in `right` (or does not), with hot keys spread."""
+    flags = right.select(*keys).distinct().withColumn("_found", F.lit(True))
+    found = F.col("_found").isNotNull()
+    return lookup(left, flags, keys).where(~found if anti else found).drop("_found")
+
+
+def rank_by_sort(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
+    """Exact row numbers within a group of any size, for orders that are no dense number.
+
+    The rows are range-partitioned by group and order and written with their partition number.
+    A row's number is its place within its range plus the sizes of the group's earlier ranges.
+    """
+    placed = cut_lineage(
+        df.repartitionByRange(*[F.col(g) for g in group], *order).withColumn("_range", F.spark_partition_id())
+    )
+    inside = Window.partitionBy("_range", *group).orderBy(*order)
+    across = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_range", *group).agg(F.count(F.lit(1)).alias("_ord_n")).withColumn(
+        "_ord_before", F.coalesce(F.sum("_ord_n").over(across), F.lit(0))
+    ).drop("_ord_n")
+    return placed.withColumn(out, F.row_number().over(inside)).join(ranges, ["_range", *group]).withColumn(
+        out, F.col(out) + F.col("_ord_before")
+    ).drop("_range", "_ord_before")
+
+
 def _plain(df: DataFrame, name: str) -> bool:
     kind = df.schema[name].dataType.typeName()
     return kind in ("long", "integer", "string", "timestamp", "double")

@@ -15,6 +15,7 @@ from threadloom.operators import calls as C
 from threadloom.operators import failures as FL
 from threadloom.operators import search as SE
 from threadloom.operators import sessions as S
+from threadloom.operators.ordered import matching
 from threadloom.sources import projects as P
 
 
@@ -43,7 +44,7 @@ def search_projects(
                 S.first_by_line("ts", F.col("ts").isNotNull()).alias("first_ts")
             ), after, before,
         )
-        rows = rows.join(dated.select("session_id"), "session_id", "left_semi")
+        rows = matching(rows, dated, ["session_id"])
     per_session = SE.triage(rows, patterns, role, width, hide, errors_only)
     rollup = SE.pattern_rollup(per_session).orderBy(F.desc("hits"), "pattern")
     return rollup, SE.pattern_examples(per_session)
@@ -57,7 +58,7 @@ def grep_session(entries: DataFrame, session: str, patterns: list[str], **option
 def read_turn(entries: DataFrame, turn: str, context: int = 3, hide: frozenset[str] = frozenset()) -> DataFrame:
     """A turn by id or prefix with its surroundings; only its own transcript is numbered."""
     anchors = SE.find_turn(entries, turn)
-    place = entries.join(anchors.select("file_path").distinct(), "file_path", "left_semi")
+    place = matching(entries, anchors, ["file_path"])
     return SE.read_turn(place, anchors, context, hide)
 
 
@@ -78,7 +79,7 @@ def list_agents(entries: DataFrame, transcripts: DataFrame, meta: DataFrame | No
 def agent_detail(entries: DataFrame, transcripts: DataFrame, agent: str, meta: DataFrame | None = None, truncate: int = 80) -> tuple[DataFrame, DataFrame]:
     """One agent's row and its trace; other sessions are filtered out first."""
     mine = transcripts.where(id_matches(F.col("agent_id"), F.lit(agent))).select("session_id").distinct()
-    rows = entries.join(mine, "session_id", "left_semi")
+    rows = matching(entries, mine, ["session_id"])
     files = transcripts.join(mine, "session_id", "left_semi")
     about = list_agents(rows, files, meta).where(id_matches(F.col("agent_id"), F.lit(agent)))
     body = rows.where(id_matches(F.col("agent_id"), F.lit(agent)))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
+from threadloom.operators.ordered import matching
 
 _PATH_AGENT = "/subagents/(?:.*/)?agent-([^/]*)\\.jsonl$"
 _PATH_SESSION = "/([^/]+)/subagents/"
@@ -338,7 +339,7 @@ def provenance(lines: DataFrame) -> DataFrame:
 
 
 def without_copies(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    return rows.join(copies.select("file_path"), "file_path", "left_anti")
+    return matching(rows, copies, ["file_path"], anti=True)
 
 
 # --- the transcripts dimension ----------------------------------------------------------------------------

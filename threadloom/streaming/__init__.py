@@ -1 +1,5 @@
+"""Nothing here computes: the questions this library answers have no stream operators.
 
+A file stream sees new files, not lines appended to files it has read, while transcripts grow by
+appending. "Live" use is to run a query again with `scan_lines(..., modified_since=...)`.
+"""
