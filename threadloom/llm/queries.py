@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import exact_dedup, quality, sharding
+from threadloom.llm import bpe, exact_dedup, mixing, quality, sharding
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
 
+def vocabulary_path() -> str:
+    """The public vocabulary that every machine has; its package is not one of the library's."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,6 +25,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", F.col("shard_slot").alias("slot"), "shard")
@@ -29,5 +40,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, weights)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op6_sharding, op7_quality_rules)}
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_bpe, op6_sharding, op7_quality_rules, op8_mixing)}
 ORACLES: dict[str, str] = {}
