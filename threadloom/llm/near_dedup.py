@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.components import components
+from threadloom.llm.components import bucket_links, components
 from threadloom.llm.words import hash_words, mix, slices, split
-from threadloom.session import cut_lineage, drop_table
+from threadloom.session import cut_lineage
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -173,37 +173,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     # Sets that are equal are one class; what belongs to the set is the same in all its rows.
     reps = cut_lineage(named.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
     members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    hubs = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    # Only buckets of two or more are of use from here on: (bucket, id, n, low, high), narrow.
-    shared = cut_lineage(members.join(hubs, "bucket"))
     sizes = F.col("n_a").cast("double") / F.col("n_b")
-    fits = (sizes * den >= num) & (sizes * num <= den)
-    estimate = num / den - MARGIN
-    n_of = lambda side: reps.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"))
-
-    def star(hub: str) -> DataFrame:
-        pairs = shared.where(f"id != {hub}").select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
-        return pairs.join(n_of("a"), "a").join(n_of("b"), "b").where(fits).select("a", "b")
-
-    tried = cut_lineage(star("low").unionByName(star("high")).distinct())
-    near = cut_lineage(_agreeing(tried, reps, estimate))
-    wanted = cut_lineage(shared.select("id").distinct())
-    sets = cut_lineage(_sets(docs, wanted, id_col, text_col, width))
-    links = cut_lineage(_confirmed(near, sets, num, den))
-    found = components(links)
 
-    # What the hubs left apart: pairs of a bucket's members across components.
-    label = F.coalesce("component", "id")
-    labelled = shared.select("bucket", "id", "n").join(found, "id", "left").select("bucket", "id", "n", label.alias("c"))
-    split_up = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
-    rest = cut_lineage(labelled.join(split_up, "bucket", "left_semi"))
-    left = rest.select("bucket", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("c").alias("c_a"))
-    right = rest.select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("c").alias("c_b"))
-    cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
-    more = cut_lineage(_agreeing(cross.join(tried, ["a", "b"], "left_anti"), reps, estimate))
-    if not more.isEmpty():
-        links = links.unionByName(cut_lineage(_confirmed(more, sets, num, den)))
-        found = components(links)
+    def confirm(pairs: DataFrame) -> DataFrame:
+        near = cut_lineage(_agreeing(pairs, reps, num / den - MARGIN))
+        if near.isEmpty():
+            return near
+        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        return _confirmed(near, cut_lineage(_sets(docs, wanted, id_col, text_col, width)), num, den)
+
+    links = bucket_links(members, confirm, (sizes * den >= num) & (sizes * num <= den))
+    found = components(links)
 
     home = named.select("key", "id").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep").distinct()
     # An id with several texts joins their classes.
@@ -212,8 +192,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         links = links.unionByName(home.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))).unionByName(
             several.select("a", "b"))
         found = components(links)
-    for t in (shared, tried, near, wanted, sets, rest, more):
-        drop_table(t)
     final = home.join(found.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
     out = sketch.select("id", "n").join(final, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))

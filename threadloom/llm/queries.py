@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, exact_dedup, mixing, quality, sharding
+from threadloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
@@ -25,6 +25,21 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = language_id.predict(docs, language_id.fit(docs))
+    return told.withColumn("held_out", language_id.held_out(F.col("doc_id")))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -44,5 +59,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op5_bpe, op6_sharding, op7_quality_rules, op8_mixing)}
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_html_text, op5_bpe, op6_sharding, op7_quality_rules, op8_mixing,
+    op9_near_dedup, op10_line_dedup,
+)}
 ORACLES: dict[str, str] = {}
