@@ -11,7 +11,7 @@ from threadloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
+        "spark.sql.shuffle.partitions": "8", "spark.threadloom.spread": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false",
     })
     s.sparkContext.setLogLevel("ERROR")

@@ -23,6 +23,14 @@ def id_matches(left: Column, right: Column) -> Column:
     return (left != "") & (right != "") & F.when(short, prefix).otherwise(left == right)
 
 
+def names(column: Column, typed: str) -> Column:
+    """`id_matches` with an id a user typed, in a form that reaches the scan: equality or a prefix one way, a list
+    of the typed id's own prefixes the other way."""
+    forward = column == typed if len(typed) >= V.FULL_ID else F.startswith(column, F.lit(typed)) & F.lit(bool(typed))
+    shorter = [typed[:k] for k in range(1, min(len(typed), V.FULL_ID))]
+    return forward | column.isin(shorter) if shorter else forward
+
+
 def check_turn_id(turn: str) -> str:
     if not turn or not re.match(V.TURN_ID_PATTERN, turn):
         raise ValueError(f"{turn!r} is not a turn id or a prefix of at least 8 hex digits")

@@ -159,8 +159,7 @@ def cut_ellipsis(text: Column, limit: int) -> Column:
 
 def match_start(text: Column, pattern: str) -> Column:
     """Zero-based character position of the first match in `text`, null when there is none."""
-    before = F.element_at(F.split(text, pattern, 2), 1)
-    return F.when(F.rlike(text, F.lit(pattern)), F.length(before))
+    return F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0)) - 1
 
 
 def with_excerpt(df: DataFrame, text: str, start: str, width: int, out: str) -> DataFrame:

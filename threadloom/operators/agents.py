@@ -11,6 +11,7 @@ from threadloom.functions.tools import telling_input
 from threadloom.operators import calls as C
 from threadloom.operators import sessions as S
 from threadloom.operators.ordered import union_all
+from threadloom.session import cut_lineage
 
 _STATS = ["total_duration_ms", "total_tokens", "total_tool_use_count"]
 _USAGE = ["input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens"]
@@ -134,28 +135,30 @@ def reconcile(made: DataFrame, files: DataFrame) -> DataFrame:
     """Dispatches and files as one population: dispatched, dispatch_only or orphan.
 
     A file belongs to the dispatch its sidecar names, else to the dispatch that reported its agent
-    id. Of several files for one dispatch the last by path counts.
+    id. Of several files for one dispatch the first by path gives the agent, the last one the transcript.
     """
+    made = cut_lineage(made)
     by_call = made.groupBy("session_id", "tool_use_id").agg(F.max("call_no").alias("call_no"))
     by_agent = made.where(F.coalesce("agent_id", F.lit("")) != "").groupBy("session_id", "agent_id").agg(
         F.max("call_no").alias("call_no")
     )
     about = ["file_path", "session_id", "agent_id", "workflow_run_id", "is_artifact"]
-    body = files.select(*about, "tool_use_id", "agent_type", F.col("description").alias("file_description"))
+    body = cut_lineage(files.select(*about, "tool_use_id", "agent_type", F.col("description").alias("file_description")))
     named = body.where(F.col("tool_use_id") != "").join(by_call, ["session_id", "tool_use_id"]).select(*about, "call_no")
     rest = body.join(named.select("file_path"), "file_path", "left_anti")
     reported = rest.join(by_agent, ["session_id", "agent_id"]).select(*about, "call_no")
     matched = named.unionByName(reported)
     per_call = matched.groupBy("session_id", "call_no").agg(
-        F.max(F.struct("file_path", "agent_id", "workflow_run_id", "is_artifact")).alias("f")
+        F.max(F.struct("file_path", "workflow_run_id", "is_artifact")).alias("f"),
+        F.min_by("agent_id", "file_path").alias("_agent"),
     )
     known = made.drop("file_path").join(per_call, ["session_id", "call_no"], "left").withColumns({
-        "agent_id": F.coalesce(F.nullif("agent_id", F.lit("")), "f.agent_id"),
+        "agent_id": F.coalesce(F.nullif("agent_id", F.lit("")), "_agent"),
         "transcript": F.col("f.file_path"),
         "workflow_run_id": F.col("f.workflow_run_id"),
         "is_artifact": F.coalesce("f.is_artifact", F.lit(False)),
         "source": F.when(F.col("f").isNotNull(), "dispatched").otherwise("dispatch_only"),
-    }).drop("f")
+    }).drop("f", "_agent")
     orphans = body.join(matched.select("file_path"), "file_path", "left_anti").select(
         "session_id", "tool_use_id", "agent_id", "workflow_run_id", "is_artifact",
         F.col("file_path").alias("transcript"),

@@ -13,7 +13,8 @@ from threadloom.functions.tools import (
 )
 from threadloom.operators.ordered import lookup
 
-CALL_STRIDE = 1 << 12
+#: More than any place in a message, which is an array index; a line number past 2**32 fails instead of wrapping.
+CALL_STRIDE = 1 << 31
 
 
 def call_number(line_no: Column, pos: Column) -> Column:
@@ -100,5 +101,20 @@ def tool_audit(calls: DataFrame, by: list[str], name_filter: str | None = None)
     )
 
 
+def audit_coverage(calls: DataFrame, agents: DataFrame, name_filter: str | None = None) -> DataFrame:
+    """One row: agents present, agents with calls to audit, and the calls, rows and errors of all of them.
+
+    `agents` has one row per agent (session_id, agent_id).
+    """
+    by = ["session_id", "agent_id"]
+    audited = tool_audit(calls, by, name_filter).withColumn("audited", F.lit(1))
+    rows = agents.select(*by).distinct().join(audited, by, "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return rows.agg(
+        F.count(F.lit(1)).alias("agents_present"), total("audited").alias("agents_audited"),
+        total("calls").alias("calls"), total("rows").alias("rows"), total("errors").alias("errors"),
+    )
+
+
 def is_dispatch(name: Column) -> Column:
     return name.isin(V.DISPATCH_TOOLS)

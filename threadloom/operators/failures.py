@@ -12,7 +12,8 @@ from threadloom import fixed_values as V
 from threadloom.functions.entry_text import has_failure
 from threadloom.functions.text import collapse_ws
 from threadloom.operators.ordered import matching
-from threadloom.functions.tools import canonical_server, failure_category, parse_kinds
+from threadloom.session import cut_lineage
+from threadloom.functions.tools import FAILURE_KINDS, canonical_server, chosen, failure_category
 
 ORDER = ["project", "session_id", "agent_id", "line_no", "pos"]
 
@@ -28,13 +29,11 @@ def scope(calls: DataFrame, after: datetime | None = None, before: datetime | No
 
 
 def error_files(entries: DataFrame) -> DataFrame:
-    """Transcripts that hold a flagged result, whether or not a call claims it."""
-    return entries.where(has_failure(F.col("blocks"))).select("file_path").distinct()
+    """Transcripts that hold a flagged result, whether or not a call claims it, and their sessions."""
+    return entries.where(has_failure(F.col("blocks"))).select("session_id", "file_path").distinct()
 
 
-def in_error_files(calls: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    if files is None:
-        files = calls.where(F.col("is_error")).select("file_path").distinct()
+def in_error_files(calls: DataFrame, files: DataFrame) -> DataFrame:
     return matching(calls, files, ["file_path"])
 
 
@@ -60,16 +59,18 @@ def survey(
     kinds: str | None = None, include_cascade: bool = False, examples: bool = False,
     files: DataFrame | None = None,
 ) -> Survey:
-    wanted = parse_kinds(kinds)
-    keep_cascade = include_cascade or (wanted is not None and "cascade" in wanted)
+    wanted = chosen(kinds, FAILURE_KINDS)
+    keep_cascade = include_cascade or "cascade" in wanted
+    if files is None:
+        files = calls.where(F.col("is_error")).select("session_id", "file_path").distinct()
     scanned = scope(in_error_files(calls, files), after, before)
     suppressed = F.lit(False) if keep_cascade else F.col("kind") == "cascade"
     counted = F.col("is_error") & ~suppressed
-    if wanted is not None:
-        counted = counted & F.col("kind").isin(wanted)
+    if wanted:
+        counted = counted & F.col("kind").isin(sorted(wanted))
     failed = scanned.where(counted)
     return Survey(
-        totals=totals(scanned, counted, F.col("is_error") & suppressed),
+        totals=totals(scanned, counted, F.col("is_error") & suppressed, files),
         by_kind=by_kind(failed, examples),
         by_tool=by_tool(scanned, counted),
         by_session=by_session(failed),
@@ -77,7 +78,8 @@ def survey(
     )
 
 
-def totals(scanned: DataFrame, counted: Column, suppressed: Column) -> DataFrame:
+def totals(scanned: DataFrame, counted: Column, suppressed: Column, files: DataFrame) -> DataFrame:
+    """Counts of failed calls, and of every file that was scanned for them, whether or not it has one to count."""
     flagged = scanned.select(
         "session_id", "file_path",
         F.when(counted, 1).otherwise(0).alias("_c"),
@@ -89,17 +91,19 @@ def totals(scanned: DataFrame, counted: Column, suppressed: Column) -> DataFrame
         F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.sum("_u").alias("_u")
     )
     per_session = per_file.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("_f"), F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.sum("_u").alias("_u")
+        F.sum("_c").alias("_c"), F.sum("_s").alias("_s"), F.sum("_u").alias("_u")
     )
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return per_session.agg(
+    read = files.groupBy("session_id").agg(F.count(F.lit(1)).alias("_f")).agg(
+        F.count(F.lit(1)).alias("sessions_scanned"), zero("_f").alias("transcripts_scanned"))
+    counts = per_session.agg(
         zero("_c").alias("total"),
         F.count_if(F.col("_c") > 0).alias("sessions_affected"),
         zero("_u").alias("unclassified_total"),
         zero("_s").alias("cascade_suppressed"),
-        F.count(F.lit(1)).alias("sessions_scanned"),
-        zero("_f").alias("transcripts_scanned"),
     )
+    # Two one-row frames: one row of both.
+    return counts.select("*", *[read.select(c).scalar().alias(c) for c in read.columns])
 
 
 def _example() -> Column:
@@ -172,15 +176,16 @@ def by_tool(scanned: DataFrame, counted: Column) -> DataFrame:
     have one row per spelling and kind, so the joins are over names, not calls.
     """
     rows = scanned.withColumn("_err", counted)
-    spellings = rows.groupBy("tool_name", "server", "short_name", "kind", "_err").agg(
+    # Written once: every frame below is read several times, and this one has a row per name and kind.
+    spellings = cut_lineage(rows.groupBy("tool_name", "server", "short_name", "kind", "_err").agg(
         F.count(F.lit(1)).alias("_n"), F.min(_order()).alias("_first")
-    )
+    ))
     spelled = spellings.groupBy("tool_name", "server", "short_name").agg(
-        F.sum("_n").alias("calls"), F.sum(F.when(F.col("_err"), F.col("_n")).otherwise(0)).alias("errors")
+        F.sum("_n").alias("calls"), F.min("_first").alias("_first")
     ).withColumn("server_key", canonical_server(F.col("server")))
     merged = spelled.groupBy("server_key", "short_name").agg(
         F.sum("calls").alias("calls"),
-        F.min_by("tool_name", F.struct((-F.col("calls")).alias("n"), "tool_name")).alias("tool_name"),
+        F.min_by("tool_name", F.struct((-F.col("calls")).alias("n"), "_first")).alias("tool_name"),
     )
     servers = merged.where(F.col("server_key").isNotNull()).groupBy("short_name").agg(
         F.count(F.lit(1)).alias("_servers"),
@@ -221,5 +226,17 @@ def section(rows: DataFrame, count: str, tie: list[str], limit: int) -> DataFram
     return rows.orderBy(F.desc(count), *tie).limit(limit).withColumn("section_total", total)
 
 
-def overflow_text(shown: int, total: int, noun: str, how: str) -> str | None:
-    return None if shown >= total else f"showing {shown} of {total} {noun} — {how}"
+def overflow_text(total: Column, limit: int, noun: str, how: str) -> Column:
+    """What a section leaves out; null when it shows all."""
+    return F.when(total > limit, F.format_string(f"showing {limit} of %d {noun} — {how}", total))
+
+
+def report(found: Survey, limit: int = 10) -> dict[str, DataFrame]:
+    """The survey as sections, most hits first, each with its overflow text."""
+    parts = {"by_kind": (found.by_kind, "count", "kind"), "by_tool": (found.by_tool, "errors", "tool"),
+             "by_session": (found.by_session, "errors", "session_id"), "unclassified": (found.unclassified, "count", "shape")}
+    out = {"totals": found.totals}
+    for name, (rows, hits, tie) in parts.items():
+        shown = section(rows, hits, [tie], limit)
+        out[name] = shown.withColumn("overflow", overflow_text(F.col("section_total"), limit, "rows", "raise the limit"))
+    return out

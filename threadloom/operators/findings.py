@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as V
 from threadloom.functions.text import collapse
 from threadloom.operators.ordered import first_rows, previous_value, rank_by_sort, running_count
+from threadloom.session import cut_lineage
 
 _SPOT = ["review_id", "file_key", "title_key"]
 
@@ -48,6 +49,24 @@ def _fault() -> Column:
     )
 
 
+_RETURN_PARTS = ["reviewer", "findings", "residual_risks", "testing_gaps"]
+
+
+def _whole() -> Column:
+    return F.coalesce(F.btrim("reviewer"), F.lit("")).__ne__("") & F.forall(
+        F.array(*[F.col(c).isNotNull() for c in _RETURN_PARTS]), lambda there: there)
+
+
+def whole_returns(returns: DataFrame) -> DataFrame:
+    """Returns of reviewers that have all their parts; one that lacks a part drops with all its findings."""
+    return returns.where(_whole())
+
+
+def dropped_returns(returns: DataFrame) -> DataFrame:
+    """Returns that lack a part, per review."""
+    return returns.where(~_whole()).groupBy("review_id").agg(F.count(F.lit(1)).alias("dropped_returns"))
+
+
 def validate(findings: DataFrame) -> DataFrame:
     return findings.where(_fault().isNull())
 
@@ -77,12 +96,13 @@ def with_place(findings: DataFrame) -> DataFrame:
     ordered, so a spot that everybody flagged costs one row per line.
     """
     keyed = findings.withColumns({"file_key": normalise_file(F.col("file")), "title_key": normalise_title(F.col("title"))})
-    lines = keyed.select(*_SPOT, "line").distinct()
+    # Written once: the distinct lines and the rows they are joined to come from the same small table.
+    slim = cut_lineage(_per_reviewer(keyed))
+    lines = slim.select(*_SPOT, "line").distinct()
     stepped = previous_value(lines, _SPOT, "line", F.col("line"), "_before")
     fresh = F.col("_before").isNull() | (F.col("line") - F.col("_before") > V.LINE_GAP)
     islands = running_count(stepped.withColumn("_fresh", fresh), _SPOT, "line", "island", F.col("_fresh"))
     # One row per distinct line on the right; pre-aggregation below keeps the left small per spot.
-    slim = _per_reviewer(keyed)
     return slim.join(islands.select(*_SPOT, "line", "island"), [*_SPOT, "line"])
 
 

@@ -256,7 +256,10 @@ def rewind_view(rows: DataFrame, requests: DataFrame, copies: DataFrame | None =
 
     `requests` has request_id, file_path, turn and cut ('after' keeps the turn, 'before' drops it).
     """
-    named = rows.join(requests, "file_path").where(id_matches(F.col("uuid"), F.col("turn")) & F.startswith("uuid", F.col("turn")))
+    # A turn is named by eight characters at least, so those are part of the key.
+    head = lambda c: F.substring(c, 1, V.SHORT_ID)
+    named = rows.withColumn("_head", head("uuid")).join(requests.withColumn("_head", head("turn")), ["file_path", "_head"]).where(
+        id_matches(F.col("uuid"), F.col("turn")) & F.startswith("uuid", F.col("turn"))).drop("_head")
     found = named.groupBy("request_id").agg(
         F.count_distinct("uuid").alias("ids"), F.count(F.lit(1)).alias("hits"), F.max("line_no").alias("line_no"),
         F.max("uuid").alias("target"),

@@ -73,39 +73,18 @@ def first_rows(df: DataFrame, group: list[str], order: list[Column | str], k: in
     return ranked.where(F.col(rank) <= k)
 
 
-def lookup(
-    left: DataFrame, right: DataFrame, keys: list[str], hot_rows: int = 1_000_000, salts: int = 64,
-) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join to a side with one row per key, where a key may be hot on the left.
 
-    Keys with at least `hot_rows` left rows are counted first, on the key columns alone. They are at
-    most |left| / hot_rows many, a bound that makes listing and broadcasting them safe. Usually
-    there are none and the join is an ordinary one. Otherwise the hot keys' left rows (and rows
-    without a key) spread over `salts` partitions and the matching right rows are repeated as often.
+    Lazy: no job runs here. The adaptive planner splits a hot key's left rows over tasks, which a
+    left join allows, and broadcasts the right side only when its measured size is small.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ord_n")).where(F.col("_ord_n") >= hot_rows)
-    found = counts.select(*keys).collect()
-    if not found:
-        return left.join(right, keys, "left")
-    hot = F.broadcast(left.sparkSession.createDataFrame(found, counts.select(*keys).schema).withColumn("_hot", F.lit(True)))
-    own = [F.col(f"`{c}`") for c in left.columns if c not in keys and _plain(left, c)]
-    spread = F.pmod(F.xxhash64(*own), F.lit(salts)) if own else F.pmod(F.monotonically_increasing_id(), F.lit(salts))
-    keyless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
-    salted = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | keyless, spread).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot")
-    repeated = right.join(hot, keys, "left").withColumn(
-        "_salt",
-        F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))),
-    ).drop("_hot")
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right, keys, "left")
 
 
 def matching(left: DataFrame, right: DataFrame, keys: list[str], anti: bool = False) -> DataFrame:
-    """Rows of `left` whose key occurs in `right` (or does not), with hot keys spread."""
-    flags = right.select(*keys).distinct().withColumn("_found", F.lit(True))
-    found = F.col("_found").isNotNull()
-    return lookup(left, flags, keys).where(~found if anti else found).drop("_found")
+    """Rows of `left` whose key occurs in `right` (or does not); hot keys as in `lookup`."""
+    return left.join(right.select(*keys), keys, "left_anti" if anti else "left_semi")
 
 
 def rank_by_sort(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
@@ -127,10 +106,5 @@ def rank_by_sort(df: DataFrame, group: list[str], order: list[Column], out: str)
     ).drop("_range", "_ord_before")
 
 
-def _plain(df: DataFrame, name: str) -> bool:
-    kind = df.schema[name].dataType.typeName()
-    return kind in ("long", "integer", "string", "timestamp", "double")
-
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

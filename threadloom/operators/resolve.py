@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from threadloom import fixed_values as V
 from threadloom.functions.ids import id_matches
 
-MAX_IDS = 10_000
-
-
-def _few(wanted: DataFrame) -> DataFrame:
-    """The caller's list of ids, broadcast because a caller types it; larger lists just join."""
-    return F.broadcast(wanted) if wanted.limit(MAX_IDS + 1).count() <= MAX_IDS else wanted
-
-
 def _by_prefix(rows: DataFrame, wanted: DataFrame, column: str, min_len: int = 1) -> DataFrame:
     """Rows whose id equals a raw id, starts with it, or (being short) is its start.
 
@@ -26,12 +18,11 @@ def _by_prefix(rows: DataFrame, wanted: DataFrame, column: str, min_len: int = 1
     sizes = [r[0] for r in wanted.select(F.least(F.length("raw_id"), F.lit(V.FULL_ID)).alias("n")).distinct().collect()]
     if not sizes:
         sizes, wanted = [1], wanted.where(F.lit(False))
-    few = _few(wanted)
     cuts = F.array_distinct(F.array(*[F.substring(F.col(column), 1, n) for n in sorted(sizes)]))
     key = F.substring("raw_id", 1, V.FULL_ID)
-    down = rows.withColumn("_k", F.explode(cuts)).join(few.withColumn("_k", key), "_k")
+    down = rows.withColumn("_k", F.explode(cuts)).join(wanted.withColumn("_k", key), "_k")
     down = down.where(id_matches(F.col(column), F.col("raw_id"))).drop("_k")
-    longer = few.where(F.length("raw_id") > 1).withColumn(
+    longer = wanted.where(F.length("raw_id") > 1).withColumn(
         "_k", F.explode(F.transform(F.sequence(F.lit(1), F.length("raw_id") - 1), lambda n: F.substr("raw_id", F.lit(1), n)))
     )
     short = rows.where((F.length(column) < V.FULL_ID) & (F.col(column) != "")).withColumn("_k", F.col(column))

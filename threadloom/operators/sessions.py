@@ -141,6 +141,8 @@ def list_sessions(
 ) -> DataFrame:
     """Session rows that pass the filters, newest first. `agents` holds agents_present per session;
     the join is planned only when it is given."""
+    if min_agents and agents is None:
+        raise ValueError("min_agents needs the frame of agents per session")
     rows = sessions.where(
         (F.col("message_count") >= min_messages) & (F.col("tool_use_count") >= min_tools)
     )

@@ -450,8 +450,8 @@ SELECT session_id, '/work/' || any_value(project) AS original_cwd, 'b' || (min(t
 SELECT '/work/' || project AS project, project AS name, count(DISTINCT session_id) AS sessions, {tables.EPOCH} + max(turn) AS last_epoch FROM conv GROUP BY project""",
     "resolve_ids": f"""{_CONV}, s AS (SELECT DISTINCT session_id, left(session_id, 7) AS raw_id FROM conv WHERE entry_type <> 'system' AND display <> '')
 SELECT raw_id, count(*) AS candidates, CASE WHEN count(*) = 1 THEN 'unique' ELSE 'ambiguous' END AS status FROM s GROUP BY 1""",
-    "debate_live_moves": f"""{sql.MOVES} SELECT run_id, round, count(*) FILTER (WHERE move_type IN ('WITHDRAW','UPDATE','DISPUTE')) AS live_moves FROM moves WHERE round <= {V.MAX_ROUNDS} GROUP BY 1, 2""",
-    "debate_end_state": f"""{sql.MOVES}, r AS (SELECT run_id, round, count(*) FILTER (WHERE move_type IN ('WITHDRAW','UPDATE','DISPUTE')) AS n FROM moves WHERE round <= {V.MAX_ROUNDS} GROUP BY 1, 2),
+    "debate_live_moves": f"""{sql.MOVES} SELECT run_id, round, count(*) FILTER (WHERE move_type IN ('WITHDRAW','UPDATE','DISPUTE')) AS live_moves FROM moves GROUP BY 1, 2""",
+    "debate_end_state": f"""{sql.MOVES}, r AS (SELECT run_id, round, count(*) FILTER (WHERE move_type IN ('WITHDRAW','UPDATE','DISPUTE')) AS n FROM moves GROUP BY 1, 2),
 e AS (SELECT run_id, min(round) FILTER (WHERE n = 0) AS q, max(round) AS l FROM r GROUP BY 1)
-SELECT run_id, CASE WHEN q IS NOT NULL THEN 'quiet' WHEN l >= {V.MAX_ROUNDS} THEN 'capped' ELSE 'open' END AS state, coalesce(q, l) AS after_round FROM e""",
+SELECT run_id, CASE WHEN q IS NOT NULL THEN 'quiet' WHEN l >= {V.MAX_ROUNDS} THEN 'capped' ELSE 'open' END AS state, coalesce(q, least(l, {V.MAX_ROUNDS})) AS after_round FROM e""",
 }

@@ -314,7 +314,7 @@ SELECT session_id, event_id * {calls.CALL_STRIDE} AS call_no, strftime(ts, '%H:%
  CASE WHEN error THEN CASE WHEN length(told) > 40 THEN left(told, 39) || '…' ELSE told END END AS error_text FROM a""",
     "failure_totals": f"""{_SCAN} SELECT count(*) FILTER (WHERE is_error AND kind <> 'cascade') AS total,
  count(DISTINCT session_id) FILTER (WHERE is_error AND kind <> 'cascade') AS sessions_affected, count(*) FILTER (WHERE kind = 'unclassified') AS unclassified_total,
- count(*) FILTER (WHERE kind = 'cascade') AS cascade_suppressed, count(DISTINCT session_id) AS sessions_scanned, count(DISTINCT session_id || coalesce(agent_id, '')) AS transcripts_scanned FROM scan""",
+ count(*) FILTER (WHERE kind = 'cascade') AS cascade_suppressed, (SELECT count(DISTINCT session_id) FROM ef) AS sessions_scanned, (SELECT count(*) FROM ef) AS transcripts_scanned FROM scan""",
     "failure_kinds": f"""{_FAILED} SELECT kind, {_category('kind')} AS category, count(*) AS count, count(DISTINCT session_id) AS sessions,
  {sql.collapse_ws('arg_min(result_text, ord)', V.FAILURE_EXAMPLE_CHARS)} AS example FROM failed GROUP BY kind""",
     "failure_tools": f"""{_SCAN}, t AS (SELECT *, is_error AND kind <> 'cascade' AS bad, (project, session_id, coalesce(agent_id, ''), event_id) AS ord,

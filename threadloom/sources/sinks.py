@@ -19,7 +19,8 @@ def write_table(rows: DataFrame, path: str) -> None:
     """A canonical table as Parquet below one folder per project.
 
     Rows are spread by project and line block, so that a project that holds a third of all rows is
-    written by many tasks.
+    written by many tasks. Within a file of the table they are sorted by session, so that a filter on one skips
+    the row groups of others.
     """
     spread = rows.repartition("project", "file_path", F.floor(F.col("line_no") / (1 << 16)))
-    spread.write.partitionBy("project").parquet(path)
+    spread.sortWithinPartitions("project", "session_id", "file_path", "line_no").write.partitionBy("project").parquet(path)

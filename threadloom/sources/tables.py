@@ -46,11 +46,11 @@ TURN_TAIL = "-0000-4000-9000-000000000000"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. One that comes in fewer splits than there are cores (a single small file) is
-    spread first; a large one already has its splits and is not shuffled."""
+    """A given table, in the splits it has. A session may ask for more of them for tables that are one small file
+    (`spark.threadloom.spread`); nothing is shuffled otherwise."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    spread = spark.conf.get("spark.threadloom.spread", None)
+    return rows.repartition(int(spread)) if spread else rows
 
 
 def _pick(values: list[str], index: Column) -> Column:

@@ -10,7 +10,7 @@ and dense, so `line_no div BLOCK` cuts even a huge file into bounded pieces.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,9 +23,8 @@ _PATH_SESSION = "/([^/]+)/subagents/"
 _PATH_RUN = "/subagents/(?:.*/)?workflows/([^/]+)/"
 _PATH_STEM = "([^/]+)\\.jsonl$"
 
-# Longest line the strict JSON check can hold; longer ones are checked by from_json alone.
-_STRICT_CHARS = 20_000_000
 _JSON = {"maxStringLen": "2147483647", "allowSingleQuotes": "false"}
+_STRICT = {**_JSON, "allowNonNumericNumbers": "false"}
 
 _ENVELOPE = """
   type STRING, uuid STRING, parentUuid STRING, timestamp STRING, sessionId STRING,
@@ -35,8 +34,7 @@ _ENVELOPE = """
   messageCount BIGINT, summary STRING, leafUuid STRING, operation STRING, content STRING,
   message STRUCT<id: STRING, type: STRING, role: STRING, model: STRING, content: STRING,
     stop_reason: STRING, usage: STRUCT<input_tokens: BIGINT, cache_creation_input_tokens: BIGINT,
-    cache_read_input_tokens: BIGINT, output_tokens: BIGINT>>,
-  _corrupt STRING
+    cache_read_input_tokens: BIGINT, output_tokens: BIGINT>>
 """
 _BLOCK = """
   type STRING, text STRING, thinking STRING, signature STRING, id STRING, name STRING,
@@ -57,12 +55,15 @@ def scan_lines(
 
     A file may span many splits. Lines of one split are consecutive in one task, so the number
     within the split is a subtraction; only the row count per split is aggregated, and only those
-    counts are ordered per file. No task ever holds a whole file.
+    counts are ordered per file. No task ever holds a whole file. `modified_since` without a zone is UTC.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
     if modified_since is not None:
-        # Files are append-only: one last written before a window cannot reach into it.
-        reader = reader.option("modifiedAfter", modified_since.strftime("%Y-%m-%dT%H:%M:%S"))
+        # Files are append-only: one last written before a window cannot reach into it. The reader's
+        # bound is exclusive and in whole seconds, so the second of the bound itself is taken along.
+        since = modified_since if modified_since.tzinfo else modified_since.replace(tzinfo=timezone.utc)
+        bound = since.astimezone(timezone.utc) - timedelta(seconds=1)
+        reader = reader.option("timeZone", "UTC").option("modifiedAfter", bound.strftime("%Y-%m-%dT%H:%M:%S"))
     raw = reader.text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
@@ -164,18 +165,14 @@ def _typed(lines: DataFrame) -> DataFrame:
     """Every non-blank, non-structural line with its class, or the reason it has none."""
     keep = [c for c in lines.columns if c != "value"]
     text = F.btrim("value", F.lit(V.WHITESPACE))
-    envelope = F.from_json("value", _ENVELOPE, {
-        **_JSON, "columnNameOfCorruptRecord": "_corrupt", "allowNonNumericNumbers": "false",
-    })
+    envelope = F.from_json("value", _ENVELOPE, _STRICT)
     # One-element explode: conditions on the parsed fields stay above it, so the optimizer cannot
     # copy the parse into every filter, and a line is parsed once.
     parsed = lines.where(text != "").select(*keep, "value", F.explode(F.array(envelope)).alias("e"))
     e = F.col("e")
     # from_json forgives text after the object; as the only element of a list it must stand alone.
-    alone = F.json_array_length(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    broken = F.when(F.length("value") <= _STRICT_CHARS, F.coalesce(alone, F.lit(0)) != 1).otherwise(
-        e["_corrupt"].isNotNull() & e["type"].isNull()
-    )
+    alone = F.size(F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>", _STRICT))
+    broken = F.coalesce(alone, F.lit(0)) != 1
     no_object = ~F.startswith(F.ltrim("value", F.lit(V.WHITESPACE)), F.lit("{"))
     enveloped = e["uuid"].isNotNull() & e["sessionId"].isNotNull() & F.col("ts").isNotNull()
     said = e["message"]["content"].isNotNull()
