@@ -74,7 +74,7 @@ def _grouped(ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 
 def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame:
-    """Packed blocks (bucket >= 0), and starts that a slice has settled by itself (bucket -1)."""
+    """Packed blocks (id null), and per document the starts that a slice has settled by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,7 +91,7 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
                 settled = _later(np.stack(hashes), ids, starts)
                 out = {"bucket": [], "ids": [], "counts": [], "starts": [], "hashes": []}
                 for one, own in _grouped(ids[settled], starts[settled]):
-                    for name, value in (("bucket", -1), ("ids", one), ("counts", None), ("starts", _pack(np.diff(own, prepend=0).astype(np.uint32))), ("hashes", None)):
+                    for name, value in (("bucket", one % buckets), ("ids", one), ("counts", None), ("starts", _pack(np.diff(own, prepend=0).astype(np.uint32))), ("hashes", None)):
                         out[name].append(value)
                 alive = np.ones(len(ids), dtype=bool)
                 alive[settled] = False
@@ -120,9 +120,14 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
 
 
 def _marks(blocks: DataFrame, lanes: int) -> DataFrame:
-    """id, starts: per bucket, the packed starts of windows that also start earlier."""
+    """id, starts: packed starts of windows that also start earlier, as found in a slice or in a bucket."""
 
     def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        settled = table.filter(pc.is_valid(table["id"])).select(["id", "starts"])
+        table = table.filter(pc.is_null(table["id"]))
+        if not table.num_rows:
+            return settled
         ids, starts, hashes = [], [], []
         for docs, gaps, raw in zip(*[table.column(c) for c in ("docs", "starts", "hashes")], strict=True):
             names, counts = np.split(_unpack(docs.as_py(), np.int64), 2)
@@ -136,10 +141,11 @@ def _marks(blocks: DataFrame, lanes: int) -> DataFrame:
         ids, starts = np.concatenate(ids), np.concatenate(starts)
         late = _later(np.concatenate(hashes, axis=1), ids, starts)
         found = list(_grouped(ids[late], starts[late]))
-        return pa.table({
+        late = pa.table({
             "id": pa.array([i for i, _ in found], pa.int64()),
             "starts": pa.array([_pack(np.diff(s, prepend=0).astype(np.uint32)) for _, s in found], pa.binary()),
         })
+        return pa.concat_tables([settled, late])
 
     return blocks.groupBy("bucket").applyInArrow(run, "id bigint, starts binary")
 
@@ -158,9 +164,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = _blocks(rows.where("id IS NOT NULL"), window, buckets, lanes)
-    packed = cut_lineage(blocks)
-    marks = packed.where("bucket < 0").select("id", "starts").unionByName(_marks(packed.where("bucket >= 0"), lanes))
-    marks = cut_lineage(marks.groupBy("id").agg(F.collect_list("starts").alias("marks")))
+    marks = cut_lineage(_marks(blocks, lanes).groupBy("id").agg(F.collect_list("starts").alias("marks")))
     return rows.join(marks, "id", "left")
 
 
