@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
+from threadloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, quality, sharding, sql, substring_dedup
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
@@ -72,4 +72,11 @@ QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_html_text, op5_bpe, op6_sharding, op7_quality_rules, op8_mixing,
     op9_near_dedup, op10_line_dedup,
 )}
-ORACLES: dict[str, str] = {}
+#: The others have no SQL: they are tested against plain Python, the public library or held-out labels.
+ORACLES = {
+    "op1_exact_dedup": sql.OP1,
+    "op3_substring_dedup": sql.OP3,
+    "op6_sharding": sql.op6(SHARDS),
+    "op8_mixing": sql.OP8,
+    "op9_near_dedup": sql.OP9,
+}
