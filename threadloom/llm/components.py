@@ -33,34 +33,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def bucket_links(shared: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: Column | None = None) -> DataFrame:
+def bucket_links(members: DataFrame, facts: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
     """Links (a, b) that connect what the members of each bucket have to do with each other.
 
-    shared: rows (bucket, id, n), n of any type. confirm: keeps the pairs (a, b) that are links. fits: a necessary
-    condition on n_a and n_b, cheap enough to come first.
+    members: rows (bucket, id). facts: one row per id, id and n of any type. confirm: keeps the pairs (a, b) that are
+    links. fits: a necessary condition on n_a and n_b; joins evaluate it before they make a row.
     A bucket of m members is not paired with itself: members are paired with one hub, first the smallest, then the
     largest id. Only members whose components still differ are then paired with each other, so the result has
     the components of all links: a pair that is never tried lies in one component already.
     """
-    hubs = shared.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
-    shared = cut_lineage(shared.join(hubs, "bucket"))
-    numbers = cut_lineage(shared.groupBy("id").agg(F.max("n").alias("n")))
-    fits = F.lit(True) if fits is None else fits
+    hubs = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
+    shared = cut_lineage(members.join(hubs, "bucket"))
+    a, b = (facts.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
 
     def star(hub: str) -> DataFrame:
         pairs = shared.where(f"id != {hub}").select(F.least("id", hub).alias("a"), F.greatest("id", hub).alias("b")).distinct()
-        pairs = pairs.join(numbers.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a")
-        return pairs.join(numbers.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b").where(fits).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(fits).select("a", "b")
 
     tried = cut_lineage(star("low").unionByName(star("high")).distinct())
     links = cut_lineage(confirm(tried))
-    labels = shared.select("bucket", "id", "n").join(components(links), "id", "left").select(
-        "bucket", "id", "n", F.coalesce("component", "id").alias("c"))
+    labels = shared.select("bucket", "id").join(components(links), "id", "left").select(
+        "bucket", "id", F.coalesce("component", "id").alias("c"))
     apart = labels.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
-    rest = cut_lineage(labels.join(apart, "bucket", "left_semi"))
+    rest = cut_lineage(labels.join(apart, "bucket", "left_semi").join(facts, "id"))
     left, right = (rest.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
     cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
     more = cut_lineage(confirm(cross.join(tried, ["a", "b"], "left_anti")))
-    for t in (shared, numbers, tried, rest):
+    for t in (shared, tried, rest):
         drop_table(t)
     return links.unionByName(more)

@@ -12,8 +12,9 @@ permutation laid out twice in a row, a shingle's values for all k are consecutiv
    paired with one hub, first the smallest then the largest id of the bucket. Members of a bucket
    whose components still differ after that are then paired across components only, which is what
    is left of a group once its bulk is connected. So no link is given up.
-4. Pairs pass a bound on set sizes (needed for the threshold), then a signature estimate that a pair
-   at the threshold fails with a chance below one in a million, then the exact test on full sets:
+4. Pairs pass a bound on set sizes (needed for the threshold) and a comparison of one bit per
+   coordinate, both inside the joins that pair them; a pair at the threshold fails the bits with a
+   chance below one in a million. Then comes the exact test on full sets:
    den * |A and B| >= num * |A or B|. Only sets of candidates are written.
 5. Components of confirmed links; every document gets the smallest id it can reach.
 
@@ -43,8 +44,9 @@ from threadloom.session import cut_lineage
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SLOT_BITS = 20
-#: Share of agreeing coordinates below which a pair is not verified: the threshold less this margin.
-MARGIN = 0.2
+#: Of two sets' signatures, each coordinate's lowest bit differs with chance (1 - similarity) / 2. A pair is not
+#: verified if more bits differ than this many standard deviations above what the threshold expects.
+DEVIATIONS = 5.3
 _STEP = 1024
 
 
@@ -88,17 +90,18 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int, rows: int) -> DataFrame:
-    """id, n (set size), key (of the set; null if empty), bands (64-bit hash per band) and sig (16 bits per coordinate)."""
+    """id, n (set size), key (of the set; null if empty), bands (64-bit hash per band) and bits (one per coordinate,
+    64 to a number)."""
     coordinates = bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                n, keys, hashes, sigs = [], [], [], []
+                n, keys, hashes, bits = [], [], [], []
                 for own in shingle_sets(part.column(1), width):
                     n.append(len(own))
                     if not len(own):
-                        keys.append(None), hashes.append(None), sigs.append(None)
+                        keys.append(None), hashes.append(None), bits.append(None)
                         continue
                     sig = signature(own, coordinates)
                     keys.append(xxhash.xxh3_128_digest(own.tobytes()))
@@ -107,30 +110,15 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, bands: int
                     for r in range(rows):
                         band = mix(band * np.uint64(0x9E3779B97F4A7C15) + wide[:, r])
                     hashes.append(band.view(np.int64))
-                    sigs.append(sig.astype(np.uint16).tobytes())
+                    bits.append(np.packbits((sig & 1).astype(bool)).view(np.int64))
                 yield pa.record_batch({
                     "id": part.column(0), "n": pa.array(n, pa.int64()), "key": pa.array(keys, pa.binary()),
-                    "bands": pa.array(hashes, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary()),
+                    "bands": pa.array(hashes, pa.list_(pa.int64())), "bits": pa.array(bits, pa.list_(pa.int64())),
                 })
 
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    return src.mapInArrow(run, f"id {kind}, n bigint, key binary, bands array<bigint>, sig binary")
-
-
-def _agreeing(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least a share `least` of their coordinates."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
-            near = (left == right).mean(axis=1) >= least
-            yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
-
-    joined = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        reps.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b").select("a", "b", "sig_a", "sig_b")
-    kind = pairs.schema["a"].dataType.simpleString()
-    return joined.mapInArrow(run, f"a {kind}, b {kind}")
+    return src.mapInArrow(run, f"id {kind}, n bigint, key binary, bands array<bigint>, bits array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -171,18 +159,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     sketch = cut_lineage(sketches(docs, id_col, text_col, width, bands, rows))
     named = sketch.where("id IS NOT NULL AND key IS NOT NULL")
     # Sets that are equal are one class; what belongs to the set is the same in all its rows.
-    reps = cut_lineage(named.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig")))
-    members = reps.select("id", "n", F.explode("bands").alias("bucket"))
-    sizes = F.col("n_a").cast("double") / F.col("n_b")
+    reps = cut_lineage(named.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
+    members = reps.select(F.explode("bands").alias("bucket"), "id")
+    words = bands * rows // 64
+    facts = reps.select("id", F.struct("n", *[F.col("bits")[k].alias(f"b{k}") for k in range(words)]).alias("n"))
+    sizes = F.col("n_a.n").cast("double") / F.col("n_b.n")
+    differing = sum((F.bit_count(F.col(f"n_a.b{k}").bitwiseXOR(F.col(f"n_b.b{k}"))) for k in range(words)), F.lit(0))
+    chance = (1 - num / den) / 2
+    most = bands * rows * chance + DEVIATIONS * (bands * rows * chance * (1 - chance)) ** 0.5
+    fits = (sizes * den >= num) & (sizes * num <= den) & (differing <= int(most))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        near = cut_lineage(_agreeing(pairs, reps, num / den - MARGIN))
+        near = cut_lineage(pairs)
         if near.isEmpty():
             return near
         wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
         return _confirmed(near, cut_lineage(_sets(docs, wanted, id_col, text_col, width)), num, den)
 
-    links = bucket_links(members, confirm, (sizes * den >= num) & (sizes * num <= den))
+    links = bucket_links(members, facts, confirm, fits)
     found = components(links)
 
     home = named.select("key", "id").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep").distinct()
