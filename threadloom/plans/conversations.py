@@ -20,6 +20,7 @@ from threadloom.plans import sql
 from threadloom.session import cut_lineage
 from threadloom.sources import projects, tables
 from threadloom.sources.transcripts import entries as typed_entries
+from threadloom.sources.transcripts import rejects
 from threadloom.sources.transcripts import transcripts
 
 PATTERNS = ["the", "der|die", "qu.e", "zebra"]
@@ -229,6 +230,37 @@ def debate_end_state(spark, d):
     return debate.end_state(tables.moves(spark, d))
 
 
+def line_rejects(spark, d):
+    """Lines with text after the object, a second object, an unknown type, or no id, among whole ones."""
+    k, v = F.col("line_no") % 6, F.col("value")
+    spoilt = (
+        F.when(k == 0, F.concat(v, F.lit(" x"))).when(k == 1, F.concat(v, F.lit(",{}")))
+        .when(k == 2, F.lit('{"type":"odd"}')).when(k == 3, F.replace(v, F.lit('"uuid":'), F.lit('"id":'))).otherwise(v)
+    )
+    return rejects(tables.conversation_lines(spark, d).withColumn("value", spoilt))
+
+
+def hidden_inputs(spark, d):
+    return search.count_hits(_entries(spark, d), PATTERNS, "assistant", frozenset({"inputs", "thinking"})).groupBy("pattern").agg(
+        F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("sessions"))
+
+
+def sessions_before(spark, d):
+    s = sessions.session_summary(_entries(spark, d))
+    before = datetime.fromtimestamp(tables.EPOCH + 40 * 3600, timezone.utc)
+    return sessions.list_sessions(s, before=before).select("session_id", "message_count")
+
+
+#: Ids a user typed: a prefix, a full id, and one of no session.
+TYPED = ["00000003", "00000001" + tables.SESSION_TAIL, "ffffffff"]
+
+
+def grep_sessions(spark, d):
+    found, missing = search.grep_sessions(_entry_table(spark, d), TYPED, PATTERNS, role="all", context=0, cap=1_000_000)
+    per = found.groupBy("id_pos", "session_id", "pattern").agg(F.count(F.lit(1)).alias("lines"))
+    return per.unionByName(missing.select("id_pos", F.col("raw_id").alias("session_id"), F.lit("(not found)").alias("pattern"), F.lit(0).cast("bigint").alias("lines")))
+
+
 QUERIES = {
     "pattern_triage": pattern_triage,
     "triage_sessions": triage_sessions,
@@ -263,6 +295,10 @@ QUERIES = {
     "resolve_ids": resolve_ids,
     "debate_live_moves": debate_live_moves,
     "debate_end_state": debate_end_state,
+    "line_rejects": line_rejects,
+    "hidden_inputs": hidden_inputs,
+    "sessions_before": sessions_before,
+    "grep_sessions": grep_sessions,
 }
 
 # --- the same in SQL -----------------------------------------------------------------------------------------
@@ -384,6 +420,18 @@ f AS (SELECT session_id, count(*) FILTER (WHERE entry_type IN ('human','assistan
  count(*) FILTER (WHERE tool IS NOT NULL) AS tool_use_count, arg_min(epoch_s, turn) AS first_epoch FROM conv GROUP BY 1)
 SELECT session_id, message_count, tool_use_count, session_id = '00000007{tables.SESSION_TAIL}' AS is_current FROM f
 WHERE message_count >= 4 AND tool_use_count >= 1 AND first_epoch >= {tables.EPOCH + 5 * 3600}""",
+    "sessions_before": f"""{_CONV},
+f AS (SELECT session_id, count(*) FILTER (WHERE entry_type IN ('human','assistant') AND display <> '') AS message_count, arg_min(epoch_s, turn) AS first_epoch FROM conv GROUP BY 1)
+SELECT session_id, message_count FROM f WHERE message_count >= 4 AND first_epoch <= {tables.EPOCH + 40 * 3600}""",
+    "line_rejects": f"""SELECT '/logs/p' || (conv_id % 5) || '/' || printf('%08x', conv_id) || '{tables.SESSION_TAIL}.jsonl' AS file_path,
+ CASE turn % 6 WHEN 2 THEN 'unknown_type' WHEN 3 THEN 'invalid' ELSE 'malformed' END AS reason, count(*) AS n FROM conversations WHERE turn % 6 < 4 GROUP BY 1, 2""",
+    "hidden_inputs": f"""{_CONV}
+SELECT pattern, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, p AS pattern FROM conv, (VALUES {', '.join(f"('{p}')" for p in PATTERNS)}) v(p)
+ WHERE entry_type = 'assistant' AND regexp_matches(body, p, 'i')) GROUP BY 1""",
+    "grep_sessions": f"""{_CONV}, {_HITS},
+ids(id_pos, raw_id) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TYPED))})
+SELECT CAST(id_pos AS INTEGER) AS id_pos, session_id, pattern, count(*) AS lines FROM hits JOIN ids ON starts_with(session_id, raw_id) GROUP BY ALL
+UNION ALL SELECT CAST(id_pos AS INTEGER), raw_id, '(not found)', 0 FROM ids WHERE NOT EXISTS (SELECT 1 FROM conv WHERE starts_with(session_id, raw_id))""",
     "entry_texts": f"""{_CONV}
 SELECT uuid, CASE WHEN entry_type = 'human' THEN CASE WHEN body <> '' THEN 'human' ELSE 'command_scaffolding' END END AS origin,
  md5(body) AS body, md5(CASE WHEN entry_type = 'human' THEN text ELSE '' END) AS marker,

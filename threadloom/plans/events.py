@@ -52,6 +52,12 @@ def tool_audit(spark, d):
     return calls.tool_audit(_calls(spark, d), ["session_id"], "query")
 
 
+def audit_coverage(spark, d):
+    e = cut_lineage(_entries(spark, d))
+    agents_there = e.where("agent_id IS NOT NULL").select("session_id", "agent_id").distinct()
+    return calls.audit_coverage(calls.pair_tool_calls(e.where("agent_id IS NOT NULL")), agents_there, "query")
+
+
 def audit_rows(spark, d):
     rows = calls.audit_rows(_calls(spark, d), None, 40)
     return rows.select("session_id", "call_no", "time_utc", "tool", "input_summary", "error", "error_text")
@@ -199,6 +205,7 @@ QUERIES = {
     "tool_counts": tool_counts,
     "tool_audit": tool_audit,
     "audit_rows": audit_rows,
+    "audit_coverage": audit_coverage,
     "failure_totals": failure_totals,
     "failure_kinds": failure_kinds,
     "failure_tools": failure_tools,
@@ -308,6 +315,10 @@ ORACLES = {
     "tool_counts": f"{_EV} SELECT project, tool_name AS short_name, count(*) AS calls FROM ev WHERE kind_of = 'call' GROUP BY 1, 2",
     "tool_audit": f"""{_PAIRS} SELECT session_id, count(*) AS calls, count(*) FILTER (WHERE contains(tool_name, 'query')) AS rows,
  count(*) FILTER (WHERE contains(tool_name, 'query') AND {_ERR}) AS errors, count(DISTINCT short_name) AS tools FROM tc GROUP BY 1""",
+    "audit_coverage": f"""{_PAIRS}, p AS (SELECT DISTINCT session_id, agent_id FROM ev WHERE agent_id IS NOT NULL),
+c AS (SELECT * FROM tc WHERE agent_id IS NOT NULL)
+SELECT (SELECT count(*) FROM p) AS agents_present, count(DISTINCT (session_id, agent_id)) AS agents_audited, count(*) AS calls,
+ count(*) FILTER (WHERE contains(tool_name, 'query')) AS rows, count(*) FILTER (WHERE contains(tool_name, 'query') AND {_ERR}) AS errors FROM c""",
     "audit_rows": f"""{_PAIRS}, a AS (SELECT *, {_ERR} AS error, '{{"query":' || CAST(to_json(props) AS VARCHAR) || ',"description":"task ' || k || '"}}' AS inp, {sql.collapse_ws('result_text', 41)} AS told FROM tc)
 SELECT session_id, event_id * {calls.CALL_STRIDE} AS call_no, strftime(ts, '%H:%M:%S') AS time_utc, short_name AS tool,
  CASE WHEN length(inp) > 40 THEN left(inp, 39) || '…' ELSE inp END AS input_summary, error,
