@@ -33,7 +33,10 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", F.col("label").alias("component"))
 
 
-def bucket_links(members: DataFrame, facts: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: Column) -> DataFrame:
+def bucket_links(
+    members: DataFrame, facts: DataFrame, confirm: Callable[[DataFrame], DataFrame], fits: Column,
+    across: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Links (a, b) that connect what the members of each bucket have to do with each other.
 
     members: rows (bucket, id). facts: one row per id, id and n of any type. confirm: keeps the pairs (a, b) that are
@@ -41,6 +44,8 @@ def bucket_links(members: DataFrame, facts: DataFrame, confirm: Callable[[DataFr
     A bucket of m members is not paired with itself: members are paired with one hub, first the smallest, then the
     largest id. Only members whose components still differ are then paired with each other, so the result has
     the components of all links: a pair that is never tried lies in one component already.
+    across: makes those pairs itself, from rows (id, c) of the members that have a fitting one in another component
+    c; for groups so alike that pairing them by bucket would make very many rows.
     """
     hubs = members.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
     shared = cut_lineage(members.join(hubs, "bucket"))
@@ -56,8 +61,14 @@ def bucket_links(members: DataFrame, facts: DataFrame, confirm: Callable[[DataFr
         "bucket", "id", F.coalesce("component", "id").alias("c"))
     apart = labels.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("bucket")
     rest = cut_lineage(labels.join(apart, "bucket", "left_semi").join(facts, "id"))
-    left, right = (rest.select("bucket", F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    cross = left.join(right, "bucket").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & fits).select("a", "b").distinct()
+    left, right = (
+        rest.select(F.col("bucket").alias(f"in_{x}"), F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    apart = (F.col("in_a") == F.col("in_b")) & (F.col("c_a") != F.col("c_b")) & fits
+    if across is None:
+        cross = left.join(right, apart & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    else:
+        unsettled = cut_lineage(left.join(right, apart, "left_semi").select(F.col("a").alias("id"), F.col("c_a").alias("c")).distinct())
+        cross = across(unsettled)
     more = cut_lineage(confirm(cross.join(tried, ["a", "b"], "left_anti")))
     for t in (shared, tried, rest):
         drop_table(t)

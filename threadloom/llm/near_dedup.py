@@ -9,9 +9,11 @@ permutation laid out twice in a row, a shingle's values for all k are consecutiv
 2. Documents with the same set are one class, represented by the smallest id.
 3. Signatures fall into BANDS bands of ROWS rows; representatives that share a band are candidates.
    A band's bucket may hold very many of them, so no bucket is paired with itself: each member is
-   paired with one hub, first the smallest then the largest id of the bucket. Members of a bucket
-   whose components still differ after that are then paired across components only, which is what
-   is left of a group once its bulk is connected. So no link is given up.
+   paired with one hub, first the smallest then the largest id of the bucket. Members that still have
+   a fitting one of another component in their bucket are what is left of a group once its bulk is
+   connected. They are paired across components by their rarest shingles: two sets that reach the
+   threshold share one among the first n - ceil(0.75 n) + 1 of each, in order of frequency, early
+   enough for the rest of both to hold the common part. That is exact, so no link is given up.
 4. Pairs pass a bound on set sizes (needed for the threshold) and a comparison of one bit per
    coordinate, both inside the joins that pair them; a pair at the threshold fails the bits with a
    chance below one in a million. Then comes the exact test on full sets:
@@ -153,6 +155,35 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
     return rows.mapInArrow(run, f"id {kind}, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles"))
 
 
+def _sharing_rare(sets: DataFrame, unsettled: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of different components that pass the prefix and position filters of a set similarity join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column(1)]
+            yield pa.record_batch({"id": batch.column(0), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+    kind = sets.schema["id"].dataType.simpleString()
+    tokens = cut_lineage(sets.mapInArrow(run, f"id {kind}, tokens array<bigint>"))
+    single = tokens.select("id", F.explode("tokens").alias("token"))
+    # A document's shingles, rarest first; a document bounds its own list.
+    ranked = single.join(single.groupBy("token").agg(F.count(F.lit(1)).alias("f")), "token").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("f", "token"))).alias("ordered"))
+    n = F.size("ordered")
+    prefix = ranked.select("id", n.alias("n"), F.slice("ordered", 1, n - F.ceil(n * num / F.lit(den)).cast("int") + 1).alias("p"))
+    prefix = prefix.join(unsettled, "id").select("id", "c", "n", F.posexplode(F.transform("p", lambda e: e["token"])).alias("pos", "token"))
+    # Of a pair in different components one is outside the component that is most frequent at the token.
+    prefix = cut_lineage(prefix)
+    most = prefix.groupBy("token", "c").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(
+        F.max_by("c", F.struct("k", "c")).alias("usual"), F.count(F.lit(1)).alias("cs")).where("cs > 1").drop("cs")
+    prefix = prefix.join(most, "token")
+    left, right = (prefix.select(F.col("token").alias(f"t_{x}"), F.col("id").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("c", "n", "pos", "usual")]) for x in "ab")
+    common = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+    enough = common * (num + den) >= num * (F.col("n_a") + F.col("n_b"))
+    pairs = left.where("c_a != usual_a").join(right, (F.col("t_a") == F.col("t_b")) & (F.col("c_a") != F.col("c_b")) & enough)
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, num: int = 75, den: int = 100,
             bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of `docs`: id, n_shingles, component_id, kept."""
@@ -176,7 +207,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
         return _confirmed(near, cut_lineage(_sets(docs, wanted, id_col, text_col, width)), num, den)
 
-    links = bucket_links(members, facts, confirm, fits)
+    def across(unsettled: DataFrame) -> DataFrame:
+        return _sharing_rare(_sets(docs, unsettled.select("id"), id_col, text_col, width), unsettled, num, den)
+
+    links = bucket_links(members, facts, confirm, fits, across)
     found = components(links)
 
     home = named.select("key", "id").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep").distinct()
