@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,18 +64,25 @@ def _later(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarra
     return among[(ids[among] != ids[head]) | (starts[among] != starts[head])]
 
 
-def _grouped(ids: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(id, its starts in order)."""
-    order = np.lexsort((starts, ids))
-    ids, starts = ids[order], starts[order]
-    cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
-    for own in np.split(np.arange(len(ids)), cuts):
-        if len(own):
-            yield int(ids[own[0]]), starts[own]
+def _fold(ids: np.ndarray, starts: np.ndarray) -> tuple[bytes, bytes]:
+    """Packs positions that are sorted by (id, start): ids with their counts, and gaps between starts."""
+    firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    gaps = np.diff(starts, prepend=0)
+    gaps[firsts] = starts[firsts]
+    counts = np.diff(np.concatenate([firsts, [len(ids)]]))
+    return _pack(np.concatenate([ids[firsts], counts])), _pack(gaps.astype(np.uint32))
+
+
+def _unfold(docs: bytes, gaps: bytes) -> tuple[np.ndarray, np.ndarray]:
+    names, counts = np.split(_unpack(docs, np.int64), 2)
+    total = np.cumsum(_unpack(gaps, np.uint32), dtype=np.int64)
+    firsts = np.cumsum(counts) - counts
+    base = np.where(firsts > 0, total[firsts - 1], 0)
+    return np.repeat(names, counts), total - np.repeat(base, counts)
 
 
 def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame:
-    """Packed blocks (id null), and per document the starts that a slice has settled by itself."""
+    """Per slice and bucket one block of packed positions with their hashes; without hashes: what the slice settled itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,13 +94,15 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
                 words = hash_words(distinct, lanes)
                 hashes = [rolling(mix(words[:, k].copy())[codes], window)[at] for k in range(lanes)]
                 counts = np.maximum(np.diff(offsets) - window + 1, 0)
-                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), counts)
-                starts = at - np.repeat(offsets[:-1], counts)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                # Any name does: slices that share one are only unpacked together.
+                name = int(np.frombuffer(xxhash.xxh3_64_digest(own.tobytes()), dtype=np.int64)[0])
+                ids, starts = np.repeat(own, counts), at - np.repeat(offsets[:-1], counts)
                 settled = _later(np.stack(hashes), ids, starts)
-                out = {"bucket": [], "ids": [], "counts": [], "starts": [], "hashes": []}
-                for one, own in _grouped(ids[settled], starts[settled]):
-                    for name, value in (("bucket", one % buckets), ("ids", one), ("counts", None), ("starts", _pack(np.diff(own, prepend=0).astype(np.uint32))), ("hashes", None)):
-                        out[name].append(value)
+                out: list[tuple] = []
+                if len(settled):
+                    order = settled[np.lexsort((starts[settled], ids[settled]))]
+                    out.append((name % buckets, *_fold(ids[order], starts[order]), None))
                 alive = np.ones(len(ids), dtype=bool)
                 alive[settled] = False
                 left = np.flatnonzero(alive)
@@ -101,53 +111,50 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
                 left, home = left[order], home[order]
                 bounds = np.searchsorted(home, np.arange(buckets + 1))
                 for bucket in np.flatnonzero(np.diff(bounds)).tolist():
-                    own = left[bounds[bucket] : bounds[bucket + 1]]
-                    new = np.concatenate([[True], ids[own][1:] != ids[own][:-1]])
-                    firsts = np.flatnonzero(new)
-                    gaps = np.diff(starts[own], prepend=0)
-                    gaps[firsts] = starts[own][firsts]
-                    out["bucket"].append(bucket)
-                    out["ids"].append(None)
-                    out["counts"].append(_pack(np.concatenate([ids[own][firsts], np.diff(np.concatenate([firsts, [len(own)]]))])))
-                    out["starts"].append(_pack(gaps.astype(np.uint32)))
-                    out["hashes"].append(np.concatenate([h[own] for h in hashes]).tobytes())
+                    some = left[bounds[bucket] : bounds[bucket + 1]]
+                    out.append((bucket, *_fold(ids[some], starts[some]), np.concatenate([h[some] for h in hashes]).tobytes()))
+                columns = list(zip(*out, strict=True))
                 yield pa.record_batch([
-                    pa.array(out["bucket"], pa.int32()), pa.array(out["ids"], pa.int64()),
-                    *[pa.array(out[k], pa.binary()) for k in ("counts", "starts", "hashes")],
-                ], ["bucket", "id", "docs", "starts", "hashes"])
+                    pa.array([name] * len(out), pa.int64()), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]],
+                ], ["slice", "bucket", "docs", "starts", "hashes"])
 
-    return rows.mapInArrow(run, "bucket int, id bigint, docs binary, starts binary, hashes binary")
+    return rows.mapInArrow(run, "slice bigint, bucket int, docs binary, starts binary, hashes binary")
 
 
 def _marks(blocks: DataFrame, lanes: int) -> DataFrame:
-    """id, starts: packed starts of windows that also start earlier, as found in a slice or in a bucket."""
+    """id, starts: packed starts of windows that also start earlier. A bucket answers each block with one block, and
+    the answers to a slice, which is bounded, are unpacked together."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def judge(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        settled = table.filter(pc.is_valid(table["id"])).select(["id", "starts"])
-        table = table.filter(pc.is_null(table["id"]))
-        if not table.num_rows:
-            return settled
-        ids, starts, hashes = [], [], []
-        for docs, gaps, raw in zip(*[table.column(c) for c in ("docs", "starts", "hashes")], strict=True):
-            names, counts = np.split(_unpack(docs.as_py(), np.int64), 2)
-            own = _unpack(gaps.as_py(), np.uint32).astype(np.int64)
-            total = np.cumsum(own)
-            firsts = np.cumsum(counts) - counts
-            base = np.where(firsts > 0, total[firsts - 1], 0)
-            starts.append(total - np.repeat(base, counts))
-            ids.append(np.repeat(names, counts))
-            hashes.append(np.frombuffer(raw.as_buffer(), dtype=np.uint64).reshape(lanes, -1))
-        ids, starts = np.concatenate(ids), np.concatenate(starts)
-        late = _later(np.concatenate(hashes, axis=1), ids, starts)
-        found = list(_grouped(ids[late], starts[late]))
-        late = pa.table({
-            "id": pa.array([i for i, _ in found], pa.int64()),
-            "starts": pa.array([_pack(np.diff(s, prepend=0).astype(np.uint32)) for _, s in found], pa.binary()),
-        })
-        return pa.concat_tables([settled, late])
-
-    return blocks.groupBy("bucket").applyInArrow(run, "id bigint, starts binary")
+        answers = [tuple(r) for r in zip(*[table.filter(pc.is_null(table["hashes"]))[c].to_pylist() for c in ("slice", "docs", "starts")], strict=True)]
+        table = table.filter(pc.is_valid(table["hashes"]))
+        if table.num_rows:
+            parts = [_unfold(d, g) for d, g in zip(table["docs"].to_pylist(), table["starts"].to_pylist(), strict=True)]
+            block = np.repeat(np.arange(len(parts)), [len(i) for i, _ in parts])
+            ids, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
+            hashes = np.concatenate([np.frombuffer(h.as_buffer(), dtype=np.uint64).reshape(lanes, -1) for h in table["hashes"]], axis=1)
+            late = np.sort(_later(hashes, ids, starts))
+            names = table["slice"].to_pylist()
+            for own in np.split(late, np.flatnonzero(np.diff(block[late])) + 1) if len(late) else ():
+                own = own[np.lexsort((starts[own], ids[own]))]
+                answers.append((names[block[own[0]]], *_fold(ids[own], starts[own])))
+        columns = list(zip(*answers, strict=True)) or [(), (), ()]
+        return pa.table({"slice": pa.array(columns[0], pa.int64()), "docs": pa.array(columns[1], pa.binary()), "starts": pa.array(columns[2], pa.binary())})
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for answers in batch.column(0).to_pylist():
+                ids, starts = (np.concatenate(c) for c in zip(*[_unfold(r["docs"], r["starts"]) for r in answers], strict=True))
+                order = np.lexsort((starts, ids))
+                ids, starts = ids[order], starts[order]
+                cuts = np.concatenate([[0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]])
+                packed = [_pack(np.diff(starts[a:b], prepend=0).astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.record_batch({"id": pa.array(ids[cuts[:-1]]), "starts": pa.array(packed, pa.binary())})
+
+    answers = blocks.groupBy("bucket").applyInArrow(judge, "slice bigint, docs binary, starts binary")
+    gathered = answers.groupBy("slice").agg(F.collect_list(F.struct("docs", "starts")).alias("answers")).select("answers")
+    return gathered.mapInArrow(unpack, "id bigint, starts binary")
 
 
 def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
