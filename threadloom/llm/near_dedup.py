@@ -49,6 +49,8 @@ SLOT_BITS = 20
 #: Of two sets' signatures, each coordinate's lowest bit differs with chance (1 - similarity) / 2. A pair is not
 #: verified if more bits differ than this many standard deviations above what the threshold expects.
 DEVIATIONS = 5.3
+#: Candidates up to which their ids are broadcast to the scan of the texts; beyond, texts are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 _STEP = 1024
 
 
@@ -150,6 +152,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width:
                 found = [own.tobytes() for own in shingle_sets(part.column(1), width)]
                 yield pa.record_batch({"id": part.column(0), "shingles": pa.array(found, pa.binary())})
 
+    wanted = cut_lineage(wanted.distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles"))
@@ -204,7 +208,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
         near = cut_lineage(pairs)
         if near.isEmpty():
             return near
-        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+        wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
         return _confirmed(near, cut_lineage(_sets(docs, wanted, id_col, text_col, width)), num, den)
 
     def across(unsettled: DataFrame) -> DataFrame:
