@@ -216,3 +216,30 @@ def test_line_rows(make):
     assert sorted((str(r["doc_id"]), r["n_lines"], list(r["removed"]), r["kept_text"]) for r in rows) == sorted([
         ("1", 2, [], "A b\n\nc"), ("2", 2, [0], "d\n "), ("2", 2, [0], "d\n "), ("None", 1, [], "a b"), ("3", 0, [], "")])
     assert line_dedup.dedup(make([])).count() == 0
+
+
+def test_lines_with_typos(make):
+    """Edit similarity alone decides, at every length: short lines, bounds between kinds, lines of few different characters."""
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) for _ in range(60))[:n].strip()
+            for n in (9, 10, 12, 18, 19, 20, 22, 36, 40, 44, 70, 108, 120, 133, 250) for _ in range(3)] + ["-" * 90, "ab " * 50 + "c"]
+    lines = []
+    for x in base:
+        lines.append(x)
+        for most in (1, len(x) // 20, len(x) // 10):
+            c = list(x)
+            for k in sorted(rng.sample(range(len(c)), most), reverse=True):
+                c[k : k + 1] = rng.choice([[], [rng.choice(letters)], [c[k], rng.choice(letters)]])
+            lines.append("".join(c))
+    docs = [(d, x, "s") for d, x in enumerate(lines)]
+    norm = [" ".join(brute.words(x.lower())) for x in lines]
+    g = brute.Groups()
+    for i, a in enumerate(norm):
+        for j in range(i):
+            most = int(0.1 * max(len(a), len(norm[j])) + 1e-9)
+            if a == norm[j] or (abs(len(a) - len(norm[j])) <= most and edits(a, norm[j]) <= most):
+                g.join(i, j)
+    want = {d for d in range(len(lines)) if g.find(d) != d}
+    assert len(want) > 80
+    assert {r["doc_id"] for r in line_dedup.dedup(make(docs)).where("n_removed > 0").collect()} == want

@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. What lies in navigation, footers, sidebars, forms,
 scripts, styles, and in containers whose class, id or role names an advert, a notice, a menu or
-reader comments, is no block at all. First pass: link density, length and stop-word density make a
+reader comments, is no block at all. A name is a whole word of the attribute or its last part, and where an
+article or main element begins inside, it was a name of the page's layout, unless it names comments. First pass: link density, length and stop-word density make a
 block good, bad or, if it is short, ambiguous. Inside an article or main element the page itself
 vouches for text, so there only link density can make a block bad. Second pass: ambiguous blocks
 inherit the label of the nearest decided neighbours, headings that of the next one.
