@@ -159,6 +159,19 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='layout has-sidebar'><article><p>{PROSE}</p></article><div class='sidebar'>{PROSE}</div></div>", PROSE),
+    (f"<div class='layout has-sidebar'><p>{PROSE}</p></div>", PROSE),
+    (f"<div id='page-with-nav'><main><p>{PROSE}</p></main></div>", PROSE),
+    (f"<div class='left sidebar'><p>Menu</p><main><p>{PROSE}</p></main></div>", PROSE),
+    (f"<div class='sidebar-layout'><p>{PROSE}</p></div><div class='site-footer'>{PROSE}</div>", PROSE),
+    (f"<main><p>{PROSE}</p></main><div class='widget'><div class='post-comments'><article><p>{PROSE}</p></article></div></div>", PROSE),
+    (f"<main><p>{PROSE}</p></main><div hidden class='widget'><article><p>{PROSE}</p></article></div>", PROSE),
+])
+def test_pages_with_named_wrappers(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_page_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>aé&nbsp;b</p></article>", "z"), (None, None, None, None)], "page_id bigint, url string, html string, text string")
     got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()}

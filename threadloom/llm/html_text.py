@@ -51,10 +51,14 @@ ASIDE_NAMES = frozenset("""
 ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb
 breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share
 sharing social related recommended recommendations widget toolbar pagination pager search complementary contentinfo masthead copyright
-comment comments commentlist disqus reply replies respond reader-comments
+comment comments commentlist disqus reply replies respond reader-comments comment-list comment-body comment-content comments-area comments-section
 """.split())
 #: Those that hold even for elements that hold an article.
-COMMENT_NAMES = frozenset("comment comments commentlist disqus reply replies respond".split())
+COMMENT_NAMES = frozenset("""
+comment comments commentlist disqus reply replies respond comment-list comment-body comment-content comments-area comments-section
+""".split())
+# FIXED VALUES. Words before a name that say what an element has beside or within it, not what it is.
+HAVING = frozenset("has have with without no show hide".split())
 
 # FIXED VALUES. Those of elements that hold the article.
 ARTICLE_NAMES = frozenset("article-body article-content post-content entry-content".split())
@@ -79,11 +83,14 @@ class Block:
 
 
 def _names(attrs: str) -> set[str]:
+    """Words of class, id and role, and the last part of each: "site-footer" is a footer, "footer-page" and "has-footer" are not."""
     found: set[str] = set()
     for m in _NAMED.finditer(attrs):
         for value in (m[1] or m[2] or m[3] or "").lower().split():
             found.add(value)
-            found.update(re.split(r"[^a-z]+", value))
+            parts = [x for x in re.split(r"[^a-z]+", value) if x]
+            if parts and not HAVING.intersection(parts[:-1]):
+                found.add(parts[-1])
     return found
 
 
@@ -93,9 +100,9 @@ def blocks(page: str) -> list[Block]:
     words: list[str] = []
     linked = 0
     heading = False
-    #: Open elements that matter: (name, kind) with kind drop, article or link.
+    #: Open elements that matter: (name, kind) with kind drop, named (dropped for its name), article or link.
     stack: list[tuple[str, str]] = []
-    counts = {"drop": 0, "article": 0, "link": 0}
+    counts = {"drop": 0, "named": 0, "article": 0, "link": 0}
 
     def flush() -> None:
         nonlocal words, linked, heading
@@ -106,7 +113,7 @@ def blocks(page: str) -> list[Block]:
 
     def text(part: str) -> None:
         nonlocal linked
-        if part and not counts["drop"]:
+        if part and not counts["drop"] and not counts["named"]:
             words.append(part)
             if counts["link"]:
                 linked += len(_SPACE.sub("", entities.unescape(part)))
@@ -150,13 +157,16 @@ def blocks(page: str) -> list[Block]:
             kind = "drop" if names & COMMENT_NAMES else "article"
         elif name in DROPPED or (name == "header" and not counts["article"]):
             kind = "drop"
-        elif name != "html" and (names & ASIDE_NAMES or (attrs and _HIDDEN.search(attrs))):
+        elif name != "html" and (names & COMMENT_NAMES or (attrs and _HIDDEN.search(attrs))):
             kind = "drop"
+        elif name != "html" and names & ASIDE_NAMES:
+            kind = "named"
         elif name == "a":
             kind = "link"
-        if kind == "article" and counts["drop"] and not any(k == "drop" and nm not in ("nav", "header", "head", "menu") for nm, k in stack):
-            # An unclosed menu or header ends where the article begins.
-            stack, counts = [s for s in stack if s[1] == "article"], {"drop": 0, "article": counts["article"], "link": 0}
+        if kind == "article" and (counts["drop"] or counts["named"]) and not any(
+                k == "drop" and nm not in ("nav", "header", "head", "menu") for nm, k in stack):
+            # An unclosed menu or header ends where the article begins; what was named after a part of the page holds all of it.
+            stack, counts = [s for s in stack if s[1] == "article"], {"drop": 0, "named": 0, "article": counts["article"], "link": 0}
         if kind:
             stack.append((name, kind))
             counts[kind] += 1
