@@ -95,3 +95,10 @@ def test_quality_odd(spark, make):
     assert got[1]["base_failed"] and not got[1]["kept"] and got[1]["score"] == 0.0 and got[None]["n_words"] == 25
     empty = make([])
     assert quality.judge(empty, quality.fit(empty, none)).count() == 0
+
+
+def test_quality_counts_all_trusted(spark):
+    docs = spark.range(50_500).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.col("id") % 7, F.col("id") % 11).alias("text"))
+    # When every document is trusted, nothing sets them apart.
+    weights = quality.fit(docs, docs.select("doc_id"), buckets=512).head()["weights"]
+    assert max(map(abs, weights)) < 1e-9

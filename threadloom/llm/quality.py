@@ -25,8 +25,6 @@ SPACE = " \t\n\x0b\f\r"
 _GAP = "[ \\t\\n\\x0B\\f\\r]+"
 
 BUCKETS = 1 << 18
-#: Trusted documents used, those of smallest hashed id first; bounds what is broadcast.
-MAX_TRUSTED = 50_000
 PSEUDO = 5.0
 THRESHOLD = -0.12
 MIN_WORDS = 20
@@ -89,15 +87,15 @@ def base_metrics(rows: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED, pseudo: float = PSEUDO) -> DataFrame:
+        buckets: int = BUCKETS, pseudo: float = PSEUDO) -> DataFrame:
     """One row with `weights`: log p_target - log p_raw of each bucket.
 
-    trusted: frame with the ids of trusted documents. Raw counts cover every document.
+    trusted: frame with the ids of trusted documents. Raw counts cover every document, target counts every trusted one.
     """
-    chosen = trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(max_trusted).withColumn("_trusted", F.lit(1))
+    # Written first, so that the planner knows the size: few ids are broadcast, for many the texts are shuffled.
+    chosen = cut_lineage(trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1)))
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = hashed(rows).select("_id", F.concat("_h", "_h2").alias("_grams")).join(F.broadcast(chosen), "_id", "left")
+    rows = hashed(rows.join(chosen, "_id", "left")).select("_trusted", F.concat("_h", "_h2").alias("_grams"))
     # The outer explode keeps the optimizer from deriving a filter that would compute the arrays again.
     grams = rows.select(F.explode_outer("_grams").alias("gram"), F.coalesce("_trusted", F.lit(0)).alias("one"))
     counts = cut_lineage(grams.where("gram IS NOT NULL").groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(
