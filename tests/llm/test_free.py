@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from tests.llm.test_native import by_id
-from threadloom.llm import bpe, html_text, language_id, line_dedup, mixing, near_dedup, substring_dedup
+from threadloom.llm import bpe, html_text, language_id, line_dedup, mixing, near_dedup, queries, substring_dedup
 from threadloom.llm.components import components
 from threadloom.llm.queries import vocabulary_path
 
@@ -30,6 +30,20 @@ def test_substrings(make, copies, odd_texts):
     assert wide == brute.substrings(docs, 20)
 
 
+def test_substring_query_uses_wide_hashes(make, monkeypatch):
+    used = []
+    removals = substring_dedup.removals
+
+    def watched(docs, id_col, text_col, window, lanes):
+        used.append(lanes)
+        return removals(docs, id_col, text_col, window, lanes)
+
+    monkeypatch.setattr(substring_dedup, "removals", watched)
+    monkeypatch.setattr(queries, "table", lambda *_: make([(1, "a b", None)]))
+    assert queries.op3_substring_dedup(None, "").count() == 1
+    assert used == [2]
+
+
 def test_substring_rows(make):
     text = " ".join(map(str, range(30)))
     rows = substring_dedup.dedup(make([(1, text, None), (1, text, None), (2, "x " + text, None), (None, text, None), (3, None, None)])).collect()

@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return substring_dedup.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return substring_dedup.dedup(docs, lanes=2).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
