@@ -36,6 +36,11 @@ def words(text: Column) -> Column:
     return F.when(F.length(trimmed) > 0, F.split(trimmed, _GAP)).otherwise(F.array().cast("array<string>"))
 
 
+def lower_ascii(text: Column) -> Column:
+    """The text with A-Z, and no other letters, in lower case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def bucket_of(gram: Column, buckets: int) -> Column:
     return F.pmod(gram, F.lit(buckets)).cast("int")
 

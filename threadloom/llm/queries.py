@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, mixing, near_dedup, quality, sharding, sql, substring_dedup
+from threadloom.llm import bpe, exact_dedup, html_text, language_id, line_dedup, merkle, mixing, near_dedup, quality, sharding, sql, substring_dedup
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
@@ -68,9 +68,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", "removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # Where 3 divides the id's checksum, the copy that is verified has its text lower-cased.
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.digest(*[
+        merkle.field(quality.lower_ascii(F.col(c)) if c == "text" else F.col(c)) for c in merkle.FIELDS]))
+    rows = merkle.verify(merkle.manifest(docs, extra=changed), F.coalesce("extra", "leaf"))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_html_text, op5_bpe, op6_sharding, op7_quality_rules, op8_mixing,
-    op9_near_dedup, op10_line_dedup,
+    op9_near_dedup, op10_line_dedup, op11_merkle,
 )}
 #: The others have no SQL: they are tested against plain Python, the public library or held-out labels.
 ORACLES = {
@@ -79,4 +88,5 @@ ORACLES = {
     "op6_sharding": sql.op6(SHARDS),
     "op8_mixing": sql.OP8,
     "op9_near_dedup": sql.OP9,
+    "op11_merkle": sql.OP11,
 }

@@ -43,6 +43,48 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id =
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY 1) m USING (doc_id)"""
 
 
+def _leaf(text: str) -> str:
+    fields = ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({f}) AS VARCHAR) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: CRC-32 of the decimal doc_id, bit by bit: a byte is xored in, then eight shifts follow.
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+  lambda c: list_concat([CAST(ascii(c) AS BIGINT)], list_transform(range(8), lambda k: CAST(-1 AS BIGINT)))))),
+  lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END), 4294967295)"""
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all levels above `leaves` (tree, idx, h), and their runs, as two common table expressions."""
+    return f"""{name}(tree, lvl, idx, h) AS (SELECT tree, 0, idx, h FROM {leaves}
+  UNION ALL SELECT tree, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, max(idx) OVER (PARTITION BY tree, lvl) AS last FROM {name}) WHERE last > 0 GROUP BY tree, lvl, idx // 8),
+{name}_runs AS (SELECT tree, lvl, idx // 8 AS run, list(h ORDER BY idx) AS hs FROM (SELECT *, max(idx) OVER (PARTITION BY tree, lvl) AS last FROM {name}) WHERE last > 0 GROUP BY ALL),
+{name}_roots AS (SELECT tree, h FROM (SELECT *, max(idx) OVER (PARTITION BY tree, lvl) AS last FROM {name}) WHERE last = 0)"""
+
+
+def _climb(name: str, tree: str, start: str) -> str:
+    """Fold `start` (doc_id, tree, idx, f, proof) up its tree: (doc_id, lvl, f, proof) of every level."""
+    step = "array_to_string(hs[1:idx % 8], '')", "array_to_string(hs[idx % 8 + 2:], '')"
+    return f"""{name}(doc_id, tree, lvl, idx, f, proof) AS (SELECT doc_id, tree, 0, idx, f, proof FROM {start}
+  UNION ALL SELECT c.doc_id, c.tree, c.lvl + 1, c.idx // 8, sha256({step[0]} || f || {step[1]}), proof || {step[0]} || {step[1]}
+  FROM {name} c JOIN {tree}_runs r ON r.tree = c.tree AND r.lvl = c.lvl AND r.run = c.idx // 8)"""
+
+
+OP11 = f"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(':' || lang, '-') AS tree, {_leaf('text')} AS leaf,
+  CASE WHEN {_CRC} % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS other FROM documents),
+l AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+{_tree('low', 'l')},
+t AS (SELECT 'top' AS tree, tree AS part, h, row_number() OVER (ORDER BY tree) - 1 AS idx FROM low_roots),
+{_tree('top', 't')},
+s AS (SELECT doc_id, tree, idx, coalesce(other, leaf) AS f, '' AS proof FROM l),
+{_climb('up', 'low', 's')},
+m AS (SELECT doc_id, 'top' AS tree, t.idx, f, proof FROM (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1) u JOIN t ON t.part = u.tree),
+{_climb('fin', 'top', 'm')}
+SELECT l.doc_id, leaf, r.h AS subroot, x.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = x.h AS verified
+FROM l JOIN low_roots r ON r.tree = l.tree CROSS JOIN top_roots x
+JOIN (SELECT * FROM fin QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY lvl DESC) = 1) z ON z.doc_id = l.doc_id"""
+
+
 def op6(shards: list[str], slots: int = sharding.SLOTS) -> str:
     """The lookup table is given: it depends on the shards' names alone."""
     owners = ",".join(map(str, sharding.fill(shards, slots)))
