@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import bpe, exact_dedup, html_text, language_id, licenses, line_dedup, merkle, mixing, near_dedup, quality, sharding, sql, substring_dedup
+from threadloom.llm import bpe, exact_dedup, filter_audit, html_text, language_id, licenses, line_dedup, merkle, mixing, near_dedup, quality, sharding, sql, substring_dedup
 
 SHARDS = [f"shard-{n:03d}" for n in range(64)]
 
@@ -77,13 +77,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(filter_audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.labels_of(licenses.scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_language_id, op3_substring_dedup, op4_html_text, op5_bpe, op6_sharding, op7_quality_rules, op8_mixing,
-    op9_near_dedup, op10_line_dedup, op11_merkle, op13_license_scan,
+    op9_near_dedup, op10_line_dedup, op11_merkle, op12_filter_audit, op13_license_scan,
 )}
 #: The others have no SQL: they are tested against plain Python, the public library or held-out labels.
 ORACLES = {
@@ -93,4 +97,5 @@ ORACLES = {
     "op8_mixing": sql.OP8,
     "op9_near_dedup": sql.OP9,
     "op11_merkle": sql.OP11,
+    "op12_filter_audit": sql.OP12,
 }
