@@ -1,17 +1,20 @@
 """Built JSONL files through the real text scan."""
 
 import json
+import re
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from threadloom import fixed_values as V
 from threadloom.functions.entry_text import with_display, with_texts
 from threadloom.operators import agents as AG
 from threadloom.operators import calls as C
 from threadloom.operators import lineage as L
 from threadloom.operators import resolve as R
 from threadloom.operators import sessions as S
+from threadloom.plans import user_queries as Q
 from threadloom.sources import projects as P
 from threadloom.sources import sinks
 from threadloom.sources import transcripts as TR
@@ -122,6 +125,40 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_lines_are_neither_shuffled_nor_joined(spark, tmp_path, capsys):
+    for k in range(40):
+        (tmp_path / f"f{k:02d}.jsonl").write_text("".join(f'{{"n": {i}}}\n' for i in range(k * 7)))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "100"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = TR.scan_lines(spark, str(tmp_path))
+        rows.explain("formatted")
+        moves = [part for part in capsys.readouterr().out.split("\n(")[1:] if re.match(r"\d+\) .*(Exchange|Join|Sort|Window)", part)]
+        assert moves and not any("value#" in part for part in moves)
+        got = rows.select("file_path", "line_no", F.get_json_object("value", "$.n").cast("bigint").alias("n")).collect()
+        assert len(got) == sum(k * 7 for k in range(40)) and all(r.line_no == r.n for r in got)
+        assert rows.rdd.getNumPartitions() > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_survey_opens_only_files_with_a_hit(spark, root, tmp_path):
+    failed = user(3, [result("t1", "No such file", True)], toolUseResult="x")
+    for k in range(6):
+        (tmp_path / f"{SID[:-1]}{k}.jsonl").write_text("\n".join(json.dumps(x) for x in [user(1, "hi"), failed if k % 3 == 0 else user(2, "is_error")]) + "\n")
+    found = TR.paths_containing(spark, str(tmp_path), V.FLAGGED_LITERAL)
+    assert [p[-7:-6] for p in found] == ["0", "3"]
+    rows = Q.scan(spark, str(tmp_path), failures_only=True)
+    assert sorted(f[-7:-6] for f in rows.inputFiles()) == ["0", "3"] and rows.count() == 4
+    none = tmp_path / "none"
+    none.mkdir()
+    (none / "x.jsonl").write_text(json.dumps(user(1, "hi")) + "\n")
+    assert Q.scan(spark, str(none), failures_only=True).count() == 0
+
+
 def test_types_and_rejects(lines, entries):
     types = {r.entry_type: r["count"] for r in main_rows(entries).groupBy("entry_type").count().collect()}
     assert types == {"human": 5, "tool_result": 4, "assistant": 2, "meta": 1, "queue_operation": 1, "system": 1,

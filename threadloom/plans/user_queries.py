@@ -44,11 +44,11 @@ def one_session(entries: DataFrame, session: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, path: str | list[str], after: datetime | None = None, failures_only: bool = False) -> DataFrame:
-    """Entries of the files below `path`. Files last written before `after` are not read; with `failures_only` only
-    files are parsed whose raw text holds a flagged result."""
-    lines = TR.scan_lines(spark, path, after)
+    """Entries of the files below `path`. Files last written before `after` are not read. With `failures_only` the raw text
+    of all files is searched for flagged results now, and only files that hold one are opened later."""
     if failures_only:
-        lines = matching(lines, TR.files_containing(lines, V.FLAGGED_LITERAL), ["file_path"])
+        path = TR.paths_containing(spark, path, V.FLAGGED_LITERAL, after)
+    lines = TR.scan_lines(spark, path, after) if path else TR.no_lines(spark)
     return TR.entries(lines.withColumn("project", TR.project_dir(F.col("file_path"))))
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
@@ -48,41 +48,72 @@ PARTS_TYPE = "array<struct<kind:string,text:string>>"
 # --- A1, A5, C9: lines and what the path says ----------------------------------------------------
 
 
+def _reader(spark: SparkSession, modified_since: datetime | None) -> DataFrameReader:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+    if modified_since is None:
+        return reader
+    # Files are append-only: one last written before a window cannot reach into it. The reader's
+    # bound is exclusive and in whole seconds, so the second of the bound itself is taken along.
+    since = modified_since if modified_since.tzinfo else modified_since.replace(tzinfo=timezone.utc)
+    bound = since.astimezone(timezone.utc) - timedelta(seconds=1)
+    return reader.option("timeZone", "UTC").option("modifiedAfter", bound.strftime("%Y-%m-%dT%H:%M:%S"))
+
+
 def scan_lines(
     spark: SparkSession, path: str | list[str], modified_since: datetime | None = None
 ) -> DataFrame:
-    """All physical lines of the `.jsonl` files below `path`, with their line numbers.
+    """All physical lines of the `.jsonl` files below `path` (a folder, a file, or a list of them), with their line numbers.
 
     A file may span many splits. Lines of one split are consecutive in one task, so the number
     within the split is a subtraction; only the row count per split is aggregated, and only those
-    counts are ordered per file. No task ever holds a whole file. `modified_since` without a zone is UTC.
+    counts are ordered per file. No task ever holds a whole file, and no line is shuffled or joined: see
+    `split_shifts`. `modified_since` without a zone is UTC.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
-    if modified_since is not None:
-        # Files are append-only: one last written before a window cannot reach into it. The reader's
-        # bound is exclusive and in whole seconds, so the second of the bound itself is taken along.
-        since = modified_since if modified_since.tzinfo else modified_since.replace(tzinfo=timezone.utc)
-        bound = since.astimezone(timezone.utc) - timedelta(seconds=1)
-        reader = reader.option("timeZone", "UTC").option("modifiedAfter", bound.strftime("%Y-%m-%dT%H:%M:%S"))
-    raw = reader.text(path).select(
+    raw = _reader(spark, modified_since).text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_row"),
         "value",
     )
-    splits = raw.groupBy("file_path", "_split").agg(
+    told = raw.select("*", F.get(split_shifts(raw).scalar(), F.shiftright("_row", _ROW_BITS).cast("int")).alias("_shifts"), _split_print().alias("_print"))
+    shift = F.get(F.filter("_shifts", lambda s: s["split"] == F.col("_print")), 0)["shift"]
+    changed = F.raise_error(F.concat(F.lit("read in other splits than were counted: "), "file_path")).cast("bigint")
+    return told.select("file_path", "file_mtime", (F.col("_row") + F.coalesce(shift, changed)).alias("line_no"), "value")
+
+
+def no_lines(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "file_path STRING, file_mtime TIMESTAMP, line_no BIGINT, value STRING")
+
+
+def _split_print() -> Column:
+    return F.xxhash64("file_path", "_split")
+
+
+#: `monotonically_increasing_id` puts the number of the task above this many bits.
+_ROW_BITS = 33
+
+
+def split_shifts(raw: DataFrame) -> DataFrame:
+    """One row, one list: by number of the task, the splits it reads (a hash of file and place, and what to add to a row
+    id to get the line number).
+
+    It goes to the tasks with their plan, as a constant. It has two numbers a split, far less than the list of files
+    and splits itself, which the reader keeps in the driver and gives to the tasks as well. Splits depend on sizes of
+    files and on settings; for input below `spark.sql.files.maxPartitionBytes` a core also on the number of cores, unless
+    `spark.sql.files.minPartitionNum` is set. Should they change between counting and reading, the read fails.
+    """
+    splits = raw.groupBy(F.shiftright("_row", _ROW_BITS).alias("_task"), "file_path", "_split").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
     per_file = Window.partitionBy("file_path").orderBy("_split")
-    before = F.sum("_rows").over(per_file.rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_rows")
-    return raw.join(splits, ["file_path", "_split"]).select(
-        "file_path",
-        "file_mtime",
-        (F.col("_row") - F.col("_first") + F.col("_before")).alias("line_no"),
-        "value",
-    )
+    before = F.coalesce(F.sum("_rows").over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = splits.select("_task", F.struct(_split_print().alias("split"), (before - F.col("_first")).alias("shift")).alias("s"))
+    tasks = placed.groupBy("_task").agg(F.collect_list("s").alias("s"))
+    # Tasks without rows have a place too.
+    known = tasks.agg(F.max("_task").alias("n"))
+    dense = known.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "n")).alias("_task")).join(tasks, "_task", "left")
+    return dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("_task", "s"))), lambda e: e["s"]).alias("shifts"))
 
 
 def path_columns(path: Column) -> dict[str, Column]:
@@ -356,6 +387,16 @@ def transcripts(lines: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     )
 
 
+def paths_containing(spark: SparkSession, path: str | list[str], pattern: str, modified_since: datetime | None = None) -> list[str]:
+    """Paths of the files below `path` with a raw line that matches an authored literal.
+
+    Read as text only: no numbers, no parse. The answer is part of the list of files that the reader keeps in the driver.
+    A second read that is given these paths opens no other file.
+    """
+    found = _reader(spark, modified_since).text(path).where(F.rlike("value", F.lit(pattern))).select(F.col("_metadata.file_path").alias("p")).distinct()
+    return sorted(r["p"] for r in found.collect())
+
+
 def files_containing(lines: DataFrame, pattern: str) -> DataFrame:
     """Files with a raw line that matches an authored literal; may over-select, never drops."""
     return lines.where(F.rlike("value", F.lit(pattern))).select("file_path").distinct()
