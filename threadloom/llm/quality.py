@@ -1,7 +1,7 @@
 """Quality rules: a base rule on counts, then a hashed n-gram log-likelihood ratio.
 
 Words and pairs of neighbouring words are hashed to `buckets` counters. One pass over the corpus
-sums each bucket over all documents (raw) and over the trusted documents (target). The score of a
+sums each bucket over all documents (raw), one over the trusted documents (target). The score of a
 text is the mean over its n-grams of log p_target - log p_raw, where the raw multinomial is scaled
 to the target's size and both get the same pseudo-count, so an n-gram too rare for evidence scores
 about 0. The verdict is score >= threshold: no sampling, no randomness.
@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.sized import checked
 from threadloom.session import cut_lineage
 
 SPACE = " \t\n\x0b\f\r"
@@ -29,6 +30,8 @@ PSEUDO = 5.0
 THRESHOLD = -0.12
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Trusted ids up to which they are broadcast; beyond, the planner joins them, and prunes texts with a Bloom filter.
+BROADCAST_IDS = 1_000_000
 
 
 def words(text: Column) -> Column:
@@ -97,14 +100,18 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
 
     trusted: frame with the ids of trusted documents. Raw counts cover every document, target counts every trusted one.
     """
-    # Written first, so that the planner knows the size: few ids are broadcast, for many the texts are shuffled.
-    chosen = cut_lineage(trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct().withColumn("_trusted", F.lit(1)))
+    chosen = checked(cut_lineage(trusted.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()), BROADCAST_IDS)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = hashed(rows.join(chosen, "_id", "left")).select("_trusted", F.concat("_h", "_h2").alias("_grams"))
-    # The outer explode keeps the optimizer from deriving a filter that would compute the arrays again.
-    grams = rows.select(F.explode_outer("_grams").alias("gram"), F.coalesce("_trusted", F.lit(0)).alias("one"))
-    counts = cut_lineage(grams.where("gram IS NOT NULL").groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(
-        F.count(F.lit(1)).alias("raw"), F.sum("one").alias("target")))
+
+    def sums(own: DataFrame, name: str) -> DataFrame:
+        grams = hashed(own).select(F.concat("_h", "_h2").alias("_grams"))
+        # The outer explode keeps the optimizer from deriving a filter that would compute the arrays again.
+        grams = grams.select(F.explode_outer("_grams").alias("gram")).where("gram IS NOT NULL")
+        return cut_lineage(grams.groupBy(bucket_of(F.col("gram"), buckets).alias("bucket")).agg(F.count(F.lit(1)).alias(name)))
+
+    # Texts of the whole corpus are only scanned; no join stands between the scan and the sums.
+    raw, target = sums(rows, "raw"), sums(rows.join(chosen, "_id", "left_semi"), "target")
+    counts = raw.join(target, "bucket", "left").withColumn("target", F.coalesce("target", F.lit(0)))
     share = counts.select(F.sum("target") / F.sum("raw")).scalar()
     weight = F.log((F.col("target") + pseudo) / (F.col("raw") * share + pseudo))
     # Exactly `buckets` rows, a fixed number, meet in one list.
