@@ -5,12 +5,13 @@
    goes on, so a passage that a third of all documents hold sends one entry per slice. The others
    are packed into one block per hash bucket: hashes, and per document its starts.
 2. A bucket brings together all occurrences of its hashes. All but the first by (id, start) are
-   marked. Buckets are as many as shuffle partitions, so their size follows the cluster's setting.
+   marked. A bucket is a task: their number follows the bytes of all texts, which are summed first, so a
+   task's share stays some tens of megabytes whatever the input.
 3. Marked starts return to their document as packed lists; overlapping or touching windows merge
    into maximal removal intervals.
 
-Hashes have 64 bits, or 128 with lanes=2 (twice the shuffle). With 64, among 10**8 different windows
-the chance that any two share a hash is about 3 in 10,000.
+Hashes have 64 bits, or 96 with lanes=2 (half as much more to shuffle). With 64, among 10**8 different windows
+the chance that any two share a hash is about 3 in 10,000; with 96, among 2 * 10**13 (100 TB) about 3 in 1,000.
 
 Defined results: a null text has no words; a text shorter than the window loses nothing; rows that
 share an id are repeats of one document, lose the same words, and none of them because of another;
@@ -34,6 +35,20 @@ from threadloom.llm.words import hash_words, inner_starts, mix, rolling, slices,
 from threadloom.session import cut_lineage
 
 WINDOW = 20
+#: Text bytes whose windows make up one bucket; about three times as much is shuffled.
+BUCKET_BYTES = 12 << 20
+
+
+def _bytes_of(hashes: list[np.ndarray]) -> bytes:
+    """The first lane whole, of the second its upper half."""
+    return b"".join([hashes[0].tobytes(), *[(h >> np.uint64(32)).astype(np.uint32).tobytes() for h in hashes[1:]]])
+
+
+def _hashes_of(raw: pa.Buffer, lanes: int) -> np.ndarray:
+    if lanes == 1:
+        return np.frombuffer(raw, dtype=np.uint64).reshape(1, -1)
+    n = len(raw) // 12
+    return np.stack([np.frombuffer(raw, dtype=np.uint64, count=n), np.frombuffer(raw, dtype=np.uint32, offset=8 * n).astype(np.uint64)])
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -93,6 +108,7 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
                     continue
                 words = hash_words(distinct, lanes)
                 hashes = [rolling(mix(words[:, k].copy())[codes], window)[at] for k in range(lanes)]
+                hashes[1:] = [h & ~np.uint64(0xFFFFFFFF) for h in hashes[1:]]
                 counts = np.maximum(np.diff(offsets) - window + 1, 0)
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 # Any name does: slices that share one are only unpacked together.
@@ -112,7 +128,7 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
                 bounds = np.searchsorted(home, np.arange(buckets + 1))
                 for bucket in np.flatnonzero(np.diff(bounds)).tolist():
                     some = left[bounds[bucket] : bounds[bucket + 1]]
-                    out.append((bucket, *_fold(ids[some], starts[some]), np.concatenate([h[some] for h in hashes]).tobytes()))
+                    out.append((bucket, *_fold(ids[some], starts[some]), _bytes_of([h[some] for h in hashes])))
                 columns = list(zip(*out, strict=True))
                 yield pa.record_batch([
                     pa.array([name] * len(out), pa.int64()), pa.array(columns[0], pa.int32()), *[pa.array(c, pa.binary()) for c in columns[1:]],
@@ -121,7 +137,7 @@ def _blocks(rows: DataFrame, window: int, buckets: int, lanes: int) -> DataFrame
     return rows.mapInArrow(run, "slice bigint, bucket int, docs binary, starts binary, hashes binary")
 
 
-def _marks(blocks: DataFrame, lanes: int) -> DataFrame:
+def _marks(blocks: DataFrame, buckets: int, lanes: int) -> DataFrame:
     """id, starts: packed starts of windows that also start earlier. A bucket answers each block with one block, and
     the answers to a slice, which is bounded, are unpacked together."""
 
@@ -133,7 +149,7 @@ def _marks(blocks: DataFrame, lanes: int) -> DataFrame:
             parts = [_unfold(d, g) for d, g in zip(table["docs"].to_pylist(), table["starts"].to_pylist(), strict=True)]
             block = np.repeat(np.arange(len(parts)), [len(i) for i, _ in parts])
             ids, starts = (np.concatenate(c) for c in zip(*parts, strict=True))
-            hashes = np.concatenate([np.frombuffer(h.as_buffer(), dtype=np.uint64).reshape(lanes, -1) for h in table["hashes"]], axis=1)
+            hashes = np.concatenate([_hashes_of(h.as_buffer(), lanes) for h in table["hashes"]], axis=1)
             late = np.sort(_later(hashes, ids, starts))
             names = table["slice"].to_pylist()
             for own in np.split(late, np.flatnonzero(np.diff(block[late])) + 1) if len(late) else ():
@@ -152,7 +168,7 @@ def _marks(blocks: DataFrame, lanes: int) -> DataFrame:
                 packed = [_pack(np.diff(starts[a:b], prepend=0).astype(np.uint32)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.record_batch({"id": pa.array(ids[cuts[:-1]]), "starts": pa.array(packed, pa.binary())})
 
-    answers = blocks.groupBy("bucket").applyInArrow(judge, "slice bigint, docs binary, starts binary")
+    answers = blocks.repartitionById(buckets, F.col("bucket")).groupBy("bucket").applyInArrow(judge, "slice bigint, docs binary, starts binary")
     gathered = answers.groupBy("slice").agg(F.collect_list(F.struct("docs", "starts")).alias("answers")).select("answers")
     return gathered.mapInArrow(unpack, "id bigint, starts binary")
 
@@ -167,11 +183,11 @@ def covered(n_words: int, starts: np.ndarray, window: int) -> np.ndarray:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, lanes: int = 1) -> DataFrame:
     """One row per row of `docs`: id, text, marks (packed starts of removed windows; null if none)."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions")) * 2
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // BUCKET_BYTES)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     blocks = _blocks(rows.where("id IS NOT NULL"), window, buckets, lanes)
-    marks = cut_lineage(_marks(blocks, lanes).groupBy("id").agg(F.collect_list("starts").alias("marks")))
+    marks = cut_lineage(_marks(blocks, buckets, lanes).groupBy("id").agg(F.collect_list("starts").alias("marks")))
     return rows.join(marks, "id", "left")
 
 
