@@ -102,3 +102,16 @@ def test_quality_counts_all_trusted(spark):
     # When every document is trusted, nothing sets them apart.
     weights = quality.fit(docs, docs.select("doc_id"), buckets=512).head()["weights"]
     assert max(map(abs, weights)) < 1e-9
+
+
+def test_one_id_with_several_texts(make):
+    rows = [(1, "a", None), (2, "a", None), (1, "b", None), (1, "c", None), (3, "c", None)]
+    got = exact_dedup.exact_dedup(make(rows)).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [
+        (1, 1, 1, True), (1, 2, 2, False), (1, 3, 2, False), (2, 2, 2, True), (3, 3, 2, True)]
+    assert sorted((r["doc_id"], r["text"]) for r in exact_dedup.survivors(make(rows)).collect()) == [(1, "b"), (2, "a"), (3, "c")]
+
+
+def test_texts_of_single_rows_do_not_move(spark, make, copies):
+    plan = exact_dedup.survivors(make(copies))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
