@@ -31,6 +31,24 @@ def names(column: Column, typed: str) -> Column:
     return forward | column.isin(shorter) if shorter else forward
 
 
+def successor(prefix: str) -> str:
+    """The smallest text that sorts after every text that starts with `prefix`; empty if there is none."""
+    kept = prefix.rstrip("\U0010ffff")
+    following = ord(kept[-1]) + 1 if kept else 0
+    return kept[:-1] + chr(0xE000 if following == 0xD800 else following) if kept else ""
+
+
+def keys_under(key: Column, lead: str, typed: list[str]) -> Column:
+    """Keys `<lead><id>..` whose id one of the typed ids names, as in `names`, as ranges and equalities: a scan
+    of a sorted table reads the pages in which they lie."""
+    found = F.lit(False)
+    for one in filter(None, typed):
+        low, high = lead + one, successor(lead + one)
+        found = found | ((key >= low) & (key < high) if high else key >= low)
+        found = found | key.isin([lead + one[:k] for k in range(1, min(len(one), V.FULL_ID))]) if len(one) > 1 else found
+    return found
+
+
 def check_turn_id(turn: str) -> str:
     if not turn or not re.match(V.TURN_ID_PATTERN, turn):
         raise ValueError(f"{turn!r} is not a turn id or a prefix of at least 8 hex digits")

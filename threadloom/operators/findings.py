@@ -67,6 +67,14 @@ def dropped_returns(returns: DataFrame) -> DataFrame:
     return returns.where(~_whole()).groupBy("review_id").agg(F.count(F.lit(1)).alias("dropped_returns"))
 
 
+def reported(returns: DataFrame) -> DataFrame:
+    """Findings of whole returns, one row each, under the reviewer of the return. What a return lacks drops before its
+    findings are looked at, so none of them counts in a merge."""
+    kept = whole_returns(returns).select("review_id", "reviewer", F.explode("findings").alias("_f"))
+    own = [c for c in kept.schema["_f"].dataType.names if c not in ("review_id", "reviewer")]
+    return kept.select("review_id", "reviewer", *[F.col(f"_f.{c}").alias(c) for c in own])
+
+
 def validate(findings: DataFrame) -> DataFrame:
     return findings.where(_fault().isNull())
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
 from threadloom.functions.fence import fenced, let
+from threadloom.functions.ids import keys_under, successor
 from threadloom.functions.text import snippet
 from threadloom.operators.ordered import first_rows, lookup
 
@@ -198,14 +199,19 @@ def triage_headers(rows: DataFrame, k: int = V.TRIAGE_ROWS) -> DataFrame:
     return rows.orderBy(F.desc(F.col("lines_added") + F.col("lines_removed")), "source", "conversation_id").limit(k)
 
 
-def conversation_turns(kv: DataFrame) -> DataFrame:
-    """Turns of every stored conversation; a turn without text takes its bubble's.
+def conversation_turns(kv: DataFrame, typed: list[str] | None = None) -> DataFrame:
+    """Turns of the stored conversations that typed ids or prefixes name (of all when there are none typed); a turn without
+    text takes its bubble's.
 
-    A bubble is one row of the store, so the join is one-to-one on its full key.
+    A bubble is one row of the store, so the join is one-to-one on its full key. Both kinds of keys hold the conversation's
+    id, so ids become ranges of keys that reach the scan.
     """
+    stored, inner = named(kv, V.CONVERSATION_KEY, prefix=True), named(kv, V.BUBBLE_KEY, prefix=True)
+    if typed is not None:
+        stored, inner = stored.where(keys_under(F.col("key"), V.CONVERSATION_KEY, typed)), inner.where(_bubbles_under(typed))
     c = F.from_json("value", """composerId STRING, name STRING,
         conversation ARRAY<STRUCT<type: INT, bubbleId: STRING, text: STRING>>""")
-    whole = named(kv, V.CONVERSATION_KEY, prefix=True).select(
+    whole = stored.select(
         F.substring_index("key", ":", -1).alias("conversation_id"), c.alias("c")
     ).select("conversation_id", F.posexplode("c.conversation").alias("turn", "t"))
     rows = whole.select(
@@ -216,7 +222,7 @@ def conversation_turns(kv: DataFrame) -> DataFrame:
         F.coalesce("t.bubbleId", F.lit("")).alias("bubble_id"), F.coalesce("t.text", F.lit("")).alias("text"),
     )
     b = F.from_json("value", "text STRING, content STRING, message STRING")
-    bubbles = named(kv, V.BUBBLE_KEY, prefix=True).select(
+    bubbles = inner.select(
         "key", F.coalesce(b["text"], b["content"], b["message"]).alias("bubble_text")
     ).groupBy("key").agg(F.min("bubble_text").alias("bubble_text"))
     bare = F.col("text") == ""
@@ -225,6 +231,15 @@ def conversation_turns(kv: DataFrame) -> DataFrame:
     return rows.where(~bare).unionByName(filled)
 
 
+def _bubbles_under(typed: list[str]) -> Column:
+    """A bubble's key goes on after the id, so an id that is shorter than a typed one is followed by a colon."""
+    shorter = [V.BUBBLE_KEY + one[:k] + ":" for one in typed for k in range(1, min(len(one), V.FULL_ID))]
+    found = keys_under(F.col("key"), V.BUBBLE_KEY, [one for one in typed if one])
+    for lead in sorted(set(shorter)):
+        found = found | ((F.col("key") >= lead) & (F.col("key") < successor(lead)))
+    return found
+
+
 def cut_middle(text: Column) -> Column:
     """Long text keeps its first 1000 and last 500 characters around a note."""
     note = F.concat(F.lit("\n\n[...truncated, "), F.length(text).cast("string"), F.lit(" chars total...]\n\n"))
@@ -234,11 +249,8 @@ def cut_middle(text: Column) -> Column:
     ).otherwise(text)
 
 
-def pull_conversations(kv: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """Readable turns of the conversations named by full id or prefix (all when none are)."""
-    rows = conversation_turns(kv)
-    if wanted is not None:
-        from threadloom.operators.resolve import narrow_to_ids
-
-        rows = narrow_to_ids(rows, wanted, "conversation_id")
+def pull_conversations(kv: DataFrame, typed: list[str] | None = None) -> DataFrame:
+    """Readable turns of the conversations that are typed in full or by prefix (all when none are); a typed id that is
+    longer than a stored one names that, too."""
+    rows = conversation_turns(kv, typed)
     return rows.withColumn("full_length", F.length("text")).withColumn("text", cut_middle(F.col("text")))

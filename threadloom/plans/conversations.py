@@ -252,13 +252,16 @@ def sessions_before(spark, d):
 
 
 #: Ids a user typed: a prefix, a full id, and one of no session.
-TYPED = ["00000003", "00000001" + tables.SESSION_TAIL, "ffffffff"]
+#: An id by prefix, one in full, one that names none, and one that names several.
+TYPED = ["00000003", "00000001" + tables.SESSION_TAIL, "ffffffff", "0000000"]
 
 
 def grep_sessions(spark, d):
-    found, missing = search.grep_sessions(_entry_table(spark, d), TYPED, PATTERNS, role="all", context=0, cap=1_000_000)
-    per = found.groupBy("id_pos", "session_id", "pattern").agg(F.count(F.lit(1)).alias("lines"))
-    return per.unionByName(missing.select("id_pos", F.col("raw_id").alias("session_id"), F.lit("(not found)").alias("pattern"), F.lit(0).cast("bigint").alias("lines")))
+    found, missing = search.grep_sessions(_entry_table(spark, d), TYPED, PATTERNS, role="all", context=0, cap=2)
+    # The totals of `grep` are those of all hits, however few of them are shown.
+    per = found.groupBy("id_pos", "session_id", "pattern").agg(F.max("hits").alias("hits"), F.count(F.lit(1)).alias("lines"))
+    return per.unionByName(missing.select(
+        "id_pos", F.col("raw_id").alias("session_id"), F.col("status").alias("pattern"), F.col("candidates").cast("bigint").alias("hits"), F.lit(0).cast("bigint").alias("lines")))
 
 
 QUERIES = {
@@ -429,9 +432,10 @@ SELECT session_id, message_count FROM f WHERE message_count >= 4 AND first_epoch
 SELECT pattern, count(*) AS hits, count(DISTINCT session_id) AS sessions FROM (SELECT session_id, p AS pattern FROM conv, (VALUES {', '.join(f"('{p}')" for p in PATTERNS)}) v(p)
  WHERE entry_type = 'assistant' AND regexp_matches(body, p, 'i')) GROUP BY 1""",
     "grep_sessions": f"""{_CONV}, {_HITS},
-ids(id_pos, raw_id) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TYPED))})
-SELECT CAST(id_pos AS INTEGER) AS id_pos, session_id, pattern, count(*) AS lines FROM hits JOIN ids ON starts_with(session_id, raw_id) GROUP BY ALL
-UNION ALL SELECT CAST(id_pos AS INTEGER), raw_id, '(not found)', 0 FROM ids WHERE NOT EXISTS (SELECT 1 FROM conv WHERE starts_with(session_id, raw_id))""",
+ids(id_pos, raw_id) AS (VALUES {', '.join(f"({i}, '{t}')" for i, t in enumerate(TYPED))}),
+named AS (SELECT id_pos, raw_id, count(DISTINCT session_id) AS n FROM ids LEFT JOIN (SELECT * FROM conv WHERE role <> 'system') ON starts_with(session_id, raw_id) GROUP BY ALL)
+SELECT CAST(id_pos AS INTEGER) AS id_pos, session_id, pattern, count(*) AS hits, least(2, count(*)) AS lines FROM hits JOIN (SELECT * FROM named WHERE n = 1) ON starts_with(session_id, raw_id) GROUP BY ALL
+UNION ALL SELECT CAST(id_pos AS INTEGER), raw_id, CASE WHEN n = 0 THEN 'not_found' ELSE 'ambiguous' END, n, 0 FROM named WHERE n <> 1""",
     "entry_texts": f"""{_CONV}
 SELECT uuid, CASE WHEN entry_type = 'human' THEN CASE WHEN body <> '' THEN 'human' ELSE 'command_scaffolding' END END AS origin,
  md5(body) AS body, md5(CASE WHEN entry_type = 'human' THEN text ELSE '' END) AS marker,

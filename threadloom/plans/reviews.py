@@ -10,8 +10,12 @@ from threadloom.session import cut_lineage
 from threadloom.sources import tables
 
 
+def _findings(spark, d):
+    return FN.reported(tables.returns(spark, d))
+
+
 def _numbered(spark, d):
-    return cut_lineage(FN.numbered(FN.staged(FN.merge(tables.findings(spark, d)))))
+    return cut_lineage(FN.numbered(FN.staged(FN.merge(_findings(spark, d)))))
 
 
 def _flat(rows):
@@ -19,16 +23,16 @@ def _flat(rows):
 
 
 def findings_rejected(spark, d):
-    return FN.rejected(tables.findings(spark, d))
+    return FN.rejected(_findings(spark, d))
 
 
 def findings_merge(spark, d):
-    merged = FN.merge(tables.findings(spark, d))
+    merged = FN.merge(_findings(spark, d))
     return _flat(merged).drop("island", "file")
 
 
 def findings_stages(spark, d):
-    rows = FN.staged(FN.merge(tables.findings(spark, d)))
+    rows = FN.staged(FN.merge(_findings(spark, d)))
     return rows.groupBy("review_id", "stage", "queue", "soft_bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -37,11 +41,11 @@ def findings_numbered(spark, d):
 
 
 def findings_suppressed(spark, d):
-    return FN.suppressed_counts(FN.staged(FN.merge(tables.findings(spark, d))))
+    return FN.suppressed_counts(FN.staged(FN.merge(_findings(spark, d))))
 
 
 def findings_soft(spark, d):
-    return FN.soft_entries(FN.staged(FN.merge(tables.findings(spark, d))))
+    return FN.soft_entries(FN.staged(FN.merge(_findings(spark, d))))
 
 
 def findings_budget(spark, d):
@@ -54,13 +58,11 @@ def findings_over_budget(spark, d):
 
 
 def findings_coverage(spark, d):
-    """Every line item is one reviewer's return with a risk and a gap."""
-    rows = tables.table(spark, d, "lineitem").select(
-        (F.col("l_suppkey") % 20).alias("review_id"),
-        F.array(F.concat(F.lit("risk "), (F.col("l_partkey") % 50).cast("string"))).alias("residual_risks"),
-        F.array(F.concat(F.lit("gap "), (F.col("l_orderkey") % 40).cast("string"))).alias("testing_gaps"),
-    )
-    return FN.coverage(rows)
+    return FN.coverage(FN.whole_returns(tables.returns(spark, d)))
+
+
+def returns_dropped(spark, d):
+    return FN.dropped_returns(tables.returns(spark, d))
 
 
 def finding_verdicts(spark, d):
@@ -72,13 +74,14 @@ def finding_verdicts(spark, d):
 
 
 def finding_details(spark, d):
-    given = FN.validate(tables.findings(spark, d))
+    given = FN.validate(_findings(spark, d))
     details = given.withColumn("detail", F.concat_ws(" ", F.lit("because"), "severity", F.col("line").cast("string")))
     found = FN.detail_join(_numbered(spark, d), details)
     return found.select("review_id", "number", "detail")
 
 
 QUERIES = {
+    "returns_dropped": returns_dropped,
     "findings_rejected": findings_rejected,
     "findings_merge": findings_merge,
     "findings_stages": findings_stages,
@@ -115,7 +118,7 @@ _F = """WITH f AS (SELECT l_suppkey % 20 AS review_id,
  list_value('safe_auto','gated_auto','manual','advisory')[1 + CAST(l_quantity AS BIGINT) % 4] AS autofix_class,
  list_value('review-fixer','downstream-resolver','human','release')[1 + l_suppkey % 4] AS owner,
  l_returnflag = 'R' AS requires_verification, l_linestatus = 'O' AND l_orderkey % 3 = 0 AS pre_existing,
- CASE WHEN l_partkey % 2 = 0 THEN 'fix ' || (l_partkey % 10) END AS suggested_fix FROM lineitem)"""
+ CASE WHEN l_partkey % 2 = 0 THEN 'fix ' || (l_partkey % 10) END AS suggested_fix FROM lineitem WHERE l_orderkey % 50 NOT IN (7, 9, 11))"""
 _M = f"""{_F}, v AS (SELECT *, {_rank('severity', V.SEVERITIES)} AS sr, {_rank('autofix_class', V.AUTOFIX_CLASSES)} AS rr, {_rank('owner', V.OWNERS)} AS orr,
  CASE WHEN autofix_class = 'safe_auto' THEN 1 WHEN autofix_class = 'advisory' THEN 0 WHEN suggested_fix IS NOT NULL THEN 1 ELSE 2 END AS ar
  FROM f WHERE severity <> 'P9' AND line >= 1),
@@ -139,6 +142,7 @@ q AS (SELECT *, CASE WHEN stage = 'primary' THEN CASE WHEN autofix_class = 'safe
 _N = f"""{_S}, n AS (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY severity, confidence DESC, file_key, line, title_key, island) AS number FROM q WHERE stage = 'primary')"""
 
 ORACLES = {
+    "returns_dropped": "SELECT l_suppkey % 20 AS review_id, count(*) AS dropped_returns FROM lineitem WHERE l_orderkey % 50 IN (7, 9, 11) GROUP BY 1",
     "findings_rejected": f"{_F} SELECT review_id, CASE WHEN severity = 'P9' THEN 'severity' ELSE 'line' END AS rule, count(*) AS dropped FROM f WHERE severity = 'P9' OR line < 1 GROUP BY 1, 2",
     "findings_merge": f"{_M} SELECT * EXCLUDE (island, rv), array_to_string(rv, ',') AS reviewers FROM m",
     "findings_stages": f"{_S} SELECT review_id, stage, queue, soft_bucket, count(*) AS n FROM q GROUP BY ALL",
@@ -147,8 +151,8 @@ ORACLES = {
     "findings_soft": f"{_S} SELECT review_id, soft_bucket AS kind, './' || file_key || ':' || line || ' -- ' || title AS entry FROM q WHERE stage = 'weak'",
     "findings_budget": f"{_N} SELECT review_id, CAST(number AS INTEGER) AS budget_rank, number, severity, confidence FROM n WHERE number <= {V.VALIDATION_BUDGET}",
     "findings_over_budget": f"{_N} SELECT review_id, greatest(0, count(*) - {V.VALIDATION_BUDGET}) AS over_budget FROM n GROUP BY 1",
-    "findings_coverage": """SELECT DISTINCT l_suppkey % 20 AS review_id, 'residual_risk' AS kind, 'risk ' || (l_partkey % 50) AS entry FROM lineitem
-UNION SELECT DISTINCT l_suppkey % 20, 'testing_gap', 'gap ' || (l_orderkey % 40) FROM lineitem""",
+    "findings_coverage": """SELECT DISTINCT l_suppkey % 20 AS review_id, 'residual_risk' AS kind, 'risk ' || (l_partkey % 50) AS entry FROM lineitem WHERE l_orderkey % 50 NOT IN (7, 9, 11)
+UNION SELECT DISTINCT l_suppkey % 20, 'testing_gap', 'gap ' || (l_orderkey % 40) FROM lineitem WHERE l_orderkey % 50 NOT IN (7, 9, 11)""",
     "finding_verdicts": f"""{_N} SELECT review_id, number, number % 3 <> 0 AND number % 2 = 0 AS survives,
  CASE WHEN number % 3 = 0 THEN 'validator failed' WHEN number % 2 <> 0 THEN 'at line ' || line END AS drop_reason FROM n""",
     "finding_details": f"""{_N}, l AS (SELECT review_id, number, file_key, title_key, line, unnest(rv) AS reviewer, unnest(range(len(rv))) AS pos FROM n),

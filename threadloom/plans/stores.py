@@ -68,6 +68,15 @@ def conversation_pull(spark, d):
     return kvmine.pull_conversations(kv).select("conversation_id", "role", "bubble_id", "full_length", F.md5("text").alias("text"))
 
 
+#: A full id, a prefix of several, one longer than any stored id, and one that names nothing.
+PULLED = ["00010003" + tables.SESSION_TAIL, "0002000", "00030001" + tables.SESSION_TAIL + "-copy", "ffffffff"]
+
+
+def conversation_pull_ids(spark, d):
+    kv = cut_lineage(tables.kv(spark, d, "conversations").sortWithinPartitions("key"))
+    return kvmine.pull_conversations(kv, PULLED).select("conversation_id", "role", "bubble_id", "full_length", F.md5("text").alias("text"))
+
+
 def strip_xml(spark, d):
     p = tables.table(spark, d, "pages")
     return p.select("page_id", F.md5(X.strip_system_xml(F.col("html"))).alias("stripped"))
@@ -123,6 +132,7 @@ QUERIES = {
     "usage_span": usage_span,
     "conversation_triage": conversation_triage,
     "conversation_pull": conversation_pull,
+    "conversation_pull_ids": conversation_pull_ids,
     "strip_xml": strip_xml,
     "collapse_text": collapse_text,
     "truncated_text": truncated_text,
@@ -182,6 +192,11 @@ SELECT source, CASE WHEN lo > 0 THEN '...' ELSE '' END || replace(substr(text, l
  FROM conversations GROUP BY conv_id ORDER BY lines_added + lines_removed DESC, source, conversation_id LIMIT {V.TRIAGE_ROWS}""",
     "conversation_pull": f"""SELECT printf('%08x{tables.SESSION_TAIL}', conv_id * 65536 + turn) AS conversation_id, CASE role WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' ELSE 'TYPE_9' END AS role,
  'b' || turn AS bubble_id, CAST(length(text) AS INTEGER) AS full_length, md5(CASE WHEN length(text) > 2000 THEN left(text, 1000) || chr(10) || chr(10) || '[...truncated, ' || length(text) || ' chars total...]' || chr(10) || chr(10) || right(text, 500) ELSE text END) AS text FROM conversations""",
+    "conversation_pull_ids": f"""WITH c AS (SELECT *, printf('%08x{tables.SESSION_TAIL}', conv_id * 65536 + turn) AS conversation_id FROM conversations),
+t AS (SELECT unnest({PULLED}) AS typed)
+SELECT DISTINCT conversation_id, CASE role WHEN 'user' THEN 'USER' WHEN 'assistant' THEN 'ASSISTANT' ELSE 'TYPE_9' END AS role, 'b' || turn AS bubble_id,
+ CAST(length(text) AS INTEGER) AS full_length, md5(CASE WHEN length(text) > 2000 THEN left(text, 1000) || chr(10) || chr(10) || '[...truncated, ' || length(text) || ' chars total...]' || chr(10) || chr(10) || right(text, 500) ELSE text END) AS text
+FROM c JOIN t ON CASE WHEN length(typed) >= {V.FULL_ID} THEN conversation_id = typed ELSE starts_with(conversation_id, typed) END""",
     "strip_xml": f"SELECT page_id, md5({sql.strip_system_xml('html')}) AS stripped FROM pages",
     "collapse_text": f"""SELECT doc_id, {sql.collapse_ws('text', 160)} AS head, md5({sql.collapse('text')}) AS whole, regexp_matches(lower(left(text, 300)), '{"|".join(V.NO_MATCH_MARKERS)}') AS no_match,
  {sql.strip("split_part(text, chr(10), 1)")} AS first_line FROM documents""",

@@ -92,14 +92,35 @@ def search_projects(
     return rollup, SE.pattern_examples(per_session)
 
 
-def grep_session(entries: DataFrame, session: str, patterns: list[str], **options) -> DataFrame:
+def grep_session(entries: DataFrame, session: str, patterns: list[str], copies: DataFrame | None = None, **options) -> DataFrame:
     """One session, resolved first; an ambiguous prefix is an error, never a mixture."""
-    return SE.grep(one_session(entries, session), patterns, **options)
+    return SE.grep(one_session(own(entries, copies), session), patterns, **options)
 
 
-def read_turn(entries: DataFrame, turn: str, context: int = 3, hide: frozenset[str] = frozenset()) -> DataFrame:
-    """A turn by id or prefix with its surroundings; only its own transcript is numbered."""
+def grep_sessions(entries: DataFrame, sessions: list[str], patterns: list[str], copies: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Several sessions in the caller's order, and the ids that name none; an ambiguous prefix is an error."""
+    found, missing = SE.grep_sessions(own(entries, copies), sessions, patterns, **options)
+    several = missing.where("status = 'ambiguous'").orderBy("id_pos").first()
+    if several is not None:
+        raise Unresolved(f"{several['raw_id']!r} is ambiguous: {several['candidates']} sessions")
+    return found, missing.select("id_pos", "raw_id")
+
+
+def one_turn(entries: DataFrame, turn: str) -> DataFrame:
+    """Anchor rows of the one turn that an id or prefix names. A turn that was copied, id and all, is still one turn."""
     anchors = SE.find_turn(entries, turn)
+    n = anchors.select("anchor").distinct().limit(2).count()
+    if n > 1:
+        raise Unresolved(f"{turn!r} is ambiguous: several turns")
+    return anchors
+
+
+def read_turn(
+    entries: DataFrame, turn: str, context: int = 3, hide: frozenset[str] = frozenset(), copies: DataFrame | None = None,
+) -> DataFrame:
+    """A turn by id or prefix with its surroundings; only its own transcript is numbered. An ambiguous prefix is an error."""
+    entries = own(entries, copies)
+    anchors = one_turn(entries, turn)
     place = matching(entries, anchors, ["file_path"])
     return SE.read_turn(place, anchors, context, hide)
 
@@ -107,26 +128,32 @@ def read_turn(entries: DataFrame, turn: str, context: int = 3, hide: frozenset[s
 def browse_session(
     entries: DataFrame, session: str, agent: str | None = None, position: str = "head", turns: int = 10,
     role: str = "all", hide: frozenset[str] = frozenset({"outputs"}), anchor: str | None = None,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """First or last turns of a session or of one of its agents, or the turns from or up to an anchor turn."""
-    rows = one_session(entries, session)
+    rows = one_session(own(entries, copies), session)
     rows = rows.where(F.col("agent_id").isNull() if agent is None else names(F.col("agent_id"), agent))
     types = SE.shown_types(role, hide).around
     if anchor is None:
         return SE.browse(rows, position, turns, types)
-    return SE.browse_anchored(rows, SE.find_turn(rows, anchor).select("file_path", "line_no"), position, turns, types)
+    return SE.browse_anchored(rows, one_turn(rows, anchor).select("file_path", "line_no"), position, turns, types)
 
 
-def list_agents(entries: DataFrame, transcripts: DataFrame, meta: DataFrame | None = None, saved: DataFrame | None = None) -> DataFrame:
+def list_agents(
+    entries: DataFrame, transcripts: DataFrame, meta: DataFrame | None = None, saved: DataFrame | None = None,
+    copies: DataFrame | None = None,
+) -> DataFrame:
     """All agents of the sessions with what the parent and their own transcripts tell."""
+    entries, transcripts = own(entries, copies), own(transcripts, copies)
     main = entries.where(F.col("agent_id").isNull())
     found = AG.reconcile(AG.dispatch_results(main), AG.agent_files(transcripts, meta))
     bodies = AG.body_stats(entries.where(F.col("agent_id").isNotNull()))
     return AG.resolve_output(AG.backfill(found, bodies), saved)
 
 
-def agent_detail(entries: DataFrame, transcripts: DataFrame, agent: str, meta: DataFrame | None = None, truncate: int = 80) -> tuple[DataFrame, DataFrame]:
+def agent_detail(entries: DataFrame, transcripts: DataFrame, agent: str, meta: DataFrame | None = None, truncate: int = 80, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """One agent's row and its trace; other sessions are filtered out first."""
+    entries, transcripts = own(entries, copies), own(transcripts, copies)
     mine = transcripts.where(names(F.col("agent_id"), agent)).select("session_id").distinct()
     rows = matching(entries, mine, ["session_id"])
     files = transcripts.join(mine, "session_id", "left_semi")
@@ -135,8 +162,11 @@ def agent_detail(entries: DataFrame, transcripts: DataFrame, agent: str, meta: D
     return about, AG.trace_lines(body, truncate=truncate)
 
 
-def audit_tools(entries: DataFrame, name_filter: str | None = None, truncate: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+def audit_tools(
+    entries: DataFrame, name_filter: str | None = None, truncate: int = 80, copies: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per agent: totals, calls per tool, and the call rows."""
+    entries = own(entries, copies)
     calls = C.pair_tool_calls(entries.where(F.col("agent_id").isNotNull()))
     by = ["session_id", "agent_id"]
     return C.tool_audit(calls, by, name_filter), C.tool_counts(calls, by), C.audit_rows(calls, name_filter, truncate)

@@ -277,8 +277,8 @@ def kv(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
 # --- findings and moves -------------------------------------------------------------------------------------------
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One finding per line item; some break a rule on purpose."""
+def findings(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """One finding per line item, with `more` of its columns; some break a rule on purpose."""
     q = F.col("l_quantity").cast("bigint")
     p, o, s, n = F.col("l_partkey"), F.col("l_orderkey"), F.col("l_suppkey"), F.col("l_linenumber")
     pick = lambda i, *vs: F.element_at(F.array(*[F.lit(v) for v in vs]), (i % len(vs) + 1).cast("int"))
@@ -294,7 +294,20 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(s, "review-fixer", "downstream-resolver", "human", "release").alias("owner"),
         (F.col("l_returnflag") == "R").alias("requires_verification"),
         ((F.col("l_linestatus") == "O") & (o % 3 == 0)).alias("pre_existing"),
-        F.when(p % 2 == 0, F.concat(F.lit("fix "), (p % 10).cast("string"))).alias("suggested_fix"),
+        F.when(p % 2 == 0, F.concat(F.lit("fix "), (p % 10).cast("string"))).alias("suggested_fix"), *more,
+    )
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item as one reviewer's return with one finding; some returns lack a part."""
+    rows = findings(spark, sf_dir, "l_orderkey", "l_partkey")
+    given = F.struct(*[c for c in rows.columns if c not in ("review_id", "reviewer", "l_orderkey", "l_partkey")])
+    lacks = F.col("l_orderkey") % 50
+    text = lambda lead, n: F.array(F.concat(F.lit(lead), n.cast("string")))
+    return rows.select(
+        "review_id", F.when(lacks != 9, F.col("reviewer")).otherwise(" ").alias("reviewer"),
+        F.when(lacks != 11, F.array(given)).alias("findings"),
+        F.when(lacks != 7, text("risk ", F.col("l_partkey") % 50)).alias("residual_risks"), text("gap ", F.col("l_orderkey") % 40).alias("testing_gaps"),
     )
 
 

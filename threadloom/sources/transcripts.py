@@ -26,16 +26,27 @@ _PATH_STEM = "([^/]+)\\.jsonl$"
 _JSON = {"maxStringLen": "2147483647", "allowSingleQuotes": "false"}
 _STRICT = {**_JSON, "allowNonNumericNumbers": "false"}
 
-_ENVELOPE = """
-  type STRING, uuid STRING, parentUuid STRING, timestamp STRING, sessionId STRING,
-  isSidechain BOOLEAN, cwd STRING, version STRING, agentId STRING, gitBranch STRING,
-  entrypoint STRING, teamName STRING, agentName STRING, requestId STRING, isMeta BOOLEAN,
-  promptSource STRING, toolUseResult STRING, subtype STRING, durationMs BIGINT,
-  messageCount BIGINT, summary STRING, leafUuid STRING, operation STRING, content STRING,
-  message STRUCT<id: STRING, type: STRING, role: STRING, model: STRING, content: STRING,
-    stop_reason: STRING, usage: STRUCT<input_tokens: BIGINT, cache_creation_input_tokens: BIGINT,
-    cache_read_input_tokens: BIGINT, output_tokens: BIGINT>>
-"""
+#: Fields of a line, of its message, and of the message's usage that a typed entry takes.
+_FIELDS = {
+    **dict.fromkeys(("type", "uuid", "parentUuid", "timestamp", "sessionId"), "STRING"), "isSidechain": "BOOLEAN",
+    **dict.fromkeys(("cwd", "version", "agentId", "gitBranch", "entrypoint", "teamName", "agentName", "requestId"), "STRING"), "isMeta": "BOOLEAN",
+    **dict.fromkeys(("promptSource", "toolUseResult", "subtype"), "STRING"), "durationMs": "BIGINT", "messageCount": "BIGINT",
+    **dict.fromkeys(("summary", "leafUuid", "operation"), "STRING"),
+}
+_MESSAGE = dict.fromkeys(("id", "type", "role", "model", "stop_reason"), "STRING")
+_USAGE = dict.fromkeys(("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens"), "BIGINT")
+
+
+def _ddl(fields: dict[str, str], between: str = ": ") -> str:
+    return ", ".join(f"{name}{between}{kind}" for name, kind in fields.items())
+
+
+_ENVELOPE = f"{_ddl(_FIELDS, ' ')}, message STRUCT<{_ddl(_MESSAGE)}, usage: STRUCT<{_ddl(_USAGE)}>>"
+_VARIANT_ENVELOPE = f"STRUCT<{_ddl(_FIELDS)}, content: VARIANT, message: STRUCT<{_ddl(_MESSAGE)}, content: VARIANT, usage: STRUCT<{_ddl(_USAGE)}>>>"
+_VARIANT_BLOCK = """STRUCT<type: STRING, text: STRING, thinking: STRING, id: STRING, name: STRING, tool_use_id: STRING, content: VARIANT,
+  is_error: BOOLEAN, source: STRUCT<type: STRING, media_type: STRING>>"""
+#: Follows a line in a list of two, so that the parse which reads the line also sees that nothing comes after it.
+_END = 7_741_905_581
 _BLOCK = """
   type STRING, text STRING, thinking STRING, signature STRING, id STRING, name STRING,
   input STRING, tool_use_id STRING, content STRING, is_error BOOLEAN,
@@ -146,6 +157,7 @@ def _names(values: list[str]) -> str:
     return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
+_STRICT_OPTIONS = "map('maxStringLen', '2147483647', 'allowSingleQuotes', 'false', 'allowNonNumericNumbers', 'false')"
 _OPTIONS = "map('maxStringLen', '2147483647', 'allowSingleQuotes', 'false')"
 _NO_PARTS = f"cast(null AS {PARTS_TYPE})"
 
@@ -192,21 +204,96 @@ def normalise_content(elements: str, bare: str, assistant: str) -> Column:
     return F.expr(f"if({elements} IS NOT NULL, {blocks}, {single})")
 
 
+def listed_blocks(listed: str, texts: str, assistant: str) -> Column:
+    """Blocks of a content list that was read from a VARIANT; `listed` names its elements, null where one is no object.
+
+    `texts` names the elements as JSON text, where one is needed (see `_needs_texts`). What makes a block malformed, and
+    what it becomes then, is as in `normalise_content`.
+    """
+    inner = "try_variant_get(b.content, '$', 'array<struct<type: string, text: string>>')"
+    placed = f"""transform({listed}, (b, i) -> named_struct('b', b, 'i', i, 'list', if(b.type = 'tool_result', {inner}, null),
+        'input', if(b.type = 'tool_use', from_json(get({texts}, i), 'input STRING', {_OPTIONS}).input, null)))"""
+    parted = f"""transform({placed}, p -> named_struct('b', p.b, 'i', p.i, 'input', p.input, 'kind', {_kind('p.b', 'p.list', 'p.input', assistant)},
+        'parts', CASE WHEN p.b.type <> 'tool_result' THEN {_NO_PARTS}
+          WHEN p.list IS NULL THEN array(named_struct('kind', 'text', 'text', try_variant_get(p.b.content, '$', 'string')))
+          ELSE filter(transform(p.list, q -> named_struct('kind', q.type, 'text', coalesce(q.text, ''))), q -> q.kind IN ('text', 'image')) END))"""
+    return F.expr(f"""transform({parted}, p -> named_struct(
+        'pos', p.i, 'type', coalesce(p.kind, 'text'),
+        'text', CASE p.kind WHEN 'text' THEN p.b.text WHEN 'thinking' THEN p.b.thinking WHEN 'tool_use' THEN null
+          WHEN 'image' THEN p.b.source.media_type
+          WHEN 'tool_result' THEN array_join(transform(filter(p.parts, q -> q.kind = 'text'), q -> q.text), '\n')
+          ELSE coalesce(get({texts}, p.i), 'null') END,
+        'tool_use_id', CASE p.kind WHEN 'tool_use' THEN p.b.id WHEN 'tool_result' THEN p.b.tool_use_id END,
+        'tool_name', if(p.kind = 'tool_use', p.b.name, null),
+        'input_json', if(p.kind = 'tool_use', p.input, null),
+        'is_error', if(p.kind = 'tool_result', p.b.is_error, null),
+        'parts', if(p.kind = 'tool_result', p.parts, {_NO_PARTS})))""")
+
+
+def _kind(b: str, inner: str, data: str, assistant: str) -> str:
+    """Type of a block; null if it is malformed or its side does not allow it."""
+    return f"""CASE WHEN NOT array_contains(if({assistant}, {_names(V.ASSISTANT_BLOCK_TYPES)}, {_names(V.USER_BLOCK_TYPES)}), {b}.type) THEN null
+        WHEN {b}.type = 'text' AND {b}.text IS NOT NULL THEN 'text'
+        WHEN {b}.type = 'thinking' AND {b}.thinking IS NOT NULL THEN 'thinking'
+        WHEN {b}.type = 'tool_use' AND {b}.id IS NOT NULL AND {b}.name IS NOT NULL AND startswith({data}, '{{') THEN 'tool_use'
+        WHEN {b}.type = 'tool_result' AND {b}.tool_use_id IS NOT NULL AND {b}.content IS NOT NULL AND NOT is_variant_null({b}.content)
+          AND ({inner} IS NULL OR forall({inner}, y -> y IS NOT NULL)) THEN 'tool_result'
+        WHEN {b}.type = 'image' AND {b}.source.type = 'base64' AND {b}.source.media_type IS NOT NULL THEN 'image' END"""
+
+
+def _needs_texts(listed: str, assistant: str) -> Column:
+    """Whether a block of a content list is shown as it was written: an input of a tool call, or a malformed block."""
+    inner = "try_variant_get(b.content, '$', 'array<struct<type: string>>')"
+    return F.expr(f"""exists({listed}, b -> coalesce(b.type = 'tool_use', true) OR {_kind('b', f"if(b.type = 'tool_result', {inner}, null)", "''", assistant)} IS NULL)""")
+
+
+def _line_variant() -> Column:
+    """The line as a VARIANT; null if it is no single JSON value, or one that a VARIANT cannot hold (16 MB)."""
+    pair = f"try_parse_json(concat('[', value, ',{_END}]'))"
+    whole = f"try_variant_get(w, '$[1]', 'bigint') = {_END} AND variant_get(w, '$[2]', 'variant') IS NULL"
+    return F.expr(f"element_at(transform(array({pair}), w -> if({whole}, variant_get(w, '$[0]', 'variant'), null)), 1)")
+
+
+def _envelope() -> Column:
+    """The fields of a line, read from its VARIANT at once. A line without one is parsed as text, by the same rules,
+    and its content stays text."""
+
+    def struct(pairs: list[tuple[str, str]]) -> str:
+        return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in pairs) + ")"
+
+    none = ("content", "cast(null AS variant)")
+    message = struct([(c, f"f.message.{c}") for c in _MESSAGE] + [none, ("usage", "f.message.usage")])
+    slow = struct([(c, f"f.{c}") for c in _FIELDS] + [none, ("message", message)])
+    slow = f"element_at(transform(array(from_json(value, '{_ENVELOPE}', {_STRICT_OPTIONS})), f -> {slow}), 1)"
+    return F.expr(f"if(v IS NOT NULL, try_variant_get(v, '$', '{_VARIANT_ENVELOPE}'), {slow})")
+
+
+def _text_content(queued: bool) -> Column:
+    """Content of a line without a VARIANT, as text."""
+    if queued:
+        return F.from_json("value", "content STRING", _STRICT)["content"]
+    return F.from_json("value", "message STRUCT<content: STRING>", _STRICT)["message"]["content"]
+
+
+def _there(content: Column) -> Column:
+    return content.isNotNull() & ~F.is_variant_null(content)
+
+
 def _typed(lines: DataFrame) -> DataFrame:
     """Every non-blank, non-structural line with its class, or the reason it has none."""
     keep = [c for c in lines.columns if c != "value"]
     text = F.btrim("value", F.lit(V.WHITESPACE))
-    envelope = F.from_json("value", _ENVELOPE, _STRICT)
-    # One-element explode: conditions on the parsed fields stay above it, so the optimizer cannot
+    # One-element explodes: conditions on the parsed fields stay above them, so the optimizer cannot
     # copy the parse into every filter, and a line is parsed once.
-    parsed = lines.where(text != "").select(*keep, "value", F.explode(F.array(envelope)).alias("e"))
+    parsed = lines.where(text != "").select(*keep, "value", F.explode(F.array(_line_variant())).alias("v"))
+    parsed = parsed.select(*keep, "value", "v", F.explode(F.array(_envelope())).alias("e"))
     e = F.col("e")
-    # from_json forgives text after the object; as the only element of a list it must stand alone.
+    # Only for lines without a VARIANT. from_json forgives text after the object; as the only element of a list it must stand alone.
     alone = F.size(F.from_json(F.concat(F.lit("["), F.col("value"), F.lit("]")), "array<string>", _STRICT))
-    broken = F.coalesce(alone, F.lit(0)) != 1
+    broken = F.col("v").isNull() & (F.coalesce(alone, F.lit(0)) != 1)
     no_object = ~F.startswith(F.ltrim("value", F.lit(V.WHITESPACE)), F.lit("{"))
     enveloped = e["uuid"].isNotNull() & e["sessionId"].isNotNull() & F.col("ts").isNotNull()
-    said = e["message"]["content"].isNotNull()
+    said = F.when(F.col("v").isNotNull(), _there(e["message"]["content"])).otherwise(_text_content(False).isNotNull())
     user = enveloped & said & (e["message"]["role"] == "user")
     assistant = (
         enveloped & said & (e["message"]["role"] == "assistant") & (e["message"]["type"] == "message")
@@ -264,20 +351,27 @@ def entries(lines: DataFrame) -> DataFrame:
     e, m = F.col("e"), F.col("e")["message"]
     queued = F.col("entry_type") == "queue_operation"
     talk = F.col("entry_type").isin("human", "meta", "tool_result", "assistant")
-    # A list of raw elements is read a second time, and only for lines that carry content.
-    elements = F.from_json("value", "message STRUCT<content: ARRAY<STRING>>", _JSON)["message"]["content"]
     usage = m["usage"]
     zero = lambda c: F.coalesce(c, F.lit(0))
     from_path = {k: v for k, v in path_columns(F.col("file_path")).items() if k not in keep}
+    quick = F.col("v").isNotNull()
+    content = F.when(queued, e["content"]).when(talk, m["content"])
+    typed = typed.withColumns({"_content": content, "_assistant": F.col("entry_type") == "assistant"})
+    typed = typed.withColumns({
+        "_list": F.try_variant_get("_content", "$", f"array<{_VARIANT_BLOCK}>"),
+        "_bare": F.when(~quick, F.when(queued, _text_content(True)).when(talk, _text_content(False))),
+    })
+    # Elements as text are read where a list is shown as it was written, and from lines without a VARIANT.
+    wanted = F.when(quick, F.coalesce(_needs_texts("_list", "_assistant"), F.lit(False))).otherwise(F.startswith("_bare", F.lit("[")))
+    texts = F.when(queued, F.from_json("value", "content ARRAY<STRING>", _JSON)["content"]).otherwise(
+        F.from_json("value", "message STRUCT<content: ARRAY<STRING>>", _JSON)["message"]["content"])
     typed = typed.withColumns({
-        "_elements": F.when(talk & F.startswith(m["content"], F.lit("[")), elements).when(
-            queued, F.from_json("value", "content ARRAY<STRING>", _JSON)["content"]
-        ),
-        "_bare": F.when(queued, e["content"]).otherwise(m["content"]),
-        "_assistant": F.col("entry_type") == "assistant",
+        "_elements": F.when(wanted, texts),
+        "_bare": F.when(quick & F.col("_list").isNull(), F.try_variant_get("_content", "$", "string")).otherwise(F.col("_bare")),
     })
-    has_blocks = talk | (queued & e["content"].isNotNull())
-    blocks = F.when(has_blocks, normalise_content("_elements", "_bare", "_assistant"))
+    has_blocks = talk | (queued & (F.col("_list").isNotNull() | F.col("_bare").isNotNull()))
+    blocks = F.when(has_blocks, F.when(F.col("_list").isNotNull(), listed_blocks("_list", "_elements", "_assistant")).otherwise(
+        normalise_content("_elements", "_bare", "_assistant")))
     return typed.select(
         *keep,
         *[v.alias(k) for k, v in from_path.items()],
