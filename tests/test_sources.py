@@ -11,6 +11,7 @@ from threadloom import fixed_values as V
 from threadloom.functions.entry_text import with_display, with_texts
 from threadloom.operators import agents as AG
 from threadloom.operators import calls as C
+from threadloom.operators import kvmine
 from threadloom.operators import lineage as L
 from threadloom.operators import resolve as R
 from threadloom.operators import sessions as S
@@ -239,3 +240,52 @@ def test_error_prefilter_and_sparse_sink(lines, entries):
     assert TR.files_containing(lines, '"is_error":\\s*true').count() == 1
     row = json.loads(sinks.sparse_json(entries.where("entry_type = 'summary'")).first().value)
     assert row["summary"] == "S" and "ts" not in row
+
+
+def test_written_lines_come_back_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "LINES_PER_FILE", 40)
+    # One transcript holds most lines.
+    rows = spark.range(1200).select(F.when(F.col("id") % 5 == 0, "b").otherwise("a").alias("file"), (F.col("id") * 7919 % 1200).alias("n"))
+    rows = rows.withColumn("line", F.concat_ws("|", "file", "n")).repartition(7)
+    path = str(tmp_path / "out")
+    sinks.write_lines(rows, path, order=["file", "n"], parts=6)
+    parts = sorted((tmp_path / "out").glob("*.txt"))
+    assert len(parts) > 12 and max(len(p.read_text().splitlines()) for p in parts) <= 40
+    want = [r.line for r in rows.orderBy("file", "n").collect()]
+    assert [line for p in parts for line in p.read_text().splitlines()] == want
+    got = {r.pos: r.value for r in sinks.read_lines(spark, path).collect()}
+    assert [got[k] for k in range(1200)] == want
+
+
+def test_ambiguous_ids_are_errors(entries, lines):
+    rows = main_rows(entries).drop("agent_id").withColumn("agent_id", F.lit(None).cast("string"))
+    twin = rows.withColumn("session_id", F.concat(F.substring("session_id", 1, 35), F.lit("9"))).withColumn("uuid", F.concat("uuid", F.lit("2")))
+    both = rows.unionByName(twin)
+    with pytest.raises(Q.Unresolved):
+        Q.grep_sessions(both, [SID, SID[:8]], ["bug"])
+    found, missing = Q.grep_sessions(both, ["ffffffff", SID], ["bug"], role="all", context=0)
+    assert found.count() == 1 and [tuple(r) for r in missing.collect()] == [(0, "ffffffff")]
+    with pytest.raises(Q.Unresolved):
+        Q.read_turn(both, "00000002")
+    assert Q.read_turn(rows, "00000002").count() > 0
+
+
+def test_pulls_read_key_ranges(spark, tmp_path, capsys):
+    ids = ["0001aaaa", "0001bbbb", "0002aaaa", "ff"]
+    value = lambda i: json.dumps({"composerId": i, "conversation": [{"type": 1, "bubbleId": "x", "text": ""}, {"type": 2, "bubbleId": "y", "text": "said"}]})
+    rows = [("s", "disk", f"composerData:{i}", value(i)) for i in ids] + [("s", "disk", f"bubbleId:{i}:x", json.dumps({"text": f"asked {i}"})) for i in ids]
+    spark.createDataFrame(rows, "source_db STRING, table_name STRING, key STRING, value STRING").write.parquet(str(tmp_path / "kv"))
+    kv = spark.read.parquet(str(tmp_path / "kv"))
+    got = lambda typed: sorted((r.conversation_id, r.text) for r in kvmine.pull_conversations(kv, typed).collect())
+    both = lambda *names: sorted((i, t) for i in names for t in (f"asked {i}", "said"))
+    assert got(["0001"]) == both("0001aaaa", "0001bbbb") and got(["0002aaaa"]) == both("0002aaaa") and got(["fffff"]) == both("ff")
+    assert got(["", "9"]) == [] and got(None) == both(*ids)
+    kvmine.pull_conversations(kv, ["0001"]).explain("formatted")
+    pushed = [line for line in capsys.readouterr().out.splitlines() if "PushedFilters" in line]
+    assert len(pushed) >= 2 and all("GreaterThanOrEqual(key" in line and "LessThan(key" in line for line in pushed)
+
+
+def test_successor_sorts_right_after():
+    from threadloom.functions.ids import successor
+
+    assert successor("ab") == "ac" and successor("a\U0010ffff") == "b" and successor("") == "" and successor("\U0010ffff") == "" and successor("\ud7ff") == "\ue000"

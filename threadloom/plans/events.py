@@ -159,17 +159,20 @@ def agent_reconcile(spark, d):
     """Agent calls of main transcripts against agents' files, joined by the session's agent."""
     e = cut_lineage(_entries(spark, d))
     lines = e.select("file_path", F.lit(None).cast("timestamp").alias("file_mtime"))
-    files = agents.agent_files(transcripts(lines)).withColumn(
-        # The sidecar names the last dispatch of even sessions and is missing for odd ones.
-        "tool_use_id", F.lit("")
-    )
     made = agents.dispatches(e.where(F.col("agent_id").isNull()))
+    # The sidecar names the first dispatch of even sessions and is missing for odd ones; the parent reports the last one.
+    first = made.groupBy("session_id").agg(F.min_by("tool_use_id", "call_no").alias("tool_use_id"))
+    meta = e.where(F.col("agent_id").isNotNull()).select("session_id", "file_path").distinct().join(first, "session_id").where(
+        F.conv(F.substring("session_id", 1, 8), 16, 10).cast("bigint") % 2 == 0
+    ).select("file_path", "tool_use_id", F.lit("scout").alias("agent_type"), F.lit("look").alias("description"))
+    files = agents.agent_files(transcripts(lines), meta)
     newest = made.groupBy("session_id").agg(F.max("call_no").alias("call_no"))
     known = made.join(newest.withColumn("_n", F.lit(True)), ["session_id", "call_no"], "left").withColumn(
         "agent_id", F.when(F.col("_n"), F.concat(F.lit("a00000000"), F.substring("session_id", 1, 8)))
     ).drop("_n")
     found = agents.reconcile(known, files)
-    return found.groupBy("session_id", "source").agg(F.count(F.lit(1)).alias("agents"))
+    at = F.max(F.when(F.col("source") == "dispatched", F.col("call_no")))
+    return found.groupBy("session_id", "source").agg(F.count(F.lit(1)).alias("agents"), at.alias("call_no"))
 
 
 def agents_present(spark, d):
@@ -244,7 +247,7 @@ def _category(kind: str) -> str:
     return f"CASE {kind} {rules} ELSE '{V.UNCLASSIFIED[1]}' END"
 
 
-_EV = f"""WITH ev AS (
+EV = f"""WITH ev AS (
 SELECT event_id, ts, user_id, event_type, value, props, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k,
  'p' || (user_id % 5) AS project, printf('%08x{tables.SESSION_TAIL}', user_id) AS session_id,
  CASE WHEN event_id % 10 = 0 AND event_type <> 'signup' THEN printf('a%016x', user_id) END AS agent_id,
@@ -255,7 +258,8 @@ SELECT event_id, ts, user_id, event_type, value, props, CAST(json_extract_string
  CASE WHEN event_type = 'error' THEN {_list(tables.FAILURE_TEXTS)}[1 + event_id % {len(tables.FAILURE_TEXTS)}] || ' ' || props
   WHEN event_type = 'purchase' THEN CASE WHEN event_id % 5 = 0 THEN 'entry not found ' ELSE 'ok ' END || props END AS result_text
 FROM events)"""
-_PAIRS = f"""{_EV},
+_EV = EV
+PAIRS = f"""{_EV},
 r AS (SELECT session_id, agent_id, tool_use_id, arg_min(result_text, event_id) AS result_text, arg_min(event_type = 'error', event_id) AS is_error
       FROM ev WHERE kind_of = 'result' GROUP BY ALL),
 calls AS (SELECT c.project, c.session_id, c.agent_id, c.event_id, c.ts, c.k, c.props, c.tool_use_id, c.tool_name, r.result_text, r.result_text IS NOT NULL AS has_result, coalesce(r.is_error, false) AS is_error,
@@ -263,12 +267,14 @@ calls AS (SELECT c.project, c.session_id, c.agent_id, c.event_id, c.ts, c.k, c.p
   CASE WHEN starts_with(c.tool_name, 'mcp__') THEN split_part(c.tool_name, '__', 3) ELSE c.tool_name END AS short_name
   FROM ev c LEFT JOIN r ON r.session_id = c.session_id AND r.agent_id IS NOT DISTINCT FROM c.agent_id AND r.tool_use_id = c.tool_use_id WHERE c.kind_of = 'call'),
 tc AS (SELECT *, CASE WHEN is_error THEN {_kind(sql.collapse_ws('result_text', V.FAILURE_WINDOW))} END AS kind FROM calls)"""
+_PAIRS = PAIRS
 _SCAN = f"""{_PAIRS},
 ef AS (SELECT DISTINCT session_id, agent_id FROM ev WHERE event_type = 'error'),
 scan AS (SELECT t.* FROM tc t WHERE EXISTS (SELECT 1 FROM ef WHERE ef.session_id = t.session_id AND ef.agent_id IS NOT DISTINCT FROM t.agent_id))"""
 _FAILED = f"""{_SCAN}, failed AS (SELECT *, (project, session_id, coalesce(agent_id, ''), event_id) AS ord FROM scan WHERE is_error AND kind <> 'cascade')"""
 _DOC = f"""WITH d AS (SELECT source, CASE WHEN doc_id % 2 = 0 THEN {_list(tables.FAILURE_TEXTS)}[1 + (doc_id // 2) % {len(tables.FAILURE_TEXTS)}] || ' ' ELSE '' END || text AS text FROM documents)"""
-_ERR = "has_result AND (is_error OR regexp_matches(lower(left(result_text, 300)), '" + "|".join(V.NO_MATCH_MARKERS) + "'))"
+ERR = "has_result AND (is_error OR regexp_matches(lower(left(result_text, 300)), '" + "|".join(V.NO_MATCH_MARKERS) + "'))"
+_ERR = ERR
 
 _LO, _HI, _B = WINDOW.lo_micros, WINDOW.hi_micros, WINDOW.bucket_micros
 _M = WINDOW.bucket_minutes
@@ -372,12 +378,14 @@ ar AS (SELECT hh.d, string_agg(CAST(hu AS VARCHAR), ',' ORDER BY hh.h) AS a, str
 su AS (SELECT CAST(lt AS DATE) AS d, count(*) FILTER (WHERE driven >= 1) * {_M} AS active_min, count(*) FILTER (WHERE driven >= 2) * {_M} AS multitask_min, max(driven) AS peak,
   CASE WHEN max(driven) > 0 THEN strftime(first(lt ORDER BY driven DESC, bucket), '%H:%M') END AS peak_at FROM al GROUP BY 1)
 SELECT CAST(su.d AS VARCHAR) AS date, strftime(su.d, '%a %m-%d') AS label, active_min, multitask_min, peak, peak_at, a AS human_turns_by_hour, b AS sessions_driven_by_hour, c AS agent_turns_by_hour FROM su JOIN ar USING (d)""",
-    "agent_reconcile": f"""{_EV}, made AS (SELECT session_id, count(*) AS n FROM ev WHERE kind_of = 'call' AND agent_id IS NULL AND tool_name = 'Agent' GROUP BY 1),
+    "agent_reconcile": f"""{_EV}, dp AS (SELECT * FROM ev WHERE kind_of = 'call' AND agent_id IS NULL AND tool_name = 'Agent'),
+made AS (SELECT session_id, count(*) AS n, max(event_id) AS newest, arg_min(tool_use_id, event_id) AS oldest, any_value(user_id) AS user_id FROM dp GROUP BY 1),
 fl AS (SELECT session_id, count(DISTINCT agent_id) AS f FROM ev WHERE agent_id IS NOT NULL GROUP BY 1),
-b AS (SELECT session_id, coalesce(n, 0) AS n, coalesce(f, 0) AS f FROM made FULL JOIN fl USING (session_id))
-SELECT session_id, 'dispatched' AS source, CAST(1 AS BIGINT) AS agents FROM b WHERE n > 0 AND f > 0
-UNION ALL SELECT session_id, 'dispatch_only', n - CASE WHEN f > 0 THEN 1 ELSE 0 END FROM b WHERE n - CASE WHEN f > 0 THEN 1 ELSE 0 END > 0
-UNION ALL SELECT session_id, 'orphan', f FROM b WHERE n = 0""",
+sp AS (SELECT m.session_id, max(event_id) AS named FROM made m JOIN dp ON dp.session_id = m.session_id AND dp.tool_use_id = m.oldest GROUP BY 1),
+b AS (SELECT *, coalesce(n, 0) AS k, coalesce(f, 0) AS g FROM made FULL JOIN fl USING (session_id) LEFT JOIN sp USING (session_id))
+SELECT session_id, 'dispatched' AS source, CAST(1 AS BIGINT) AS agents, CASE WHEN user_id % 2 = 0 THEN named ELSE newest END * {calls.CALL_STRIDE} AS call_no FROM b WHERE k > 0 AND g > 0
+UNION ALL SELECT session_id, 'dispatch_only', k - CASE WHEN g > 0 THEN 1 ELSE 0 END, NULL FROM b WHERE k - CASE WHEN g > 0 THEN 1 ELSE 0 END > 0
+UNION ALL SELECT session_id, 'orphan', g, NULL FROM b WHERE k = 0""",
     "agents_present": f"""{_EV}, m AS (SELECT session_id, count(*) AS n FROM ev WHERE kind_of = 'call' AND agent_id IS NULL AND tool_name = 'Agent' GROUP BY 1
  UNION ALL SELECT session_id, count(DISTINCT agent_id) FROM ev WHERE agent_id IS NOT NULL GROUP BY 1) SELECT session_id, CAST(sum(n) AS BIGINT) AS agents_present FROM m GROUP BY 1""",
     "agent_bodies": f"""{_EV} SELECT agent_id, count(*) AS entry_count, CAST(coalesce(sum(CAST(floor(value * 1000) AS BIGINT)) FILTER (WHERE kind_of IN ('call', 'talk')), 0) AS BIGINT) AS input_tokens,

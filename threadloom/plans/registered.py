@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans import conversations, events, reviews, stores
+from threadloom.plans import conversations, events, files, reviews, stores
 
-_MODULES = [conversations, events, stores, reviews]
+_MODULES = [conversations, events, stores, reviews, files]
 
 
 def _in_utc(run: Callable) -> Callable[[SparkSession, str], DataFrame]:

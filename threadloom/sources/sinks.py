@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.sources.transcripts import scan_lines
+
 
 def sparse_json(rows: DataFrame) -> DataFrame:
     """One JSON text per row; null fields are left out."""
     return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
 
 
-def write_lines(rows: DataFrame, path: str, column: str = "line") -> None:
-    rows.select(F.col(column).alias("value")).write.text(path)
+#: Lines a text file of `write_lines` holds at most.
+LINES_PER_FILE = 1_000_000
+
+
+def write_lines(rows: DataFrame, path: str, column: str = "line", order: list[str] | None = None, parts: int | None = None) -> None:
+    """Text files that hold the lines in order: each is a range of it, and their names sort as the ranges do.
+
+    Nothing is gathered: ranges come from a sample, `parts` of them (as many as shuffle partitions by default), and a
+    range of many lines becomes several files. Lines are unique in their order, or equal ones stand in any order.
+    """
+    if order is not None:
+        rows = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    rows.select(F.col(column).alias("value")).write.option("maxRecordsPerFile", LINES_PER_FILE).text(path)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """pos (0-based, over all files in order of their names) and value of lines that `write_lines` wrote."""
+    return scan_lines(spark, path, suffix="txt", one_text=True).select(F.col("line_no").alias("pos"), "value")
 
 
 def write_table(rows: DataFrame, path: str) -> None:

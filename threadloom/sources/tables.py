@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom import fixed_values as V
+
 EPOCH = 1_704_067_200  # 2024-01-01T00:00:00Z
 
 # FIXED VALUES. Texts of failed results, by event number.
@@ -194,6 +196,60 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def copied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`event_lines`, and for every third user a copy of an agent: a provenance line, and the lines of the user's events
+    whose number ends in 1. Copies of even users have the lines they were made with, those of odd users have grown."""
+    rows = event_lines(spark, sf_dir)
+    e, u = F.col("event_id"), F.col("user_id")
+    given = table(spark, sf_dir, "events").where(u % 3 == 0)
+    agent = F.format_string("c%016x", u.cast("bigint"))
+    place = F.concat(F.lit("/logs/p"), (u % 5).cast("string"), F.lit("/"), session_id(u), F.lit("/subagents/agent-"), agent, F.lit(".jsonl"))
+    project = F.concat(F.lit("p"), (u % 5).cast("string"))
+    per_user = given.groupBy("user_id").agg(F.count_if(e % 10 == 1).alias("n"))
+    said = F.to_json(_some(type=F.lit(V.PROVENANCE_TYPE), sessionId=session_id(u), agentId=agent, x_converter=F.struct(
+        F.lit("copier").alias("tool"), F.lit(1).alias("v"),
+        F.struct(F.lit("session").alias("kind"), session_id(u).alias("id"), project.alias("project")).alias("from"),
+        _iso(F.timestamp_seconds(F.lit(EPOCH) + (u % 5 * -1 + 2) * 86_400)).alias("converted_at"),
+        (1 + F.when(u % 2 == 0, F.col("n")).otherwise(0)).alias("lines_at_creation"))))
+    heads = per_user.select(project.alias("project"), place.alias("file_path"), F.lit(0).cast("bigint").alias("line_no"), said.alias("value"))
+    # The lines of a copy are those of the events; the number of a line is its event's.
+    copied = given.where(e % 10 == 1).select(e.alias("line_no"), project.alias("project"), place.alias("file_path"))
+    copied = copied.join(rows.select("line_no", "value"), "line_no").select("project", "file_path", "line_no", "value")
+    return rows.unionByName(heads).unionByName(copied)
+
+
+def dispatch_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every click as the dispatch of an agent. By event number its result is complete, launched, in the background,
+    rejected or missing; for the second and third a notification follows."""
+    e, u = F.col("event_id"), F.col("user_id")
+    use, agent, how = F.concat(F.lit("toolu_"), e), F.format_string("b%016x", e.cast("bigint")), e % 5
+    head = lambda kind, part, **more: _some(
+        type=F.lit(kind), uuid=turn_id(e * 3 + part), timestamp=_iso(F.col("ts")), sessionId=session_id(u), **more)
+    call = F.to_json(head("assistant", 0, message=_some(
+        id=F.concat(F.lit("msg"), e), type=F.lit("message"), role=F.lit("assistant"), model=F.lit("model-1"),
+        content=F.array(_some(type=F.lit("tool_use"), id=use, name=F.lit("Agent"), input=_some(
+            description=F.concat(F.lit("task "), e), subagent_type=F.lit("scout"), prompt=F.lit("go")))))))
+    said = _some(role=F.lit("user"), content=F.array(_some(type=F.lit("tool_result"), tool_use_id=use, content=F.concat(F.lit("answer "), e))))
+    empty = F.lit(None).cast("struct<id:string>")
+    payload = F.to_json(_some(
+        agentId=F.when(how < 2, agent), status=F.when(how == 0, "completed").when(how == 1, "async_launched"),
+        totalTokens=F.when(how == 0, e), totalToolUseCount=F.when(how == 0, 3), task=F.when(how == 2, F.struct(agent.alias("id"))).otherwise(empty)))
+    payload = F.when(how == 3, F.lit('"User rejected this"')).otherwise(payload)
+    answer = F.to_json(head("user", 1, message=said))
+    answer = F.concat(F.substring(answer, F.lit(1), F.length(answer) - 1), F.lit(',"toolUseResult":'), payload, F.lit("}"))
+    note = F.to_json(head("queue-operation", 2, operation=F.lit("enqueue"), content=F.concat(
+        F.lit("<task-notification><task-id>"), agent, F.lit("</task-id><status>finished</status><result>late "), e,
+        F.lit("</result><usage>total_tokens: "), e + 1, F.lit("\n<tool_uses>4</tool_uses></usage></task-notification>"))))
+    lines = F.array_compact(F.array(
+        F.struct(F.lit(0).alias("part"), call.alias("value")), F.when(how < 4, F.struct(F.lit(1).alias("part"), answer.alias("value"))),
+        F.when(how.isin(1, 2), F.struct(F.lit(2).alias("part"), note.alias("value")))))
+    return table(spark, sf_dir, "events").where("event_type = 'click'").select(
+        F.concat(F.lit("p"), (u % 5).cast("string")).alias("project"),
+        F.concat(F.lit("/logs/p"), (u % 5).cast("string"), F.lit("/"), session_id(u), F.lit(".jsonl")).alias("file_path"),
+        e.alias("event_id"), F.explode(lines).alias("l"),
+    ).select("project", "file_path", (F.col("event_id") * 3 + F.col("l.part")).alias("line_no"), "l.value")
+
+
 def document_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as the result of a failed call: source is the session, lang the project."""
     d = F.col("doc_id")

@@ -59,8 +59,8 @@ PARTS_TYPE = "array<struct<kind:string,text:string>>"
 # --- A1, A5, C9: lines and what the path says ----------------------------------------------------
 
 
-def _reader(spark: SparkSession, modified_since: datetime | None) -> DataFrameReader:
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl")
+def _reader(spark: SparkSession, modified_since: datetime | None, suffix: str = "jsonl") -> DataFrameReader:
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}")
     if modified_since is None:
         return reader
     # Files are append-only: one last written before a window cannot reach into it. The reader's
@@ -71,23 +71,24 @@ def _reader(spark: SparkSession, modified_since: datetime | None) -> DataFrameRe
 
 
 def scan_lines(
-    spark: SparkSession, path: str | list[str], modified_since: datetime | None = None
+    spark: SparkSession, path: str | list[str], modified_since: datetime | None = None, suffix: str = "jsonl", one_text: bool = False,
 ) -> DataFrame:
     """All physical lines of the `.jsonl` files below `path` (a folder, a file, or a list of them), with their line numbers.
 
     A file may span many splits. Lines of one split are consecutive in one task, so the number
     within the split is a subtraction; only the row count per split is aggregated, and only those
     counts are ordered per file. No task ever holds a whole file, and no line is shuffled or joined: see
-    `split_shifts`. `modified_since` without a zone is UTC.
+    `split_shifts`. `modified_since` without a zone is UTC. With `one_text` numbers go on from file to file, in order of
+    their paths.
     """
-    raw = _reader(spark, modified_since).text(path).select(
+    raw = _reader(spark, modified_since, suffix).text(path).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
         F.col("_metadata.file_block_start").alias("_split"),
         F.monotonically_increasing_id().alias("_row"),
         "value",
     )
-    told = raw.select("*", F.get(split_shifts(raw).scalar(), F.shiftright("_row", _ROW_BITS).cast("int")).alias("_shifts"), _split_print().alias("_print"))
+    told = raw.select("*", F.get(split_shifts(raw, one_text).scalar(), F.shiftright("_row", _ROW_BITS).cast("int")).alias("_shifts"), _split_print().alias("_print"))
     shift = F.get(F.filter("_shifts", lambda s: s["split"] == F.col("_print")), 0)["shift"]
     changed = F.raise_error(F.concat(F.lit("read in other splits than were counted: "), "file_path")).cast("bigint")
     return told.select("file_path", "file_mtime", (F.col("_row") + F.coalesce(shift, changed)).alias("line_no"), "value")
@@ -105,7 +106,7 @@ def _split_print() -> Column:
 _ROW_BITS = 33
 
 
-def split_shifts(raw: DataFrame) -> DataFrame:
+def split_shifts(raw: DataFrame, one_text: bool = False) -> DataFrame:
     """One row, one list: by number of the task, the splits it reads (a hash of file and place, and what to add to a row
     id to get the line number).
 
@@ -117,7 +118,7 @@ def split_shifts(raw: DataFrame) -> DataFrame:
     splits = raw.groupBy(F.shiftright("_row", _ROW_BITS).alias("_task"), "file_path", "_split").agg(
         F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    per_file = Window.partitionBy("file_path").orderBy("_split")
+    per_file = Window.orderBy("file_path", "_split") if one_text else Window.partitionBy("file_path").orderBy("_split")
     before = F.coalesce(F.sum("_rows").over(per_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = splits.select("_task", F.struct(_split_print().alias("split"), (before - F.col("_first")).alias("shift")).alias("s"))
     tasks = placed.groupBy("_task").agg(F.collect_list("s").alias("s"))
@@ -481,13 +482,13 @@ def transcripts(lines: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     )
 
 
-def paths_containing(spark: SparkSession, path: str | list[str], pattern: str, modified_since: datetime | None = None) -> list[str]:
+def paths_containing(spark: SparkSession, path: str | list[str], pattern: str, modified_since: datetime | None = None, suffix: str = "jsonl") -> list[str]:
     """Paths of the files below `path` with a raw line that matches an authored literal.
 
     Read as text only: no numbers, no parse. The answer is part of the list of files that the reader keeps in the driver.
     A second read that is given these paths opens no other file.
     """
-    found = _reader(spark, modified_since).text(path).where(F.rlike("value", F.lit(pattern))).select(F.col("_metadata.file_path").alias("p")).distinct()
+    found = _reader(spark, modified_since, suffix).text(path).where(F.rlike("value", F.lit(pattern))).select(F.col("_metadata.file_path").alias("p")).distinct()
     return sorted(r["p"] for r in found.collect())
 
 
