@@ -44,6 +44,12 @@ def test_substring_query_uses_wide_hashes(make, monkeypatch):
     assert used == [2]
 
 
+def test_substring_buckets_follow_the_bytes(make, copies, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 500)
+    got = by_id(substring_dedup.dedup(make(copies), lanes=2), "n_words", "n_removed", "kept_sha256")
+    assert got == brute.substrings(copies, 20)
+
+
 def test_substring_rows(make):
     text = " ".join(map(str, range(30)))
     rows = substring_dedup.dedup(make([(1, text, None), (1, text, None), (2, "x " + text, None), (None, text, None), (3, None, None)])).collect()
@@ -68,6 +74,14 @@ def test_near_rows(make):
     assert near_dedup.classes(make([])).count() == 0
 
 
+def test_near_one_id_with_several_texts(make):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a, None), (5, b, None), (6, a + " x", None), (7, b + " y", None), (8, "c " + b[5:].replace("b9 ", ""), None), (9, "other words", None)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.classes(make(rows)).collect()}
+    assert got == {(5, 5, True), (6, 5, False), (7, 5, False), (8, 5, False), (9, 9, True)}
+    assert sorted(r["doc_id"] for r in near_dedup.survivors(make(rows)).collect()) == [5, 5, 9]
+
+
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
     both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 50, 50))

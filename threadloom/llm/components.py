@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.sized import checked
 from threadloom.session import cut_lineage, drop_table
 
 
@@ -22,11 +23,15 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         pulled = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "l").alias("label"), F.col("label").alias("old"))
-        # A label is an id too: its own label is smaller or equal.
-        jump = pulled.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        moved = cut_lineage(pulled.join(jump, "label", "left").select("id", F.coalesce("further", "label").alias("label"), "old"))
+        pulled = cut_lineage(pulled)
+        # A label is an id too: its own label is smaller or equal. Only labels that have a smaller one move; a label that
+        # very many ids have is a root sooner or later, and then no rows are joined for it.
+        jump = pulled.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("further"))
+        jump = cut_lineage(jump.join(pulled.select("label").distinct(), "label", "left_semi"))
+        moved = cut_lineage(pulled.join(checked(jump), "label", "left").select("id", F.coalesce("further", "label").alias("label"), "old"))
         changed = not moved.where("label != old").isEmpty()
-        drop_table(labels)
+        for t in (labels, pulled, jump):
+            drop_table(t)
         labels = moved.select("id", "label")
         if not changed:
             drop_table(both)

@@ -23,8 +23,8 @@ permutation laid out twice in a row, a shingle's values for all k are consecutiv
 A pair at similarity 0.75 shares no band with chance (1 - 0.75**4)**32, about five in a million.
 
 Defined results: a text without words (or null) has an empty set and links with nothing; a text with
-fewer words than a shingle is one shingle; rows that share an id are one node; a row without an id
-links with nothing and is kept. Only id and text are read.
+fewer words than a shingle is one shingle; rows that share an id are linked, whatever their texts; a row
+without an id links with nothing and is kept. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.components import bucket_links, components
+from threadloom.llm.sized import checked
 from threadloom.llm.words import hash_words, mix, slices, split
 from threadloom.session import cut_lineage
 
@@ -144,19 +145,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """id and shingles (bytes of the sorted hashes) of the wanted ids."""
+    """id and shingles (bytes of the sorted hashes) of the wanted nodes (id, rep, key). A text is read where its document
+    is the node's, and kept if its set has the node's key: other texts of that document are other nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
-                found = [own.tobytes() for own in shingle_sets(part.column(1), width)]
-                yield pa.record_batch({"id": part.column(0), "shingles": pa.array(found, pa.binary())})
+                found, keep = [], []
+                for own, key in zip(shingle_sets(part.column(1), width), part.column(2), strict=True):
+                    found.append(own.tobytes())
+                    keep.append(xxhash.xxh3_128_digest(found[-1]) == key.as_py())
+                yield pa.record_batch({"id": part.column(0), "shingles": pa.array(found, pa.binary())}).filter(pa.array(keep, pa.bool_()))
 
-    wanted = cut_lineage(wanted.distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id", "left_semi")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, shingles binary").groupBy("id").agg(F.max("shingles").alias("shingles"))
+    wanted = checked(cut_lineage(wanted.select(F.col("id").alias("node"), F.col("rep").alias("id"), "key")), BROADCAST_IDS)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "id")
+    return rows.select("node", "text", "key").mapInArrow(run, "id bigint, shingles binary").groupBy("id").agg(F.any_value("shingles").alias("shingles"))
 
 
 def _sharing_rare(sets: DataFrame, unsettled: DataFrame, num: int, den: int) -> DataFrame:
@@ -193,8 +196,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     """One row per row of `docs`: id, n_shingles, component_id, kept."""
     sketch = cut_lineage(sketches(docs, id_col, text_col, width, bands, rows))
     named = sketch.where("id IS NOT NULL AND key IS NOT NULL")
-    # Sets that are equal are one class; what belongs to the set is the same in all its rows.
-    reps = cut_lineage(named.groupBy("key").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
+    # Sets that are equal are one node; what belongs to the set is the same in all its rows. Nodes are numbered as they
+    # are written, in order of their smallest ids: two texts of one id are two nodes, and a group's first document,
+    # from which copies were made, is the hub of its buckets.
+    sets = named.groupBy("key").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits"))
+    reps = cut_lineage(sets.repartitionByRange("rep", "key").sortWithinPartitions("rep", "key").withColumn("id", F.monotonically_increasing_id()))
     members = reps.select(F.explode("bands").alias("bucket"), "id")
     words = bands * rows // 64
     facts = reps.select("id", F.struct("n", *[F.col("bits")[k].alias(f"b{k}") for k in range(words)]).alias("n"))
@@ -204,27 +210,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     most = bands * rows * chance + DEVIATIONS * (bands * rows * chance * (1 - chance)) ** 0.5
     fits = (sizes * den >= num) & (sizes * num <= den) & (differing <= int(most))
 
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _sets(docs, reps.select("id", "rep", "key").join(nodes.distinct(), "id"), id_col, text_col, width)
+
     def confirm(pairs: DataFrame) -> DataFrame:
         near = cut_lineage(pairs)
         if near.isEmpty():
             return near
         wanted = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
-        return _confirmed(near, cut_lineage(_sets(docs, wanted, id_col, text_col, width)), num, den)
+        return _confirmed(near, cut_lineage(sets_of(wanted)), num, den)
 
     def across(unsettled: DataFrame) -> DataFrame:
-        return _sharing_rare(_sets(docs, unsettled.select("id"), id_col, text_col, width), unsettled, num, den)
-
-    links = bucket_links(members, facts, confirm, fits, across)
-    found = components(links)
+        return _sharing_rare(sets_of(unsettled.select("id")), unsettled, num, den)
 
-    home = named.select("key", "id").join(reps.select("key", F.col("id").alias("rep")), "key").select("id", "rep").distinct()
-    # An id with several texts joins their classes.
-    several = home.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b")
+    links = cut_lineage(bucket_links(members, facts, confirm, fits, across))
+    # An id with several texts joins their nodes.
+    home = named.select("key", F.col("id").alias("doc")).join(reps.select("key", "id"), "key").select("doc", "id").distinct()
+    several = cut_lineage(home.groupBy("doc").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b"))
     if not several.isEmpty():
-        links = links.unionByName(home.join(several.select("id"), "id", "left_semi").select(F.col("id").alias("a"), F.col("rep").alias("b"))).unionByName(
-            several.select("a", "b"))
-        found = components(links)
-    final = home.join(found.withColumnRenamed("id", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("c"))
+        more = home.join(several.select("doc", "a"), "doc").where("id != a").select("a", F.col("id").alias("b"))
+        links = links.unionByName(more)
+    # A node's component is named by the smallest id of all its documents.
+    found = cut_lineage(components(links).join(reps.select("id", "rep", "key"), "id"))
+    least = cut_lineage(found.groupBy("component").agg(F.min("rep").alias("least")))
+    linked = cut_lineage(found.join(checked(least), "component").select("key", "least"))
+    reps = reps.select("key", "rep").join(linked, "key", "left").select("key", F.coalesce("least", "rep").alias("c"))
+    final = named.select("id", "key").join(reps, "key").groupBy("id").agg(F.min("c").alias("c"))
     out = sketch.select("id", "n").join(final, "id", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("c", "id"))
     return out.select(
@@ -234,4 +245,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs`, all columns, that represent their component."""
-    return docs.join(classes(docs, id_col, **options).where("NOT kept").select(id_col), id_col, "left_anti")
+    dropped = checked(cut_lineage(classes(docs, id_col, **options).where("NOT kept").select(id_col).distinct()), BROADCAST_IDS)
+    return docs.join(dropped, id_col, "left_anti")
