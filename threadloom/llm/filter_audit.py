@@ -202,7 +202,8 @@ def duplicates(rows: DataFrame, heavy: int = TRIE_BYTES) -> DataFrame:
 
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + total // heavy)
-    dealt = prefixed(rows, heavy).repartitionByRange(ranges, "key")
+    # No prefix holds more than a task's even share, so that the ranges can be even.
+    dealt = prefixed(rows, min(heavy, 1 + total // ranges)).repartitionByRange(ranges, "key")
     return dealt.select("id", "part", "mask", "n", "text").mapInArrow(run, _NARROW)
 
 
