@@ -1,6 +1,7 @@
 """The other operators against plain Python, the public library, or held-out labels."""
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -170,6 +171,45 @@ def test_language_odd(make):
     assert language_id.predict(make([]), {"en": b"the"}).count() == 0
 
 
+def test_language_against_plain_sizes(make, copies):
+    import re as plain
+
+    import zstandard
+
+    rng = random.Random(4)
+    stock = {"aa": ["ba", "be", "bi", "bo", "bu"], "bb": ["ka", "ke", "ki", "ko", "ku"], "cc": ["ba", "ke", "mi", "no", "tu"]}
+    say = lambda lang, n: " ".join("".join(rng.choice(stock[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    model = {lang: say(lang, 2000).encode() for lang in stock}
+    texts = [say(lang, n).title() + " 12, " for lang in stock for n in (1, 3, 40, 900)] + ["", None, "12 !", "\u0301", "12 \u20dd", "q", "ba ka 7"]
+    got = by_id(language_id.predict(make([(k, t, None) for k, t in enumerate(texts * 2)]), model), "lang_pred", "margin")
+    for k, text in enumerate(texts * 2):
+        lettered = "".join(c for c in plain.sub(r"[^a-zA-Z\u0300-\u0303]+", " ", text or "").lower()).strip() if plain.search("[a-zA-Z]", text or "") else ""
+        raw, sizes = lettered.encode(), {}
+        for lang, content in sorted(model.items()):
+            size = 0
+            for a in range(0, len(raw), language_id.BLOCK_BYTES):
+                dictionary = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                dictionary.precompute_compress(compression_params=language_id.SEARCH)
+                size += len(zstandard.ZstdCompressor(dict_data=dictionary, compression_params=language_id.SEARCH).compress(raw[a : a + language_id.BLOCK_BYTES]))
+            sizes[lang] = size
+        want = min(sorted(sizes), key=sizes.get) if raw else "und"
+        assert got[k][0] == want, (text, sizes)
+        if raw:
+            first, second = sorted(sizes.values())[:2]
+            assert got[k][1] == pytest.approx((second - first) / second)
+
+
+def test_language_pieces_are_spread(spark, make):
+    text = "".join(chr(ord("a") + k // 100) * 99 + " " for k in range(0, 2600, 100))
+    frame = spark.createDataFrame([(text,), ("short",), ("",)], "t string").select(language_id.spread(F.col("t"), F.lit(200)).alias("s"))
+    cut, short, empty = [r["s"] for r in frame.collect()]
+    assert len(cut) == 203 and cut.startswith("aaa") and cut.endswith("zzz ") and {"i", "r"} <= set(cut) and (short, empty) == ("short", "")
+    ids = [d for d in range(40) if zlib.crc32(str(d).encode()) % 5]
+    docs = make([(d, text, None) for d in ids] + [(ids[0], "wwww " * 400, None)] * 9, lang="xx")
+    model = language_id.fit(docs, per_language=10, dict_bytes=4000)
+    assert set(model) == {"xx"} and len(model["xx"]) <= 4000 and b"zzz" in model["xx"] and b"aaa" in model["xx"]
+
+
 PROSE = "The cat is on the mat and it is a very good cat that sits with the dog in the garden of the house."
 
 
@@ -187,6 +227,56 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+CHINESE = "\u8fd9\u662f\u4e00\u7bc7\u5173\u4e8e\u57ce\u5e02\u6cb3\u6d41\u7684\u6587\u7ae0\uff0c" * 7
+GREEK = "\u03b7 \u03b3\u03ac\u03c4\u03b1 \u03ba\u03ac\u03b8\u03b5\u03c4\u03b1\u03b9 \u03c3\u03c4\u03bf \u03c7\u03b1\u03bb\u03af " * 6
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div>{CHINESE}</div>", CHINESE), (f"<div>{CHINESE}</div><ul><li><a href=x>\u5317\u4eac</a><li><a href=y>\u4e0a\u6d77</a></ul>", CHINESE),
+    (f"<p>{GREEK}</p><div class='reader-feedback'><p>{GREEK}</p></div>", GREEK.strip()),
+    (f"<p>{PROSE}</p><p>{'keyword shop price ' * 20}</p><p>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+])
+def test_pages_in_other_scripts(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_rows(spark):
+    long = f"<p>{PROSE}</p>" * 20_000
+    rows = [(1, "u", long), (1, "u", long), (1, None, None), (None, "v", f"<p>{PROSE}</p>")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, text string, id int")
+    got = sorted(((r["page_id"], r["url"], r["n_chars"]) for r in html_text.extract(frame).collect()), key=repr)
+    n = 20_000 * (len(PROSE) + 1) - 1
+    assert got == sorted([(1, "u", n), (1, "u", n), (1, None, 0), (None, "v", len(PROSE))], key=repr)
+    assert html_text.extract(frame.where("page_id = 7")).count() == 0
+
+
+def test_second_pass_against_plain_search():
+    """Short blocks against a search to both sides of each for the nearest decided one."""
+    rng, P = random.Random(8), PROSE
+    kinds = {"good": f"<p>{P * 3}</p>", "bad": f"<p><a href=x>{'link text ' * 9}</a></p>", "short": "<p>Tail</p>", "head": "<h2>Head</h2>"}
+    for _ in range(300):
+        row = [rng.choice(list(kinds)) for _ in range(rng.randint(1, 12))]
+        want = []
+        for i, k in enumerate(row):
+            left = next((j for j in range(i - 1, -1, -1) if row[j] in ("good", "bad")), None)
+            right = next((j for j in range(i + 1, len(row)) if row[j] in ("good", "bad")), None)
+            if k in ("good", "bad"):
+                want.append(k)
+            elif left is None and right is None:
+                want.append("good")
+            elif left is None or right is None:
+                want.append(row[right if left is None else left])
+            elif k == "head":
+                want.append(row[right])
+            else:
+                near = [row[j] for j in (left, right) if abs(j - i) == min(i - left, right - i)]
+                want.append("good" if "good" in near else "bad")
+        page = "".join(kinds[k] for k in row)
+        found = html_text.blocks(page)
+        html_text.classify(found)
+        assert [b.label for b in found] == want, row
+
+
 @pytest.mark.parametrize(("page", "text"), [
     (f"<div class='layout has-sidebar'><article><p>{PROSE}</p></article><div class='sidebar'>{PROSE}</div></div>", PROSE),
     (f"<div class='layout has-sidebar'><p>{PROSE}</p></div>", PROSE),
@@ -234,12 +324,11 @@ def test_lines(make, copies):
     got = by_id(line_dedup.dedup(make(docs)), "n_lines", "removed")
     rows = [(d, k, " ".join(brute.words(x.lower()))) for d, t, _ in docs for k, x in enumerate(t.split("\n")) if brute.words(x)]
     norm = sorted({x for *_, x in rows})
-    _, _, _, *parts = line_dedup.normalised(pa.array(norm, pa.string()))
-    sims, g = line_dedup.simhash(*parts).view(np.uint64).tolist(), brute.Groups()
+    g = brute.Groups()
     links = 0
     for i, a in enumerate(norm):
         for j in range(i):
-            if (sims[i] ^ sims[j]).bit_count() <= line_dedup.FAR and edits(a, norm[j]) <= 0.1 * max(len(a), len(norm[j])) + 1e-9:
+            if edits(a, norm[j]) <= 0.1 * max(len(a), len(norm[j])) + 1e-9:
                 g.join(i, j)
                 links += 1
     assert links > 5
@@ -252,6 +341,14 @@ def test_lines(make, copies):
     assert {d: (n, list(r)) for d, (n, r) in got.items()} == {d: (n, r) for d, (n, r) in want.items()}
 
 
+def test_line_very_long_and_odd(make, odd_texts):
+    long = "word " * 40_000 + "end"
+    docs = [(1, long, None), (2, long + "s", None), (3, "\n".join(t or "" for t in odd_texts), None), (4, "\n".join(t or "" for t in odd_texts), None), (5, "a\u2028b\n\x1c\nA\u2028B", None)]
+    got = by_id(line_dedup.dedup(make(docs)), "n_lines", "removed")
+    assert got[1] == (1, []) and got[2] == (1, [0]) and got[3][0] == got[4][0] and len(got[4][1]) == got[4][0]
+    assert got[5][1] == [2]
+
+
 def test_line_rows(make):
     rows = line_dedup.dedup(make([(1, "A b\n\nc", None), (2, "a  B\nd\n ", None), (2, "a  B\nd\n ", None), (None, "a b", None), (3, None, None)])).collect()
     assert sorted((str(r["doc_id"]), r["n_lines"], list(r["removed"]), r["kept_text"]) for r in rows) == sorted([

@@ -5,14 +5,16 @@ scripts, styles, and in containers whose class, id or role names an advert, a no
 reader comments, is no block at all. A name is a whole word of the attribute or its last part, and where an
 article or main element begins inside, it was a name of the page's layout, unless it names comments. First pass: link density, length and stop-word density make a
 block good, bad or, if it is short, ambiguous. Inside an article or main element the page itself
-vouches for text, so there only link density can make a block bad. Second pass: ambiguous blocks
+vouches for text, so there only link density can make a block bad; in a page without any known stop word,
+or mostly in other letters than Latin, length and links decide. Second pass: ambiguous blocks
 inherit the label of the nearest decided neighbours, headings that of the next one.
 
 Pages are independent: one Arrow pass, no shuffle, and a page is handled alone, whatever its length.
 
 Defined results: a null or empty page has no text; broken markup never fails (unclosed elements end
 with their container or the page; a "<" that starts no tag is text; an unclosed comment ends the page).
-A page whose decided blocks are all bad has no text; one with only ambiguous blocks keeps them.
+A page whose decided blocks are all bad has no text; one with only ambiguous blocks keeps them. Rows that
+share an id are pages of their own; other columns than id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -51,11 +53,11 @@ ASIDE_NAMES = frozenset("""
 ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb
 breadcrumbs footer cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup modal overlay share
 sharing social related recommended recommendations widget toolbar pagination pager search complementary contentinfo masthead copyright
-comment comments commentlist disqus reply replies respond reader-comments comment-list comment-body comment-content comments-area comments-section
+comment comments commentlist disqus reply replies respond feedback discussion tagline author-bio reader-comments comment-list comment-body comment-content comments-area comments-section
 """.split())
 #: Those that hold even for elements that hold an article.
 COMMENT_NAMES = frozenset("""
-comment comments commentlist disqus reply replies respond comment-list comment-body comment-content comments-area comments-section
+comment comments commentlist disqus reply replies respond feedback discussion comment-list comment-body comment-content comments-area comments-section
 """.split())
 # FIXED VALUES. Words before a name that say what an element has beside or within it, not what it is.
 HAVING = frozenset("has have with without no show hide".split())
@@ -176,8 +178,22 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def _length(text: str) -> int:
+    """Characters; an ideograph or syllable sign counts as two."""
+    return len(text) + (0 if text.isascii() else sum(c >= "\u2e80" for c in text))
+
+
+def _stop_words_tell(found: list[Block]) -> bool:
+    """Whether the page is in a language whose stop words are known: some occur outside of links, and most of its letters
+    are Latin. Elsewhere length and links decide."""
+    words = [w for b in found if b.linked * 2 <= len(b.text) for w in _LETTERS.findall(b.text.lower())]
+    foreign = sum(len(w) for w in words if w[0] > "\u024f")
+    return any(w in STOP_WORDS for w in words) and 2 * foreign <= sum(map(len, words))
+
+
 def classify(found: list[Block]) -> None:
     """Labels blocks good or bad."""
+    known = _stop_words_tell(found)
     for b in found:
         size = max(len(b.text.replace(" ", "")), 1)
         density = b.linked / size
@@ -187,8 +203,10 @@ def classify(found: list[Block]) -> None:
             b.label = "bad"
         elif b.inside:
             b.label = "good" if not b.heading else "short"
-        elif len(b.text) < SHORT or b.heading:
+        elif _length(b.text) < SHORT or b.heading:
             b.label = "bad" if b.linked else "short"
+        elif not known:
+            b.label = "good"
         elif stop >= STOP_HIGH or (stop >= STOP_LOW and len(b.text) >= LONG):
             b.label = "good"
         elif stop >= STOP_LOW:

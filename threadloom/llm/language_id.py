@@ -1,9 +1,10 @@
 """Language ID by compression: the language whose dictionary encodes a text in the fewest bytes.
 
 Fit: per language a bounded sample of labelled documents (DOCS_PER_LANGUAGE, those of smallest
-hashed id) fills a raw-content zstandard dictionary of at most DICT_BYTES. At most MAX_LANGUAGES
-languages, the most frequent ones, are learned. That sample is all that reaches the driver, and its
-size does not depend on the corpus.
+hashed id) fills a raw-content zstandard dictionary of at most DICT_BYTES. Each document gives pieces
+spread over its whole text, cut on the executors, of which only the bytes that the dictionary takes reach
+the driver. Every language is learned; with more than 256 of them dictionaries shrink, so that all
+together stay below TOTAL_BYTES, and more than MAX_LANGUAGES are an error.
 Predict: the whole text, reduced to its lower-case letters, is cut into blocks of BLOCK_BYTES, so
 that a long text does not become its own dictionary. Each block is compressed with every
 dictionary; sizes add up. The smallest total wins, the margin to the second gives score, and a
@@ -12,6 +13,8 @@ margin below MIN_MARGIN is marked as rejected.
 Defined results: a null text or one without a letter is `und` with score 0; so is every text when
 no language could be learned. Equal totals: the first language by code point order, score 0. With
 one learned language the score is 1. Labels, sources and ids are never inputs of a prediction.
+Rows that share an id are told each by its own text; of a sampled id's texts one gives the pieces. An
+empty table teaches nothing.
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from pyspark.sql import functions as F
 
 DOCS_PER_LANGUAGE = 200
 DICT_BYTES = 64 << 10
-MAX_LANGUAGES = 256
+#: All dictionaries together; with very many languages each gets less. More languages than MAX_LANGUAGES are an error.
+TOTAL_BYTES = 16 << 20
+MAX_LANGUAGES = 4096
+#: Places of a text from which a dictionary takes its pieces, evenly spread.
+PIECES = 4
 BLOCK_BYTES = 1000
 #: Thorough search for matches of four bytes and more: the parts of short words decide.
 SEARCH = zstandard.ZstdCompressionParameters(
@@ -42,37 +49,46 @@ def held_out(id_col: Column) -> Column:
 
 
 def letters(text: Column) -> Column:
-    """Lower-case letters, other runs of characters as one space."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}]+", " "))
+    """Lower-case letters with their marks, other runs of characters as one space; empty without a letter."""
+    shown = F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "))
+    return F.when(F.rlike(text, F.lit(r"\p{L}")), shown).otherwise(F.lit(""))
+
+
+def spread(text: Column, share: Column) -> Column:
+    """At most about `share` characters of a text: the text itself, or PIECES pieces of equal length, the first from
+    its start, the last up to its end."""
+    piece = F.floor(share / PIECES).cast("int")
+    step = (F.length(text) - piece) / (PIECES - 1)
+    cut = F.concat_ws(" ", *[F.substr(text, F.floor(k * step).cast("int") + 1, piece) for k in range(PIECES)])
+    return F.when(F.length(text) <= share, text).otherwise(cut)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         per_language: int = DOCS_PER_LANGUAGE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Raw dictionary content per language."""
+    """Raw dictionary content per language, from pieces of at most `per_language` documents each."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         "id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(~held_out(F.col("id")))
-    common = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
+    n = rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if n > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    size = min(dict_bytes, TOTAL_BYTES // max(n, 1))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.select("id", "lang").join(F.broadcast(common), "lang").withColumn("k", F.row_number().over(order))
-    chosen = chosen.where(F.col("k") <= per_language).select("id", "lang").distinct()
-    # At most per_language * MAX_LANGUAGES ids; of each text no more than fits the dictionary.
-    sample = rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "id", F.substring(letters(F.col("text")), 1, dict_bytes).alias("text"))
+    chosen = rows.select("id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    # At most per_language ids a language; only the pieces that a dictionary takes leave the executors, one text an id.
+    share = F.greatest(F.floor(F.lit(size) / F.count(F.lit(1)).over(Window.partitionBy("lang"))), F.lit(200))
+    chosen = chosen.select("id", "lang", share.cast("int").alias("share"))
+    lettered = rows.join(F.broadcast(chosen), ["id", "lang"]).select("lang", "id", "share", letters(F.col("text")).alias("t"))
+    sample = lettered.select("lang", "id", spread(F.col("t"), F.col("share")).alias("text")).groupBy("lang", "id").agg(F.min("text").alias("text"))
     found: dict[str, list[tuple]] = {}
     for r in sample.collect():
         found.setdefault(r["lang"], []).append((r["id"], r["text"].encode()))
-    texts = {lang: [t for _, t in sorted(own)] for lang, own in sorted(found.items())}
-    return dictionaries(texts, dict_bytes)
-
-
-def dictionaries(texts: dict[str, list[bytes]], dict_bytes: int) -> dict[str, bytes]:
-    out = {}
-    for lang, own in texts.items():
-        # Every text gets its share, so that one long text does not fill the dictionary.
-        share = max(dict_bytes // max(len(own), 1), 200)
-        joined = b" ".join(t[:share] for t in own)
-        if joined.strip():
-            out[lang] = joined[:dict_bytes]
-    return out
+    return dictionaries({lang: [t for _, t in sorted(own)] for lang, own in sorted(found.items())}, size)
+
+
+def dictionaries(texts: dict[str, list[bytes]], size: int) -> dict[str, bytes]:
+    """What a language's texts hold, one after the other; a language without letters gets no dictionary."""
+    joined = {lang: b" ".join(own)[:size] for lang, own in texts.items()}
+    return {lang: raw for lang, raw in joined.items() if raw.strip()}
 
 
 def coders(model: dict[str, bytes]) -> list:
