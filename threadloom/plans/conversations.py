@@ -186,6 +186,23 @@ def rewind_report(spark, d):
     return report.select("turn", "status", "turns_before", "turns_after", "removed_after_cut", "trimmed_trailing", "trimmed_calls", "tail_state")
 
 
+def rewind_statuses(spark, d):
+    """Rewinds to the first user turn that go wrong in every way, by number of the conversation: a turn that is unknown, was
+    removed by an earlier rewind, is named by a prefix of two, or stands twice; one before which nothing is; and one that is fine."""
+    rows = _turn_table(spark, d)
+    number = F.conv(F.regexp_extract("file_path", "/([0-9a-f]{8})[^/]*$", 1), 16, 10).cast("bigint")
+    first = cut_lineage(rows.where(F.col("type") == "user").groupBy("file_path").agg(F.min_by("uuid", "line_no").alias("turn")).withColumn("kind", number % 6))
+    marked = rows.join(first, "file_path")
+    again = marked.where("uuid = turn").withColumn("line_no", F.col("line_no") + 1000)
+    twice = again.where("kind = 3").unionByName(again.where("kind = 2").withColumn("uuid", F.concat(F.substring("uuid", 1, 8), F.lit("-other"))))
+    rows = cut_lineage(rows.unionByName(twice.select(*rows.columns)))
+    typed = F.when(F.col("kind") < 2, "ffffffff").when(F.col("kind") == 2, F.substring("turn", 1, 8)).otherwise(F.col("turn"))
+    requests = first.select(F.col("file_path").alias("request_id"), "file_path", typed.alias("turn"), F.when(F.col("kind") == 4, "before").otherwise("after").alias("cut"))
+    copies = first.where("kind = 1").select("file_path", F.concat(F.lit("ffffffff"), F.lit(tables.TURN_TAIL)).alias("rewound_to"))
+    _, report = lineage.rewind_view(rows, requests, copies)
+    return report.select(F.regexp_extract("file_path", "([^/]+)\\.jsonl$", 1).alias("session_id"), "turn", "status")
+
+
 def thread_copy(spark, d):
     rows = _turn_table(spark, d)
     requests = rows.select("file_path").distinct().select(
@@ -291,6 +308,7 @@ QUERIES = {
     "active_thread": active_thread,
     "ancestor_chain": ancestor_chain,
     "rewind_report": rewind_report,
+    "rewind_statuses": rewind_statuses,
     "thread_copy": thread_copy,
     "model_stats": model_stats,
     "environment": environment,
@@ -488,6 +506,9 @@ s AS (SELECT m.conv_id, any_value(e.kept) AS kept, count(*) FILTER (WHERE m.away
 SELECT c.uuid AS turn, CASE WHEN coalesce(s.after_n, 0) = 0 THEN 'nothing_left' ELSE 'ok' END AS status, n.turns_before, coalesce(s.after_n, 0) AS turns_after,
  n.turns_before - coalesce(s.kept, 0) AS removed_after_cut, coalesce(s.tn, 0) AS trimmed_trailing, coalesce(s.tc, 0) AS trimmed_calls, s.tail_state
 FROM tips t JOIN conv c ON c.conv_id = t.conv_id AND c.turn = t.turn JOIN n ON n.conv_id = t.conv_id LEFT JOIN s ON s.conv_id = t.conv_id""",
+    "rewind_statuses": f"""{_CONV}, u AS (SELECT conv_id, session_id, conv_id % 6 AS kind, arg_min(uuid, turn) AS uuid, arg_min(body, turn) AS body FROM conv WHERE entry_type = 'human' GROUP BY ALL)
+SELECT session_id, CASE WHEN kind < 2 THEN 'ffffffff' WHEN kind = 2 THEN left(uuid, 8) ELSE uuid END AS turn,
+ CASE kind WHEN 0 THEN 'unknown_turn' WHEN 1 THEN 'already_rewound' WHEN 2 THEN 'ambiguous_turn' WHEN 3 THEN 'repeated_turn' WHEN 4 THEN 'nothing_left' ELSE 'ok' END AS status FROM u""",
     "thread_copy": f"""{_ACTIVE},
 lin AS (SELECT a.*, c.session_id AS src, lag(a.uuid) OVER (PARTITION BY a.conv_id ORDER BY chain_no) AS parent_uuid,
   'a' || md5('/logs/' || c.project || '/' || c.session_id || '.jsonl') AS new_id,
