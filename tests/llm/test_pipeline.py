@@ -31,3 +31,25 @@ def test_pipeline(spark):
     got = Counter((r["doc_id"], r["n_tokens"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, TABLES).collect())
     assert got == +want
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def test_stages_on_odd_rows(spark, make, odd_texts):
+    """Null, empty, very long and repeated texts, repeated and missing ids, and clashing names pass through every stage."""
+    prose = " ".join(f"w{k} the of and" for k in range(40))
+    rows = [(k, t, [None, "", "s"][k % 3]) for k, t in enumerate(odd_texts)]
+    rows += [(100, prose, "s"), (101, prose, "s"), (101, prose, "s"), (102, prose + " more", None), (None, prose, "s"), (None, None, None), (100, prose[::-1], "s")]
+    docs = make(rows)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, TABLES)
+        assert out.columns == docs.columns, name
+        kept[name] = sorted(((r["doc_id"], r["text"] or "") for r in out.collect()), key=repr)
+        assert set(kept[name]) <= {(d, t or "") for d, t, _ in rows}, name
+        assert stage(spark, make([]), TABLES).count() == 0, name
+    # Of equal texts the largest id stays, as often as it stands there; rows without an id stay; an id's other text is its own.
+    exact = [r for r in kept["exact_dedup"] if r[1] in (prose, prose[::-1])]
+    assert exact == sorted([(101, prose), (101, prose), (None, prose), (100, prose[::-1])], key=repr)
+    near = {d for d, t in kept["near_dedup"] if t.startswith(prose)}
+    assert near == {100, None}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, TABLES)
+    assert last.count() == len(rows) and corpus_pipeline.STAGES[-1][1](spark, make([]), TABLES).count() == 0
