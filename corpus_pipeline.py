@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before has kept, and is written as
 Parquet and read again before the next one. All but the last return the columns of documents.
+
+Defined results: a null text counts as empty, so quality rules reject it, and it is a group of equal texts for exact dedup.
+A row without an id is judged by quality rules like any other and never dropped as a copy. Rows that share id and text
+stay together, rows that share an id alone are judged each by its own text in quality rules and exact dedup, and stay or go
+together in near-dedup. Further columns are carried along under any name, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
