@@ -293,6 +293,8 @@ marks AS (SELECT *, (epoch_us(ts) - {_LO}) // {_B} AS bucket, agent_id IS NULL A
   FROM ev WHERE epoch_us(ts) >= {_LO} AND epoch_us(ts) < {_HI}),
 cells AS (SELECT session_id, bucket, count(*) FILTER (WHERE human) AS human, count(DISTINCT marker) AS agent FROM marks
   WHERE human OR marker IS NOT NULL GROUP BY 1, 2)"""
+# Used by other modules as well.
+ACTIVE, LO, HI, B, M = _ACT, _LO, _HI, _B, _M
 _SESS = f"""{_ACT},
 sums AS (SELECT session_id, min(bucket) AS b0, max(bucket) AS b1, CAST(sum(human) AS BIGINT) AS human_turns, CAST(sum(agent) AS BIGINT) AS agent_turns,
   count(*) FILTER (WHERE human > 0) * {_M} AS human_active_min, count(*) FILTER (WHERE human = 0 AND agent > 0) * {_M} AS agent_only_min FROM cells GROUP BY 1),

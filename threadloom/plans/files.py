@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom import fixed_values as V
+from threadloom.functions.entry_text import with_texts
+from threadloom.operators import activity as ACT
 from threadloom.operators import agents, calls, lineage, resolve
 from threadloom.plans import events
 from threadloom.plans import user_queries as Q
@@ -111,8 +113,16 @@ def agent_states(spark, d):
     return found.select("session_id", "tool_use_id", F.coalesce("agent_id", F.lit("")).alias("agent_id"), "status", "result_text", "total_tokens", "total_tool_use_count")
 
 
+def activity_agent_time(spark, d):
+    """Sessions whose agents hear from people and tell how long they took: an agent's time counts where it was active itself."""
+    e = cut_lineage(with_texts(TR.entries(tables.timed_lines(spark, d))))
+    rows = ACT.session_rows(e, events.WINDOW)
+    return rows.select("session_id", "human_turns", "agent_turns", "n_sub", "turn_min", "human_active_min", "agent_only_min")
+
+
 QUERIES = {f.__name__: f for f in (
-    written_lines, survey_files, copied_tool_counts, copied_audit, removal_report, stale_copies, resolve_artifacts, narrow_artifacts, agent_states)}
+    written_lines, survey_files, copied_tool_counts, copied_audit, removal_report, stale_copies, resolve_artifacts, narrow_artifacts, agent_states,
+    activity_agent_time)}
 
 # --- the same in SQL ------------------------------------------------------------------------------------------------
 
@@ -148,6 +158,18 @@ SELECT raw_id, kind, full_id, CASE WHEN reason IS NULL THEN 'deletable' ELSE 're
     "resolve_artifacts": f"{_EV}, {_IDS}, nm AS (SELECT agent_id AS id FROM ev WHERE agent_id IS NOT NULL UNION {_MAIN}), {_resolved('fl', 'nm')} SELECT raw_id, n AS candidates, status, kind, full_id FROM st",
     "narrow_artifacts": f"""{_EV} SELECT DISTINCT session_id FROM ev WHERE user_id % 7 = 0
 UNION SELECT DISTINCT session_id FROM ev WHERE user_id % 5 = 0 AND agent_id IS NOT NULL""",
+    "activity_agent_time": f"""{events.ACTIVE}, sub AS (SELECT session_id, (epoch_us(ts) - {events.LO}) // {events.B} AS bucket FROM ev
+  WHERE event_type = 'signup' AND event_id % 3 = 0 AND epoch_us(ts) >= {events.LO} AND epoch_us(ts) < {events.HI}),
+mk AS (SELECT session_id, bucket, human, marker FROM marks UNION ALL SELECT session_id, bucket, false, 'subh' FROM sub),
+c2 AS (SELECT session_id, bucket, count(*) FILTER (WHERE human) AS human, count(DISTINCT marker) AS agent FROM mk WHERE human OR marker IS NOT NULL GROUP BY 1, 2),
+su AS (SELECT session_id, CAST(sum(human) AS BIGINT) AS human_turns, CAST(sum(agent) AS BIGINT) AS agent_turns, count(*) FILTER (WHERE human > 0) * {events.M} AS human_active_min,
+  count(*) FILTER (WHERE human = 0 AND agent > 0) * {events.M} AS agent_only_min FROM c2 GROUP BY 1),
+tm AS (SELECT session_id, sum(event_id * 50) FILTER (WHERE event_type = 'view') AS own, sum(event_id * 10) FILTER (WHERE event_type = 'click') AS theirs
+  FROM ev WHERE event_id % 2 = 0 AND epoch_us(ts) >= {events.LO} AND epoch_us(ts) < {events.HI} GROUP BY 1),
+ag AS (SELECT session_id, count(DISTINCT agent_id) FILTER (WHERE marker IS NOT NULL) AS n FROM marks GROUP BY 1),
+hd AS (SELECT DISTINCT session_id, 1 AS one FROM sub)
+SELECT session_id, human_turns, agent_turns, coalesce(n, 0) + coalesce(one, 0) AS n_sub, CAST(round_even((coalesce(own, 0) + coalesce(theirs * one, 0)) / 60000, 0) AS BIGINT) AS turn_min,
+ human_active_min, agent_only_min FROM su LEFT JOIN tm USING (session_id) LEFT JOIN ag USING (session_id) LEFT JOIN hd USING (session_id)""",
     "agent_states": f"""{_EV} SELECT session_id, 'toolu_' || event_id AS tool_use_id, CASE WHEN event_id % 5 < 3 THEN printf('b%016x', event_id) ELSE '' END AS agent_id,
  CASE event_id % 5 WHEN 0 THEN 'completed' WHEN 3 THEN 'rejected' WHEN 4 THEN 'unknown' ELSE 'finished' END AS status,
  CASE event_id % 5 WHEN 0 THEN 'answer ' || event_id WHEN 1 THEN 'late ' || event_id WHEN 2 THEN 'late ' || event_id ELSE '' END AS result_text,

@@ -196,6 +196,26 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`event_lines`, and with them a second agent of each user. Every third signup also speaks to that agent; every second
+    view tells how long the main transcript took, every second click how long the agent did."""
+    e, u, kind = F.col("event_id"), F.col("user_id"), F.col("event_type")
+    folder = F.concat(F.lit("/logs/p"), (u % 5).cast("string"), F.lit("/"), session_id(u))
+    agent = F.concat(folder, F.lit("/subagents/agent-"), F.format_string("d%016x", u.cast("bigint")), F.lit(".jsonl"))
+    line = lambda part, what, **more: F.to_json(_some(
+        type=F.lit(what), uuid=turn_id(e + (part << 28)), timestamp=_iso(F.col("ts")), sessionId=session_id(u), **more))
+    asked = line(1, "user", message=_some(role=F.lit("user"), content=F.lit("look again")))
+    took = lambda part, ms: line(part, "system", subtype=F.lit("turn_duration"), durationMs=ms)
+    value = (
+        F.when((kind == "signup") & (e % 3 == 0), asked)
+        .when((kind == "view") & (e % 2 == 0), took(2, e * 50)).when((kind == "click") & (e % 2 == 0), took(3, e * 10)))
+    more = table(spark, sf_dir, "events").select(
+        F.concat(F.lit("p"), (u % 5).cast("string")).alias("project"),
+        F.when(kind == "view", F.concat(folder, F.lit(".jsonl"))).otherwise(agent).alias("file_path"),
+        (e + 1_000_000_000_000).alias("line_no"), value.alias("value"))
+    return event_lines(spark, sf_dir).unionByName(more.where("value IS NOT NULL"))
+
+
 def copied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`event_lines`, and for every third user a copy of an agent: a provenance line, and the lines of the user's events
     whose number ends in 1. Copies of even users have the lines they were made with, those of odd users have grown."""
