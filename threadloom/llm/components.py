@@ -1,8 +1,10 @@
 """Connected components of an edge list, as joins and aggregations on narrow rows.
 
-Every round gives each node the smallest label of its neighbours' labels and then follows labels of
-labels, so paths shorten by doubling. Nothing is collected; a hub with very many links is a minimum
-per map task before the shuffle.
+Every round points each node to its smallest neighbour, if that is smaller, and follows the pointers to
+their roots by doubling. Then the roots are the nodes, and what is left of the edges between different ones are the
+edges, of the next round; each component has at most half as many nodes in it, so rounds are few and all
+but the first are small. Nothing is collected; a hub with very many links is a minimum per map task
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -18,24 +20,41 @@ from threadloom.session import cut_lineage, drop_table
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): for every id of `edges` (columns a, b) the smallest id it can reach."""
-    both = cut_lineage(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+    left = cut_lineage(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    found = None
     while True:
-        near = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        pulled = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "l").alias("label"), F.col("label").alias("old"))
-        pulled = cut_lineage(pulled)
-        # A label is an id too: its own label is smaller or equal. Only labels that have a smaller one move; a label that
-        # very many ids have is a root sooner or later, and then no rows are joined for it.
-        jump = pulled.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("further"))
-        jump = cut_lineage(jump.join(pulled.select("label").distinct(), "label", "left_semi"))
-        moved = cut_lineage(pulled.join(checked(jump), "label", "left").select("id", F.coalesce("further", "label").alias("label"), "old"))
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = _roots(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")))
+        ends = [labels.select(F.col("id").alias(x), F.col("label").alias(f"at_{x}")) for x in "ab"]
+        apart = left.join(ends[0], "a").join(ends[1], "b").where("at_a != at_b")
+        rest = cut_lineage(apart.select(F.least("at_a", "at_b").alias("a"), F.greatest("at_a", "at_b").alias("b")).distinct())
+        # What the roots of the rounds before have become.
+        found = labels if found is None else cut_lineage(_followed(found, labels))
+        drop_table(left)
+        left = rest
+        if left.isEmpty():
+            drop_table(left)
+            return found.select("id", F.col("label").alias("component"))
+
+
+def _followed(labels: DataFrame, further: DataFrame) -> DataFrame:
+    """labels (id, label), each label replaced by what `further` says of it, if anything. Only labels that move are
+    joined: the root that very many ids share stays, or is one row of a small side."""
+    moves = further.where("id != label").select(F.col("id").alias("label"), F.col("label").alias("further"))
+    moves = cut_lineage(moves.join(labels.select("label").distinct(), "label", "left_semi"))
+    return labels.join(checked(moves), "label", "left").select("id", F.coalesce("further", "label").alias("label"))
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """(id, label) of pointers that lead to smaller ids, each label followed to its root; a written table."""
+    labels = cut_lineage(pointers)
+    while True:
+        moved = cut_lineage(_followed(labels, labels).join(labels.select("id", F.col("label").alias("old")), "id"))
         changed = not moved.where("label != old").isEmpty()
-        for t in (labels, pulled, jump):
-            drop_table(t)
+        drop_table(labels)
         labels = moved.select("id", "label")
         if not changed:
-            drop_table(both)
-            return labels.select("id", F.col("label").alias("component"))
+            return labels
 
 
 def bucket_links(
