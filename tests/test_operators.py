@@ -238,6 +238,30 @@ def test_merge_of_one_hot_spot(spark):
     assert {(r.rule, r.dropped) for r in FN.rejected(df).collect()} == {("line", 1), ("severity", 1)}
 
 
+def first_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def some_findings(spark):
+    rows = [("r1", name, " ./src\\a.py", title, sev, "manual", "human", conf, line, False, False, fix)
+            for name in ("correctness", "testing") for title, sev, conf in (("Off by one!", "P2", 50), ("off  BY one", "P0", 75))
+            for line, fix in ((10, None), (13, "b"), (13, "a"), (13, "a"), (20, ""))]
+    rows += [(None, *rows[0][1:]), ("r2", *rows[0][1:])]
+    return spark.createDataFrame(rows, """review_id STRING, reviewer STRING, file STRING, title STRING, severity STRING, autofix_class STRING,
+        owner STRING, confidence INT, line INT, requires_verification BOOLEAN, pre_existing BOOLEAN, suggested_fix STRING""")
+
+
+def test_findings_are_never_broadcast(spark):
+    """Tables look as small as their packed files, so a planner that may choose sends their rows through the driver."""
+    found = FN.with_place(some_findings(spark))
+    assert "BuildLeft" not in first_plan(found)
+    df = spark.createDataFrame([("a", n) for n in range(9)], "g STRING, n BIGINT")
+    for out in (O.running_count(df, ["g"], "n", "k"), O.previous_value(df, ["g"], "n", F.col("n"), "k"), O.rank_by_sort(df, ["g"], [F.desc("n")], "k")):
+        assert "Broadcast" not in first_plan(out)
+    spots = {(r.review_id, r.line): r.island for r in found.collect()}
+    assert spots == {("r1", 10): 1, ("r1", 13): 1, ("r1", 20): 2, ("r2", 10): 1}
+
+
 def test_debate_and_stores(spark):
     moves = spark.createDataFrame([("a", 1, "HOLD"), ("b", 1, "UPDATE"), ("b", 2, "HOLD")] + [("c", r, "DISPUTE") for r in range(1, 6)], "run_id STRING, round INT, move_type STRING")
     got = {r.run_id: (r.state, r.after_round) for r in debate.end_state(moves).collect()}
