@@ -262,6 +262,14 @@ def test_findings_are_never_broadcast(spark):
     assert spots == {("r1", 10): 1, ("r1", 13): 1, ("r1", 20): 2, ("r2", 10): 1}
 
 
+def test_equal_findings_meet_without_a_sort(spark):
+    """An aggregate that keeps texts as minima sorts every row of a map task on all of its keys."""
+    counted = FN._per_reviewer(some_findings(spark))
+    assert "Sort" not in first_plan(counted)
+    assert {(r.title_key, r.file_key, r.line, r.suggested_fix, r.has_fix, r.n) for r in counted.where("review_id = 'r1' AND severity = 'P0'").collect()} == {
+        ("off by one", "src/a.py", line, fix, bool(fix), n) for line, fix, n in ((10, None, 1), (13, "b", 1), (13, "a", 2), (20, "", 1))}
+
+
 def test_debate_and_stores(spark):
     moves = spark.createDataFrame([("a", 1, "HOLD"), ("b", 1, "UPDATE"), ("b", 2, "HOLD")] + [("c", r, "DISPUTE") for r in range(1, 6)], "run_id STRING, round INT, move_type STRING")
     got = {r.run_id: (r.state, r.after_round) for r in debate.end_state(moves).collect()}
