@@ -17,7 +17,7 @@ from threadloom.operators import resolve as R
 from threadloom.operators import sessions as S
 from threadloom.plans import user_queries as Q
 from threadloom.sources import projects as P
-from threadloom.sources import sinks
+from threadloom.sources import sinks, tables
 from threadloom.sources import transcripts as TR
 
 SID = "aaaaaaaa-0000-4000-8000-000000000001"
@@ -289,3 +289,17 @@ def test_successor_sorts_right_after():
     from threadloom.functions.ids import successor
 
     assert successor("ab") == "ac" and successor("a\U0010ffff") == "b" and successor("") == "" and successor("\U0010ffff") == "" and successor("\ud7ff") == "\ue000"
+
+
+def test_event_lines_come_from_many_tasks(spark, tmp_path):
+    """A table in one row group is dealt out before its rows become lines."""
+    rows = spark.range(3000).selectExpr("id AS event_id", "timestamp_seconds(id) AS ts", "id % 7 AS user_id", "'error' AS event_type", "1.5D AS value", "'{\"k\": 1}' AS props")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    unset = spark.conf.get("spark.threadloom.spread", None)
+    spark.conf.unset("spark.threadloom.spread")
+    try:
+        sizes = tables.event_lines(spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        if unset:
+            spark.conf.set("spark.threadloom.spread", unset)
+    assert len(sizes) >= 8 and max(r["count"] for r in sizes) < 1000 and sum(r["count"] for r in sizes) == 3000
