@@ -270,6 +270,36 @@ def test_equal_findings_meet_without_a_sort(spark):
         ("off by one", "src/a.py", line, fix, bool(fix), n) for line, fix, n in ((10, None, 1), (13, "b", 1), (13, "a", 2), (20, "", 1))}
 
 
+def test_categories_are_what_their_patterns_find(spark):
+    """Literals that are looked for first keep no match away; every alternative of every pattern occurs."""
+    rnd = random.Random(3)
+    patterns = [p for found in V.PROMPT_CATEGORIES.values() for p in found]
+    assert set(V.PROMPT_LITERALS) == set(patterns)
+
+    def written(node):
+        op, arg = node
+        if str(op) == "LITERAL":
+            return chr(arg)
+        if str(op) == "SUBPATTERN":
+            return "".join(map(written, arg[3]))
+        if str(op) == "BRANCH":
+            return "".join(map(written, rnd.choice(arg[1])))
+        if str(op) == "MAX_REPEAT":
+            return "".join("".join(map(written, arg[2])) for _ in range(rnd.randint(arg[0], min(arg[1], arg[0] + 2))))
+        if str(op) == "IN":
+            return " " if str(arg[0][0]) == "CATEGORY" else chr(rnd.choice([a for o, a in arg if str(o) == "LITERAL"]))
+        return "" if str(op) == "AT" else " "
+
+    texts = []
+    for p in patterns:
+        made = {"".join(map(written, re._parser.parse(p))) for _ in range(80)}
+        matched = [m for m in made if re.search(p, m)]
+        assert matched and all(any(t in m for t in V.PROMPT_LITERALS[p]) for m in matched)
+        texts += [lead + m + end for m in sorted(made) for lead, end in (("", ""), ("x", " é"), ("ein Satz, ", "y"), ("Ü\n", ".\n"))]
+    want = [[n for n, ps in V.PROMPT_CATEGORIES.items() if any(re.search(p, t.lower()) for p in ps)] for t in texts]
+    assert column(spark, texts, kvmine.prompt_categories) == want
+
+
 def test_debate_and_stores(spark):
     moves = spark.createDataFrame([("a", 1, "HOLD"), ("b", 1, "UPDATE"), ("b", 2, "HOLD")] + [("c", r, "DISPUTE") for r in range(1, 6)], "run_id STRING, round INT, move_type STRING")
     got = {r.run_id: (r.state, r.after_round) for r in debate.end_state(moves).collect()}

@@ -6,6 +6,8 @@ a whole list under one key; lists are exploded in the scan and never gathered ag
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +77,17 @@ def prompts(kv: DataFrame) -> DataFrame:
 
 
 def prompt_categories(text: Column) -> Column:
-    """All behaviour categories of a prompt; patterns are tried on the lower-cased text."""
+    """All behaviour categories of a prompt; patterns are tried on the lower-cased text.
+
+    A pattern walks every word of a text, so it is tried only on texts with one of the literals that all its matches hold.
+    """
+    def tried(lowered: Column, pattern: str) -> Column:
+        there = reduce(Column.__or__, [F.contains(lowered, F.lit(t)) for t in V.PROMPT_LITERALS[pattern]])
+        return there & F.rlike(lowered, F.lit("(?Ud)" + pattern))
+
     def found(lowered: Column) -> Column:
         return F.array_compact(F.array(*[
-            F.when(F.rlike(lowered, F.lit("(?Ud)" + "|".join(f"(?:{p})" for p in patterns))), F.lit(name))
+            F.when(reduce(Column.__or__, [tried(lowered, p) for p in patterns]), F.lit(name))
             for name, patterns in V.PROMPT_CATEGORIES.items() if patterns
         ]))
 
