@@ -22,7 +22,7 @@ AS_OF = datetime(2024, 3, 1, tzinfo=timezone.utc)
 
 def _written(spark: SparkSession, rows: DataFrame, order: list[str], column: str = "value") -> str:
     folder = new_folder(spark)
-    sinks.write_lines(rows, folder, column, order, 16)
+    sinks.write_lines(rows, folder, column, order)
     return folder
 
 
