@@ -148,6 +148,43 @@ def test_bpe(make, copies, odd_texts):
     assert bpe.digests(make([]), vocabulary_path()).count() == 0
 
 
+def test_bpe_memory(spark):
+    """What a task holds beside its texts is a small multiple of them, for common words and for words of their own."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    common = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    texts = [" ".join(rng.choices(common, k=3000)) for _ in range(1800)]
+    texts += [" ".join(f"{rng.getrandbits(64):x}" for _ in range(100)) for _ in range(1000)] + [None, "", "a " * 300_000]
+    batch = pa.record_batch({"id": pa.array(range(len(texts)), pa.int64()), "text": pa.array([t or "" for t in texts])})
+    rows, arrow, peak = [], [], []
+
+    class Docs:
+        """Runs the task of a mapInArrow here, where its memory can be seen."""
+
+        schema = {"id": spark.range(0).schema["id"]}
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            before = pa.total_allocated_bytes()
+            tracemalloc.start()
+            try:
+                for part in run(iter([batch])):
+                    rows.append(part.num_rows)
+                    arrow.append(pa.total_allocated_bytes() - before)
+                peak.append(tracemalloc.get_traced_memory()[1] + max(arrow))
+            finally:
+                tracemalloc.stop()
+            return spark.range(0)
+
+    bpe.vocabulary(vocabulary_path())
+    bpe.digests(Docs(), vocabulary_path())
+    assert sum(rows) == len(texts)
+    assert peak[0] < 6 * batch.nbytes
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{TABLES}/documents.parquet")
     labels = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}

@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,9 +33,14 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.words import slices, split
 
-_NONE = np.int64(1) << 40
+#: Above every rank; ranks, symbols and positions of a slice are 32-bit numbers.
+_NONE = np.int32((1 << 31) - 1)
 #: Text bytes encoded at once; one longer text makes a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+#: Ids laid out at once; one longer text makes a piece of its own. They take many times the bytes of the texts they are from.
+TOKENS = 1 << 18
+#: Places whose pairs are looked up at once.
+PLACES = 1 << 18
 
 
 def _byte_letters() -> list[str]:
@@ -62,16 +68,17 @@ class Vocabulary:
                 names[i] = name
         self.names = pa.array(names, pa.string())
         letters = _byte_letters()
-        self.inner = np.array([ids[c] for c in letters], dtype=np.int64)
-        self.final = np.array([ids[c + end] for c in letters], dtype=np.int64)
+        self.inner = np.array([ids[c] for c in letters], dtype=np.int32)
+        self.final = np.array([ids[c + end] for c in letters], dtype=np.int32)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([ids[a] for a, _ in merges], dtype=np.int64)
         right = np.array([ids[b] for _, b in merges], dtype=np.int64)
-        self.made = np.array([ids[a + b] for a, b in merges], dtype=np.int64)
+        self.made = np.array([ids[a + b] for a, b in merges], dtype=np.int32)
         self.twin = left == right
         self.size = np.int64(size)
-        self.order = np.argsort(left * size + right, kind="stable")
-        self.keys = (left * size + right)[self.order]
+        order = np.argsort(left * size + right, kind="stable")
+        self.keys = (left * size + right)[order]
+        self.order = order.astype(np.int32)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         # White space is the Unicode property, without the separators U+001C to U+001F.
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -80,7 +87,8 @@ class Vocabulary:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, _NONE for pairs that never merge."""
-        key = a * self.size + b
+        key = a * self.size
+        key += b
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.order[at], _NONE)
@@ -101,21 +109,22 @@ def _normal(piece: str) -> str:
 
 def encode_pieces(pieces: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, counts) of pieces without white space between their parts' ends."""
-    parts: list[bytes] = []
+    joined, sizes = bytearray(), array("q")
     fixed: list[tuple[int, int]] = []
     per_piece = np.zeros(len(pieces), dtype=np.int64)
     for i, piece in enumerate(pieces):
-        before = len(parts)
+        before = len(sizes)
         for k, bit in enumerate(v.cut.split(piece)) if v.cut and "<" in piece else ((0, piece),):
             if k % 2:
-                fixed.append((len(parts), v.special[bit]))
-                parts.append(b" ")
+                fixed.append((len(sizes), v.special[bit]))
+                parts = [b" "]
             else:
-                parts.extend([w.encode() for w in v.parts.findall(_normal(bit))])
-        per_piece[i] = len(parts) - before
-    lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
-    raw = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    ends = np.cumsum(lengths)
+                parts = [w.encode() for w in v.parts.findall(_normal(bit))]
+            joined += b"".join(parts)
+            sizes.extend(map(len, parts))
+        per_piece[i] = len(sizes) - before
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    ends = np.cumsum(np.frombuffer(sizes, dtype=np.int64))
     symbols = v.inner[raw]
     symbols[ends - 1] = v.final[raw[ends - 1]]
     for part, special in fixed:
@@ -132,12 +141,13 @@ def merge(symbols: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
     live = np.ones(n, dtype=bool)
     if n < 2:
         return live
-    following, previous = np.arange(1, n + 1), np.arange(-1, n - 1)
+    # Half the memory of 64-bit places, which a single text of more than 2 GB would need.
+    place = np.int32 if n < 1 << 31 else np.int64
+    following, previous = np.arange(1, n + 1, dtype=place), np.arange(-1, n - 1, dtype=place)
     following[ends - 1] = -1
     previous[np.concatenate([[0], ends[:-1]])] = -1
     rank = np.full(n, _NONE)
-    inner = np.flatnonzero(following >= 0)
-    rank[inner] = v.rank(symbols[inner], symbols[inner + 1])
+    inner = np.flatnonzero(following >= 0).astype(place)
     index: dict[int, list[np.ndarray]] = {}
     active: list[int] = []
 
@@ -156,7 +166,10 @@ def merge(symbols: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
                 heapq.heappush(active, r)
             index[r].append(positions[a:b])
 
-    add(inner)
+    for a in range(0, len(inner), PLACES):
+        some = inner[a : a + PLACES]
+        rank[some] = v.rank(symbols[some], symbols[some + 1])
+        add(some)
     while active:
         r = heapq.heappop(active)
         lists = index.pop(r)
@@ -188,15 +201,31 @@ def merge(symbols: np.ndarray, ends: np.ndarray, v: Vocabulary) -> np.ndarray:
     return live
 
 
-def encode(texts: pa.Array, v: Vocabulary) -> pa.ListArray:
-    """Ids (unsigned 32 bit) of each text."""
+def encoded(texts: pa.Array, v: Vocabulary, most: int = TOKENS) -> Iterator[pa.ListArray]:
+    """Ids (unsigned 32 bit) of each text, in pieces of consecutive texts with at most `most` ids together, or of one text.
+
+    The distinct pieces of all texts are encoded at once; only what they come to in the texts is laid out by and by.
+    """
     offsets, codes, distinct = split(texts)
     ids, counts = encode_pieces(distinct.to_pylist(), v)
-    starts = np.cumsum(counts) - counts
-    lengths = counts[codes]
-    upto = np.concatenate([[0], np.cumsum(lengths)])
-    flat = np.arange(upto[-1]) + np.repeat(starts[codes] - upto[:-1], lengths)
-    return pa.ListArray.from_arrays(pa.array(upto[offsets].astype(np.int32)), pa.array(ids.astype(np.uint32)[flat]))
+    del distinct
+    ids = ids.astype(np.uint32)
+    first = np.cumsum(counts) - counts
+    ends = np.concatenate([[0], np.cumsum(counts[codes])])[offsets]
+    start, n = 0, len(texts)
+    while start < n:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, side="right")) - 1)
+        words = codes[offsets[start] : offsets[stop]]
+        lengths = counts[words]
+        at = np.repeat(first[words] - np.cumsum(lengths) + lengths, lengths)
+        at += np.arange(len(at))
+        yield pa.ListArray.from_arrays(pa.array((ends[start : stop + 1] - ends[start]).astype(np.int32)), pa.array(ids[at]))
+        start = stop
+
+
+def encode(texts: pa.Array, v: Vocabulary) -> pa.ListArray:
+    """Ids (unsigned 32 bit) of each text."""
+    return pa.concat_arrays([pa.array([], pa.list_(pa.uint32())), *encoded(texts, v)])
 
 
 def decode(ids: pa.ListArray, v: Vocabulary) -> pa.StringArray:
@@ -212,8 +241,11 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         v = vocabulary(path)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                ids = encode(part.column(1), v)
-                yield pa.record_batch({"id": part.column(0), "ids": ids.cast(pa.list_(pa.int32())), "decoded": decode(ids, v)})
+                row = 0
+                for ids in encoded(part.column(1), v):
+                    own = part.column(0).slice(row, len(ids))
+                    row += len(ids)
+                    yield pa.record_batch({"id": own, "ids": ids.cast(pa.list_(pa.int32())), "decoded": decode(ids, v)})
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
@@ -230,15 +262,17 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         v = vocabulary(path)
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
-                ids = encode(part.column(1), v)
-                at = ids.offsets.to_numpy()
-                raw = memoryview(ids.values.to_numpy().astype("<u4")).cast("B")
-                told = decode(ids, v)
-                yield pa.record_batch({
-                    "id": part.column(0), "n_tokens": pa.array(np.diff(at).astype(np.int64)),
-                    "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
-                    "decoded_sha256": [hashlib.sha256(t.as_buffer()).hexdigest() for t in told],
-                })
+                row = 0
+                for ids in encoded(part.column(1), v):
+                    at = ids.offsets.to_numpy()
+                    raw = memoryview(ids.values.to_numpy().astype("<u4", copy=False)).cast("B")
+                    told = decode(ids, v)
+                    yield pa.record_batch({
+                        "id": part.column(0).slice(row, len(ids)), "n_tokens": pa.array(np.diff(at).astype(np.int64)),
+                        "ids_sha256": [hashlib.sha256(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
+                        "decoded_sha256": [hashlib.sha256(t.as_buffer()).hexdigest() for t in told],
+                    })
+                    row += len(ids)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
