@@ -378,6 +378,37 @@ def test_lines(make, copies):
     assert {d: (n, list(r)) for d, (n, r) in got.items()} == {d: (n, r) for d, (n, r) in want.items()}
 
 
+def test_lines_fit_by_counts(spark, make, monkeypatch):
+    """The counts let every pair within the edit distance pass, and lines of other characters are not verified."""
+    rng = random.Random(6)
+    pairs = []
+    for _ in range(300):
+        a = "".join(rng.choices("abcdefgé \U0001f642", k=rng.randint(1, 60))) * rng.choice((1, 1, 9))
+        c = list(a)
+        for k in sorted(rng.sample(range(len(c)), min(len(c), rng.randint(0, len(c) // 10 + 1))), reverse=True):
+            c[k : k + 1] = rng.choice([[], ["x"], [c[k], "é"]])
+        pairs.append((a, "".join(c)))
+    facts = []
+    for a, b in pairs:
+        counts = line_dedup.class_counts(pa.array([a, b])).tolist()
+        facts.append((*[(len(x), *y) for x, y in zip((a, b), counts, strict=True)], edits(a, b) <= int(0.1 * max(len(a), len(b)) + 1e-9)))
+    one = "struct<size:int,low:bigint,high:bigint>"
+    rows = spark.createDataFrame(facts, f"a {one}, b {one}, near boolean").select("near", line_dedup.fitting(F.col("a"), F.col("b"), 0.9).alias("fits")).collect()
+    assert all(r["fits"] for r in rows if r["near"]) and sum(r["near"] for r in rows) > 100
+
+    verified = []
+    links = line_dedup.bucket_links
+
+    def counted(members, facts, confirm, fits, **more):
+        return links(members, facts, lambda pairs: verified.append(pairs.count()) or confirm(pairs), fits, **more)
+
+    monkeypatch.setattr(line_dedup, "bucket_links", counted)
+    head = "the quick brown fox jumps over lazy"
+    docs = [(k, head + " " + x * 4 + y * 4, None) for k, (x, y) in enumerate(("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st"))]
+    got = by_id(line_dedup.dedup(make([*docs, (99, docs[0][1] + "!", None)])), "removed")
+    assert got == {d: ([0] if d == 99 else [],) for d in got} and sum(verified) <= 10
+
+
 def test_line_very_long_and_odd(make, odd_texts):
     long = "word " * 40_000 + "end"
     docs = [(1, long, None), (2, long + "s", None), (3, "\n".join(t or "" for t in odd_texts), None), (4, "\n".join(t or "" for t in odd_texts), None), (5, "a\u2028b\n\x1c\nA\u2028B", None)]
