@@ -409,6 +409,44 @@ def test_lines_fit_by_counts(spark, make, monkeypatch):
     assert got == {d: ([0] if d == 99 else [],) for d in got} and sum(verified) <= 10
 
 
+def test_lines_alike_by_runs():
+    """No pair within the edit distance fails the counts of runs, at any length; other lines of the same letters do."""
+    rng = random.Random(8)
+    near = []
+    for n in (*range(12), 19, 20, 63, 64, 65, 200, 1000, 40_000):
+        for letters in ("ab ", "abcdefghijklmnopqrstuvwxyz \U0001f642é"):
+            a = "".join(rng.choices(letters, k=n))
+            for kinds in ("r", "i", "d", "rid"):
+                c = list(a)
+                # An insertion lengthens the line, so as many edits as the shorter one allows are within the distance.
+                for k in rng.sample(range(n), n // 10):
+                    c[k] = {"r": "#", "i": c[k] + "#", "d": ""}[rng.choice(kinds)]
+                near += [(a, "".join(c)), ("".join(c), a)]
+    check = lambda pairs: line_dedup.alike(pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), 0.9)
+    kept = [p for p in near if len(p[0]) < 400 and edits(*p) > int(0.1 * max(map(len, p)) + 1e-9)]
+    assert not kept and check(near).all()
+    syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(60)]
+    line = lambda: " ".join("".join(rng.choices(syllables, k=2)) for _ in range(100))
+    assert check([(line(), line()) for _ in range(200)]).sum() == 0
+    assert check([]).tolist() == []
+
+
+def test_lines_verified_in_rounds(make, monkeypatch):
+    """Pairs verified in several rounds give what one round gives, and few pairs of other lines get to the edit distance."""
+    rng = random.Random(9)
+    letters = "abcdefghijklmnop "
+    base = ["".join(rng.choices(letters, k=70)).strip() for _ in range(12)]
+    docs = [(d, x, None) for d, x in enumerate(y for x in base for y in (x, x[:30] + "q" + x[31:], x[:50] + x[53:]))]
+    one = by_id(line_dedup.dedup(make(docs)), "removed")
+    rounds = []
+    cut = line_dedup.cut_lineage
+    monkeypatch.setattr(line_dedup, "cut_lineage", lambda df: rounds.append(df.columns) or cut(df))
+    monkeypatch.setattr(line_dedup, "PAIRS", 3)
+    assert by_id(line_dedup.dedup(make(docs)), "removed") == one
+    assert {d: list(r) for d, (r,) in one.items()} == {d: [0] if d % 3 else [] for d, *_ in docs}
+    assert rounds.count(["a", "b"]) > line_dedup.ROUNDS
+
+
 def test_line_very_long_and_odd(make, odd_texts):
     long = "word " * 40_000 + "end"
     docs = [(1, long, None), (2, long + "s", None), (3, "\n".join(t or "" for t in odd_texts), None), (4, "\n".join(t or "" for t in odd_texts), None), (5, "a\u2028b\n\x1c\nA\u2028B", None)]
