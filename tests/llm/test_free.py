@@ -447,6 +447,67 @@ def test_lines_verified_in_rounds(make, monkeypatch):
     assert rounds.count(["a", "b"]) > line_dedup.ROUNDS
 
 
+def test_line_buckets_in_packed_turns(make):
+    """A turn holds half the buckets, twelve bytes each; both together give each pair of lines that shares a bucket."""
+    rng = random.Random(10)
+    base = ["".join(rng.choices("abcdefghijklmnop ", k=n)).strip() for n in (12, 18, 30, 41, 60, 125, 200, 300, 420, 700, 1000) for _ in range(3)]
+    base = [y for x in base for y in (x, x[:5] + "q" + x[6:], x[:7] + x[8:])]
+    rows = make([(d, x, None) for d, x in enumerate([*base, base[0].upper()])]).selectExpr("doc_id AS id", "text")
+    norm = line_dedup.normalised(pa.array(base))[2].unique()
+    short = line_dedup._short_keys(line_dedup._keys(norm)).tolist()
+    at, buckets = (np.concatenate(c) for c in zip(*line_dedup.line_buckets(norm), strict=True))
+    lines = {}
+    for k, b in zip(at.tolist(), buckets.tolist(), strict=True):
+        lines.setdefault(b, set()).add(k)
+    size = [len(x) for x in norm.to_pylist()]
+    want = {tuple(sorted((short[a], short[b]))) for x in lines.values() for a in x for b in x if a < b and 10 * min(size[a], size[b]) >= 9 * max(size[a], size[b])}
+    packed = [line_dedup.bucket_blocks(rows, turn, 5).selectExpr("sum(length(block))").first()[0] for turn in range(2)]
+    assert line_dedup.TURNS == 2 and max(packed) < 0.6 * sum(packed) and sum(packed) <= 12 * len(buckets) * 2
+    got = [r for turn in range(2) for r in line_dedup.shared_buckets(rows, turn, 5).collect()]
+    pairs = {(r["a"], r["b"]) for r in got if r["bucket"] is None}
+    assert len(want) >= 80 and want <= pairs and all(r["a"] < r["b"] for r in got if r["bucket"] is None)
+    assert line_dedup.shared_buckets(rows.where("false"), 0, 5).count() == 0
+
+
+def test_lines_of_large_buckets(make, monkeypatch):
+    """Small and larger buckets, few and many parts give the same groups."""
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefghijklmnop ", k=n)).strip() for n in (30, 90, 150, 300)]
+    docs = []
+    for x in base:
+        for _ in range(12):
+            c = list(x)
+            for k in rng.sample(range(len(c)), len(c) // 25):
+                c[k] = rng.choice("rstuv")
+            docs.append((len(docs), "".join(c), None))
+    one = by_id(line_dedup.dedup(make(docs)), "removed")
+    monkeypatch.setattr(line_dedup, "SMALL", 2)
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 64)
+    assert by_id(line_dedup.dedup(make(docs)), "removed") == one
+    assert {d: list(r) for d, (r,) in one.items()} == {d: [0] if d % 12 else [] for d, *_ in docs}
+
+
+def test_lines_within_distance(monkeypatch):
+    rng = random.Random(12)
+    for long in (line_dedup.LONG, 1):
+        monkeypatch.setattr(line_dedup, "LONG", long)
+        for _ in range(400):
+            letters = rng.choice(["ab", "abcdef \U0001f642é"])
+            a, b = ("".join(rng.choices(letters, k=rng.randint(0, 40))) for _ in range(2))
+            if rng.random() < 0.7:
+                b = "".join(rng.choice(["", c, c, c, c, c + "x"]) for c in a)
+            far = edits(a, b)
+            assert [line_dedup.within(a, b, far + k) for k in (-1, 0, 1, 9)] == [False, True, True, True], (a, b)
+
+
+def test_lines_normalised():
+    texts = ["", None, " ", "a\t b\n\n  c d\r\nE  F\x0b\n\x0c\n\x1ca\u2028b \n \u0130  x\n\tq", "x", "\n", " a", "a ", "a b\n \n b", "É  é"]
+    want = [(i, k, " ".join(brute.words(x.lower().replace("i\u0307", "i")))) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if brute.words(x)]
+    row, number, norm = line_dedup.normalised(pa.array(texts))
+    assert [*zip(row.tolist(), number.tolist(), norm.to_pylist(), strict=True)] == want
+    assert len(line_dedup.normalised(pa.array(texts).slice(3, 1))[2]) == 6
+
+
 def test_line_very_long_and_odd(make, odd_texts):
     long = "word " * 40_000 + "end"
     docs = [(1, long, None), (2, long + "s", None), (3, "\n".join(t or "" for t in odd_texts), None), (4, "\n".join(t or "" for t in odd_texts), None), (5, "a\u2028b\n\x1c\nA\u2028B", None)]
