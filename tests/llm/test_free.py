@@ -469,6 +469,52 @@ def test_line_buckets_in_packed_turns(make):
     assert line_dedup.shared_buckets(rows.where("false"), 0, 5).count() == 0
 
 
+def test_lines_that_share_a_bucket_by_chance(make):
+    """Lines of the same syllables share buckets, but few such pairs leave a part; all pairs of near lines do."""
+    rng = random.Random(13)
+    syllables = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(25)]
+    base = [" ".join("".join(rng.choices(syllables, k=2)) for _ in range(n)) for n in (18, 30, 60) for _ in range(150)]
+    near = [x[:9] + "#" + x[10:] for x in base[::30]]
+    rows = make([(d, x, None) for d, x in enumerate([*base, *near])]).selectExpr("doc_id AS id", "text")
+    short = lambda lines: line_dedup._short_keys(line_dedup._keys(pa.array(lines))).tolist()
+    want = {tuple(sorted(p)) for p in zip(short(base[::30]), short(near), strict=True)}
+    got = [(r["a"], r["b"]) for turn in range(2) for r in line_dedup.shared_buckets(rows, turn, 5).collect()]
+    assert want <= set(got) and len(got) <= 10 * len(want)
+
+
+def test_lines_in_ranges_and_turns(make, monkeypatch):
+    """Shares cut into ranges of values, made in several turns, give the same groups; a turn holds a part of the bytes."""
+    rng = random.Random(14)
+    base = ["".join(rng.choices("abcdefghijklmnop ", k=n)).strip() for n in (12, 16, 30, 90, 150, 300, 500) for _ in range(4)]
+    docs = [(d, y, None) for d, y in enumerate(y for x in base for y in (x, x[:5] + "q" + x[6:], x[:7] + x[8:]))]
+    one = by_id(line_dedup.dedup(make(docs)), "removed")
+    plans = []
+    planned = line_dedup.planned
+    monkeypatch.setattr(line_dedup, "planned", lambda nodes: plans.append(planned(nodes)) or plans[-1])
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 8)
+    monkeypatch.setattr(line_dedup, "TURN_BYTES", 1 << 13)
+    assert by_id(line_dedup.dedup(make(docs)), "removed") == one
+    assert {d: list(r) for d, (r,) in one.items()} == {d: [0] if d % 3 else [] for d, *_ in docs}
+    (turns, ranges), = plans
+    assert turns > 2 and ranges > 1
+    rows = make(docs).selectExpr("doc_id AS id", "text")
+    packed = [line_dedup.bucket_blocks(rows, t, 5, turns, ranges).selectExpr("coalesce(sum(length(block)), 0)").first()[0] for t in range(turns)]
+    assert max(packed) < 2 * sum(packed) / turns
+
+
+def test_lines_aligned():
+    """An alignment never has fewer edits than the distance, and one of edits that lie apart has as many."""
+    rng = random.Random(15)
+    for _ in range(300):
+        a = "".join(rng.choices(rng.choice(["ab ", "abcdefghij \U0001f642é"]), k=rng.randint(0, 60)))
+        b = "".join(rng.choice(["", c + "x", "#"]) if rng.random() < 0.1 else c for c in a)
+        far = edits(a, b)
+        assert not any(line_dedup.aligned(a, b, k) for k in range(far)), (a, b)
+    line = "".join(chr(97 + k * k % 23) + chr(500 + k) for k in range(100))
+    for other, far in ((line, 0), (line[:50] + "##" + line[52:], 2), (line[:20] + line[25:90] + "###" + line[90:], 8), (line[3:] + "!", 4)):
+        assert line_dedup.aligned(line, other, far) and edits(line, other) == far
+
+
 def test_lines_of_large_buckets(make, monkeypatch):
     """Small and larger buckets, few and many parts give the same groups."""
     rng = random.Random(11)
